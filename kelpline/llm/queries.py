@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import packing
+from kelpline.llm import decontaminate, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
