@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import decontaminate, language, packing, quality, simhash, token_files, toxicity
+from kelpline.llm import decontaminate, language, packing, private, quality, secrets, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": token_files.op2_token_output,
     "op3_language_id": language.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_private_data": private.op5_private_data,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op10_secret_scan": secrets.op10_secret_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
 }
 ORACLE: dict[str, str] = {}
