@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import decontaminate, language, packing, private, quality, secrets, simhash, token_files, toxicity
+from kelpline.llm import decontaminate, language, packing, private, quality, secrets, simhash, suffixes, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": suffixes.op1_suffix_array_dedup,
     "op2_token_output": token_files.op2_token_output,
     "op3_language_id": language.op3_language_id,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
