@@ -1,22 +1,6 @@
 """All queries of the library by name, with the SQL that each is held against."""
 
-from __future__ import annotations
+from kelpline.plans import streams
+from kelpline.plans.queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-
-
-QUERIES["leaderboard"] = leaderboard
+QUERIES |= streams.QUERIES
