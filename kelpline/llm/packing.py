@@ -47,8 +47,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, buck
                         crc = zlib.crc32(part)
                         out.append((doc_id, piece, s, len(part), crc, zlib.crc32(b"%d %d" % (doc_id or 0, piece), crc) % buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=_PIECES.names)
+        enc.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return common.mapped(docs.select("doc_id", "text"), run, _PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -164,7 +165,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECES.names[:5]), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=[*_PIECES.names[:5], "sequence_id", "offset"])
 
     schema = T.StructType([*_PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*_PIECES.names[:5], "rank").mapInArrow(place, schema)
+    return common.mapped(ranked.select(*_PIECES.names[:5], "rank"), place, schema)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

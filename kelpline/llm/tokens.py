@@ -12,15 +12,17 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from kelpline.llm.common import ranges
 
 #: Words that a worker keeps before it drops those met once; bounds its memory (about 200 bytes a word).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: Words that are encoded as one text.
 _TOGETHER = 250
 
-_STOP = re.compile(rb"([a-z])([.,])")
+_STOP = re.compile(rb"[.,](?<=[a-z][.,])")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -37,11 +39,11 @@ def encoder(path: str) -> "WordEncoder":
     return _encoders[path]
 
 
-def _split(text: bytes | None) -> list[bytes]:
+def _prepared(text: bytes | None) -> bytes:
     if not text:
-        return []
+        return b""
     # special tokens are looked for before lower-casing
-    return _STOP.sub(rb"\1 \2", text if b"<|" in text else text.lower()).split()
+    return _STOP.sub(rb" \g<0>", text if b"<|" in text else text.lower())
 
 
 class WordEncoder:
@@ -67,7 +69,7 @@ class WordEncoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Keep the words that came up again; all go if those are more than half."""
         old, uses = list(self.index), self.uses
         kept = np.flatnonzero(uses[: len(old)] > 1)
@@ -112,18 +114,19 @@ class WordEncoder:
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array (uint32), and how many each text has. None counts as empty."""
         if len(self.index) > self.cache_words:
-            self._forget()
-        split = [_split(t) for t in texts]
-        words = [w for ws in split for w in ws]
+            self.forget()
+        texts = pa.array([_prepared(t) for t in texts], pa.binary())
+        split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
         get = self.index.get
-        at = np.array([get(w, -1) for w in words], np.int64)
-        if len(missing := np.flatnonzero(at < 0)):
-            missing = missing.tolist()
-            self._learn(list({words[i]: None for i in missing}))
-            at[missing] = [get(words[i]) for i in missing]
+        at = np.array([get(w, -1) for w in distinct], np.int64)
+        if len(missing := np.flatnonzero(at < 0).tolist()):
+            self._learn([distinct[i] for i in missing])
+            at[missing] = [get(distinct[i]) for i in missing]
+        at = at[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.lengths[at]
         ids = self.pool[np.repeat(self.starts[at], lengths) + ranges(lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        word_ends = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(ends[word_ends])
+        return ids, np.diff(ends[split.offsets.to_numpy()])
