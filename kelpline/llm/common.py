@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from kelpline.sources.scratch import scratch_path, scratch_root, stored
+
+__all__ = ["documents", "give_back", "mapped", "ranges", "scratch_path", "scratch_root", "slices", "stored", "tune", "width"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,42 +26,29 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session. Only where it is unset and Spark runs in one process, as in tests, a
-    folder is made."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="kelpline-")
-        sc.setCheckpointDir(root)
-    return root
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow, after which the Python worker gives back what it doesn't need: workers
+    live on from stage to stage."""
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return df.mapInArrow(whole, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so that a lost
-    executor costs no more than a read. The files stay until the folder is cleaned."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of the input files, by the optimiser's statistics (no job)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def ranges(lengths: np.ndarray) -> np.ndarray:
     """0..l-1 for each l in turn, in one array."""
     ends = np.cumsum(lengths)

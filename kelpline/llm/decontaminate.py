@@ -208,10 +208,21 @@ def spans(text: bytes, hits: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _found(docs: DataFrame, block: Block) -> DataFrame:
-    """``docs`` with n_words, and hits and items joined with those that it has already."""
+def cut(text: bytes, hits: np.ndarray) -> bytes:
+    """The text without the spans of hit words."""
+    out, at = [], 0
+    for s, e in spans(text, hits):
+        out.append(text[at:s])
+        at = e
+    return b"".join([*out, text[at:]])
+
+
+def _found(docs: DataFrame, block: Block, cutting: bool) -> DataFrame:
+    """``docs`` with n_words, and hits and items joined with those that it has already; or, when
+    cutting, without these columns and with the hits cut out of the texts."""
     kept = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
-    schema = T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string("n_words long, hits array<int>, items array<string>").fields])
+    fields = [docs.schema[c] for c in kept]
+    schema = T.StructType(fields if cutting else [*fields, *T._parse_datatype_string("n_words long, hits array<int>, items array<string>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,19 +234,26 @@ def _found(docs: DataFrame, block: Block) -> DataFrame:
                     old_hits, old_items = part.column("hits").to_pylist(), part.column("items").to_pylist()
                     hits = {d: np.union1d(h, hits.get(d, [])).astype(np.int64) for d, h in enumerate(old_hits) if h or d in hits}
                     items = {d: {*x, *items.get(d, ())} for d, x in enumerate(old_items) if x or d in items}
-                new = [pa.array(counts, pa.int64()), pa.array([hits[d].tolist() if d in hits else [] for d in range(b - a)], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(b - a)], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=schema.names)
+                if cutting:
+                    text = pa.array([cut(t, hits[d]) if d in hits else t for d, t in enumerate(texts[a:b])], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in kept], names=kept)
+                else:
+                    new = [pa.array(counts, pa.int64()), pa.array([hits[d].tolist() if d in hits else [] for d in range(b - a)], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(b - a)], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of ``docs`` that are asked for plus n_words long, hits array<int> (numbers
-    of hit words, from 0) and items array<string>. Columns named so in ``docs`` are replaced."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cutting: bool = False) -> DataFrame:
+    """The columns of ``docs`` plus n_words long, hits array<int> (numbers of hit words, from 0)
+    and items array<string>; columns named so in ``docs`` are replaced. When cutting, the
+    columns of ``docs``, with the hits cut out of the texts."""
     out = docs.drop("n_words", "hits", "items")
-    for i, block in enumerate(blocks(benchmark, window, block_bytes)):
-        out = _found(common.stored(out, "decontaminate") if i else out, block)
-    return out
+    every = blocks(benchmark, window, block_bytes)
+    block, i = next(every), 0
+    while (following := next(every, None)) is not None:
+        out, block, i = common.stored(_found(out, block, False), "decontaminate"), following, i + 1
+    return _found(out, block, cutting)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -252,27 +270,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the merged spans of hit words; all columns and rows stay, n_chars
+    """``docs`` without the merged spans of hit words; all rows and columns stay, n_chars
     follows the text if there is one."""
     common.tune(docs.sparkSession)
-    names = docs.columns
-    found = find(docs, benchmark, window, block_bytes).select(*docs.schema.names, "hits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for i, h in enumerate(batch.column("hits").to_pylist()):
-                if h:
-                    out, at = [], 0
-                    for s, e in spans(texts[i], np.array(h)):
-                        out.append(texts[i][at:s])
-                        at = e
-                    texts[i] = b"".join([*out, texts[i][at:]])
-            text = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names=names)
-
-    cut = found.mapInArrow(run, docs.schema)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
+    clash = {c: f"_kept_{c}" for c in ("n_words", "hits", "items") if c in docs.columns}
+    left = find(docs.withColumnsRenamed(clash), benchmark, window, block_bytes, cutting=True)
+    left = left.withColumnsRenamed({v: k for k, v in clash.items()})
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

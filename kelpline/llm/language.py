@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 pred = [model.languages[k] if good else UNKNOWN for k, good in zip(best.tolist(), ok, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(np.where(ok, sure, 0.0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

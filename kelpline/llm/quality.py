@@ -64,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
             counts = np.array([features(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return common.mapped(docs.select("doc_id", "text"), run, _SCHEMA)
 
 
 def _share(part: str, whole: str) -> Column:

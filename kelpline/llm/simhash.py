@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import common, graph
+from kelpline.llm import common
+from kelpline.operators import graph
 
 SEED, SHINGLE, MOST = 42, 3, 2
 #: Bits of a tree level; node pairs opened at a time; fingerprints a bucket may hold before it is split.
@@ -54,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = b"".join(map(fingerprint, batch.column(1).cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return common.mapped(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:

@@ -290,7 +290,7 @@ def _chunked(docs: DataFrame, partitions: int) -> DataFrame:
             yield chunk()
 
     name = f"kelpline_chunks_{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", "text").mapInArrow(run, "chunk long, doc_ids array<long>, lengths array<long>, data binary")
+    rows = common.mapped(docs.select("doc_id", "text"), run, "chunk long, doc_ids array<long>, lengths array<long>, data binary")
     rows.write.format("parquet").option("compression", "none").option("path", common.scratch_path(spark, "chunks")).bucketBy(partitions, "chunk").saveAsTable(name)
     return spark.table(name)
 
@@ -327,7 +327,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         return run
 
     for level in (1, 2, 3):
-        sent = known.mapInArrow(send(level), "bucket int, chunk long, data binary")
+        sent = common.mapped(known, send(level), "bucket int, chunk long, data binary")
         got = sent.groupBy("bucket").applyInArrow(answer(level), _Masks)
         masks = got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias(f"masks{level}"))
         known = known.join(common.stored(masks, f"digits{level}"), "chunk", "left")
@@ -339,7 +339,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return known.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return common.mapped(known, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,9 @@ class Shard:
         slot = self.index.slots(keys, self.seed)
         ok = (slot >= 0) & (slot < len(self.table))
         ok[ok] = self.table["fingerprint"][slot[ok]] == _fingerprints(keys[ok], self.seed)
-        return np.where(ok, self.table["document"][np.where(ok, slot, 0)] if len(self.table) else -1, -1).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        out[ok] = self.table["document"][slot[ok]]
+        return out
 
     def ids_at(self, document: int) -> np.ndarray:
         return self.ids[self.starts[document] : self.starts[document + 1]].astype("<u4")
@@ -170,6 +172,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 lengths.append(counts + 1)
         if shard is None:
             return
+        enc.forget()
         ids = np.concatenate(parts)
         data = pack_shard(shard, doc_ids, ids, np.concatenate(lengths), id_bytes)
         name = f"shard-{shard:07d}.tok"
@@ -181,7 +184,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         files.move(attempt, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (name, pa.string()), (len(doc_ids), pa.int64()), (len(ids), pa.int64()), (doc_ids, pa.list_(pa.int64())))], names=["shard", "file", "n_docs", "n_ids", "doc_ids"])
 
-    ordered.mapInArrow(run, "shard int, file string, n_docs long, n_ids long, doc_ids array<long>").write.parquet(f"{path}/manifest")
+    common.mapped(ordered, run, "shard int, file string, n_docs long, n_ids long, doc_ids array<long>").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -210,7 +213,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                 crc = [zlib.crc32(shard.ids_at(i)) for i in at.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(row["begin"] + shard.starts[at]), pa.array(shard.starts[at + 1] - shard.starts[at]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return plan.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.mapped(plan, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:

@@ -266,7 +266,7 @@ def scored(docs: DataFrame, scorer: Scorer, column: str = "toxicity") -> DataFra
                 out.append(scorer.score(evidence(text, lexicon)) if found else none)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return common.mapped(docs.select(*kept), run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
