@@ -20,4 +20,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": secrets.op10_secret_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
 }
-ORACLE: dict[str, str] = {}
+_OP1 = r"""
+with d as (select doc_id, hex(encode(coalesce(text,''))) as h, octet_length(encode(coalesce(text,''))) as n from documents),
+p as (select doc_id, i, md5(substr(h, 2*i+1, 100)) as w from (select doc_id, h, n, unnest(range(0, n-49)) as i from d where n>=50)),
+s as (select doc_id, i, w, min(doc_id) over (partition by w) as least from p),
+g as (select doc_id, i, case when i-50 <= lag(i) over (partition by doc_id order by i) then 0 else 1 end as new from s where least<doc_id),
+r as (select doc_id, min(i) as a, max(i)+50 as b from (select doc_id, i, sum(new) over (partition by doc_id order by i rows unbounded preceding) as run from g) group by doc_id, run),
+l as (select *, lag(b) over (partition by doc_id order by a) as before, row_number() over (partition by doc_id order by a desc) as last from r),
+k as (select doc_id, count(*) as n_spans, sum(b-a) as n_removed, string_agg(substr(h, 2*coalesce(before,0)+1, 2*(a-coalesce(before,0)))||case when last=1 then substr(h, 2*b+1) else '' end, '' order by a) as kept from l join d using (doc_id) group by 1)
+select d.doc_id, n as n_bytes, cast(coalesce(n_removed,0) as bigint) as n_removed, coalesce(n_spans,0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k using (doc_id)
+"""
+
+_OP9 = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bw as (select distinct item_id, least(len(ws),10) as n, list_slice(ws, i, i+least(len(ws),10)-1) as win from (select item_id, ws, unnest(range(1, greatest(len(ws)-9,1)+1)) as i from b where len(ws)>0)),
+sizes as (select distinct n from bw),
+dw as (select doc_id, i, n, list_slice(ws, i, i+n-1) as win from (select doc_id, ws, n, unnest(range(1, len(ws)-n+2)) as i from w cross join sizes where len(ws)>=n)),
+h as (select doc_id, i, n, item_id from dw join bw using (n, win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i+n)) as p from (select distinct doc_id, i, n from h)) group by 1),
+it as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as items from (select distinct doc_id, cast(item_id as varchar) as s from h) group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit,0) as n_hit, coalesce(n_items,0) as n_items, sha256(coalesce(items,'')) as items_sha256, coalesce(n_hit,0)>0 as contaminated
+from w left join hit using (doc_id) left join it using (doc_id)
+"""
+
+#: The others need a tokenizer, XXH64, or a trained model, and are tested against plain versions.
+ORACLE: dict[str, str] = {"op1_suffix_array_dedup": _OP1, "op9_benchmark_decontamination": _OP9}
