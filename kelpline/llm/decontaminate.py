@@ -26,7 +26,7 @@ from kelpline.llm import common
 
 WINDOW = 10
 #: Bytes of benchmark text that go to the executors at once; bytes of documents in a shard; distance of sampled suffixes.
-BLOCK_BYTES, SHARD_BYTES, SAMPLE = 4 << 20, 8 << 20, 8
+BLOCK_BYTES, SHARD_BYTES, SAMPLE = 1 << 20, 8 << 20, 8
 
 _LETTERS = bytes(range(ord("a"), ord("z") + 1)) + b"0123456789" + bytes(range(128, 256))
 _TABLE = bytes((c | 32 if 65 <= c <= 90 else c if c in _LETTERS else 32) for c in range(256))

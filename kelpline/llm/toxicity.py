@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kelpline.llm import common
 
 #: Bound of the training sample, in labelled documents: toxic ones, and others for each of those.
-SAMPLE, OTHERS = 3000, 2
+SAMPLE, OTHERS = 2000, 2
 #: A term occurs in toxic documents after and before so many different words (and as many as a hundredth of those documents),
 #: and in so much greater a share of them than of others; longest beginning of a word; greatest number of terms.
 CONTEXTS, RATIO, LONGEST, TERMS = 8, 10.0, 10, 2000
