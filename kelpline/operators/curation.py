@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpline.functions.rules import coverage_tier
+from kelpline.operators.order import numbered
 
 
 def split_sizes(n: Column, train: float = 0.7, val: float = 0.15) -> tuple[Column, Column]:
@@ -111,7 +112,7 @@ def unseen(new: DataFrame, known: DataFrame, code: str, *order: Column) -> DataF
 
 def augmentation_plan(sources: DataFrame, key: str, wanted: int, transforms: int = 8) -> DataFrame:
     """(i, source, transform, pass): images made by going round the sources, then the transforms."""
-    ranked = sources.filter(~F.col(key).contains("_aug_")).withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)
+    ranked = numbered(sources.filter(~F.col(key).contains("_aug_")).select(key), key, "_at", 0)
     n = ranked.agg(F.count("*").alias("_n"))
     plan = sources.sparkSession.range(wanted).withColumnRenamed("id", "i").crossJoin(F.broadcast(n)).filter("_n > 0")
     plan = plan.select("i", (F.col("i") % F.col("_n")).alias("_at"), F.expr(f"cast(i div _n % {transforms} as int)").alias("transform"), F.expr(f"i div (_n * {transforms})").alias("pass"))

@@ -138,7 +138,9 @@ def weather(spark: SparkSession, path: str) -> DataFrame:
     """A landed forecast, a row per day; its arrays run side by side."""
     daily = "time:array<string>,weathercode:array<int>,precipitation_sum:array<double>,temperature_2m_max:array<double>,temperature_2m_min:array<double>"
     found = spark.read.schema(f"latitude double, longitude double, daily struct<{daily}>").json(path)
-    zipped = F.arrays_zip("daily.time", "daily.weathercode", "daily.precipitation_sum", "daily.temperature_2m_max", "daily.temperature_2m_min")
+    names = ("weathercode", "precipitation_sum", "temperature_2m_max", "temperature_2m_min")
+    nothing = F.transform("daily.time", lambda _: F.lit(None))  # for an array that the answer lacks
+    zipped = F.arrays_zip(F.col("daily.time").alias("time"), *[F.coalesce(f"daily.{n}", nothing).alias(n) for n in names])
     return found.select("latitude", "longitude", F.explode(zipped).alias("d")).select("latitude", "longitude", "d.*")
 
 

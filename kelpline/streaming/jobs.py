@@ -83,7 +83,7 @@ def sessions(df: DataFrame, key: str, order: str, event: str) -> DataFrame:
         rows = sorted(((o, e) for pdf in batches for o, e in zip(pdf[order], pdf[event], strict=True)), key=lambda x: x[0])
         for at, what in rows:
             if what in ("open", "close") and opened is not None:
-                out.append((k[0], n, opened, int(at)))
+                out.append((k[0], n - 1, opened, int(at)))
                 opened = None
             if what == "open":
                 opened, n = int(at), n + 1
