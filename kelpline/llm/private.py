@@ -32,7 +32,7 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 _GENERATORS = [
     (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", r"(?i)@|\bdot\b"),
-    (r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,5}\)?[ .-]?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3}(?![0-9A-Za-z])", r"[0-9][0-9) .-]{5}"),
+    (r"(?<![0-9A-Za-z.+-])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))\(?[0-9]{2,5}\)?[ .-]?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3}(?![0-9A-Za-z])", r"[0-9][0-9) .-]{5}"),
     (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
