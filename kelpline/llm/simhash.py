@@ -11,7 +11,8 @@ fingerprints is split by blocks of its remaining bits first, by the same argumen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,9 @@ from kelpline.llm import common
 from kelpline.operators import graph
 
 SEED, SHINGLE, MOST = 42, 3, 2
+#: For similar documents: words of a shingle, least similarity, differing bits of candidates, bins of a sketch, and fingerprints a
+#: bucket may hold before it is split (a split copies each sketch once per block).
+SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS, BINS, SIMILAR_SPLIT = 5, 0.8, 6, 128, 50_000
 #: Bits of a tree level; node pairs opened at a time; fingerprints a bucket may hold before it is split.
 _DIGIT, _OPEN, SPLIT = 6, 1 << 21, 2_000
 
@@ -84,19 +88,58 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = _roots(label)
 
 
-def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST) -> np.ndarray:
+def _leaders(bucket: np.ndarray, code: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For sorted rows, the row that stands for each: of rows with one code the first that it is
+    the same as. Each row is compared with those that stand for others, not with all."""
+    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])]) if len(code) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    stands = np.repeat(first, np.diff(np.append(first, len(code))))
+    left = np.flatnonzero(~new)
+    while len(left):
+        alike = same(left, stands[left])
+        left = left[~alike]
+        heads, at = np.unique(stands[left], return_index=True)
+        fresh = left[at]  # in each run the first that is unlike so far stands for itself
+        stands[left] = np.repeat(fresh, np.diff(np.append(at, len(left))))
+        left = left[stands[left] != left]
+    return stands
+
+
+def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """For rows of (bucket, code), codes being left-aligned uint64 of ``n_bits`` bits, the
     least row that each is connected to by links of at most ``most`` differing bits
-    inside its bucket."""
+    inside its bucket. With ``same`` (of two arrays of rows), only pairs that it holds for
+    are links."""
     n = len(code)
     order = np.lexsort((gray_rank(code), bucket))
     bucket, code = bucket[order], code[order]
+    if same:
+        stands = _leaders(bucket, code, lambda a, b: same(order[a], order[b]))
+        kept = np.flatnonzero(stands == np.arange(n))
+        rows = order[kept]
+        label = _search(bucket[kept], code[kept], n_bits, most, lambda a, b: same(rows[a], rows[b]))
+        label = kept[label][np.searchsorted(kept, stands)]
+    else:
+        label = _search(bucket, code, n_bits, most, None)
+    out = np.arange(n)
+    least = np.full(n, n)
+    np.minimum.at(least, label, order)
+    out[order] = least[label]
+    return out
+
+
+def _search(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> np.ndarray:
+    """Of sorted rows, the first row of the tree of links that each is in."""
+    n = len(code)
     # nodes by level: first row of each run that shares the bucket and the leading bits
     depth = [0, *range(_DIGIT, n_bits, _DIGIT), n_bits]
     starts = []
     for d in depth:
         top = code >> np.uint64(64 - d) if d else np.zeros(n, np.uint64)
         starts.append(np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (top[1:] != top[:-1])])) if n else np.zeros(0, np.int64))
+    if same:
+        depth.append(n_bits)
+        starts.append(np.arange(n))  # rows with one code are unlike here
     label = np.arange(n)
     roots = np.flatnonzero(np.diff(np.append(starts[0], n)) > 1)
     work = [(0, roots, roots)]
@@ -105,6 +148,10 @@ def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST)
         if not len(a):
             continue
         if level == len(depth) - 1:
+            if same:
+                apart = np.flatnonzero((a != b) & (label[a] != label[b]))
+                apart = apart[same(a[apart], b[apart])]
+                a, b = a[apart], b[apart]
             label = _union(label, starts[level][a], starts[level][b])
             continue
         first = np.searchsorted(starts[level + 1], starts[level])
@@ -126,12 +173,7 @@ def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST)
             alone &= np.diff(np.append(starts[level + 1], n))[x] == 1  # one row meets only itself
         keep = (apart <= most) & ~alone
         work.append((level + 1, x[keep], y[keep]))
-    label = _roots(label)[np.repeat(starts[-1], np.diff(np.append(starts[-1], n)))]  # equal codes follow their first row
-    out = np.arange(n)
-    least = np.full(n, n)
-    np.minimum.at(least, label, order)
-    out[order] = least[label]
-    return out
+    return _roots(label)[np.repeat(starts[-1], np.diff(np.append(starts[-1], n)))]  # equal codes follow their first row
 
 
 def _turned(fp: F.Column, start: int, bits: int) -> tuple[F.Column, F.Column]:
@@ -140,37 +182,42 @@ def _turned(fp: F.Column, start: int, bits: int) -> tuple[F.Column, F.Column]:
     return F.shiftrightunsigned(turned, 64 - bits), turned
 
 
-def link_forest(uniq: DataFrame, most: int = MOST, split: int = SPLIT) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``fp`` of ``uniq`` exactly as
-    all links would; at most one edge for a fingerprint and bucket."""
+def _bucketed(rows: DataFrame, most: int, split: int) -> Iterator[tuple[int, DataFrame]]:
+    """For each block of bits: the number of the other bits, and ``rows`` (with fp) with the bits
+    turned so that the block comes first, and with bucket and part."""
     cuts = [round(i * 64 / (most + 1)) for i in range(most + 2)]
-    width = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def group(rest: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            code = pdf["turned"].to_numpy(np.int64).view(np.uint64) << np.uint64(64 - rest)
-            _, bucket = np.unique(pdf["bucket"].to_numpy(np.int64), return_inverse=True)
-            root = linked(bucket, code, rest, most)
-            fp = pdf["fp"].to_numpy(np.int64)
-            own = root != np.arange(len(root))
-            return pd.DataFrame({"a": fp[own], "b": fp[root[own]]})
-
-        return run
-
-    parts, edges = common.width(uniq.sparkSession), None
-    for start, bits in zip(cuts, width, strict=False):
+    parts = 4 * common.width(rows.sparkSession)
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        bits = end - start
         rest = 64 - bits
         key, turned = _turned(F.col("fp"), start, bits)
-        rows = uniq.select("fp", key.alias("key"), turned.alias("turned"))
+        keyed = rows.withColumn("key", key).withColumn("turned", turned)
         # crowded buckets go on to blocks of the bits that are left; their keys are few
-        crowd = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.lit(True).alias("crowded"))
-        rows = rows.join(crowd, "key", "left")
+        crowd = rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.lit(True).alias("crowded"))
+        keyed = keyed.join(crowd, "key", "left")
         inner = [round(i * rest / (most + 1)) for i in range(most + 2)]
         finer = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.shiftleft("turned", bits + a), 64 - (b - a))) for i, (a, b) in enumerate(zip(inner, inner[1:], strict=False))])
-        rows = rows.select("fp", "turned", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array(F.xxhash64("key")))).alias("bucket"))
-        found = rows.withColumn("part", F.pmod("bucket", F.lit(4 * parts))).groupBy("part").applyInPandas(group(rest), "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
-    return edges
+        buckets = F.when(F.col("crowded"), finer).otherwise(F.array(F.xxhash64("key")))
+        yield rest, keyed.select(*rows.columns, "turned", F.explode(buckets).alias("bucket")).withColumn("part", F.pmod("bucket", F.lit(parts)))
+
+
+def _codes(pdf: pd.DataFrame, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(pdf["bucket"].to_numpy(np.int64), return_inverse=True)[1], pdf["turned"].to_numpy(np.int64).view(np.uint64) << np.uint64(64 - rest)
+
+
+def _edges(ids: pd.Series, root: np.ndarray) -> pd.DataFrame:
+    ids, own = ids.to_numpy(np.int64), root != np.arange(len(root))
+    return pd.DataFrame({"a": ids[own], "b": ids[root[own]]})
+
+
+def link_forest(uniq: DataFrame, most: int = MOST, split: int = SPLIT) -> DataFrame:
+    """Edges (a, b) that connect the distinct fingerprints ``fp`` of ``uniq`` exactly as
+    all links would; at most one edge for a fingerprint and bucket."""
+
+    def group(rest: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: _edges(pdf["fp"], linked(*_codes(pdf, rest), rest, most))
+
+    return reduce(DataFrame.unionByName, [rows.groupBy("part").applyInPandas(group(rest), "a long, b long") for rest, rows in _bucketed(uniq.select("fp"), most, split)])
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
@@ -192,5 +239,87 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _word_bits(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words, through a cache."""
+    import xxhash
+
+    out = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            if len(known) > 300_000:
+                known.clear()
+            h = known[w] = xxhash.xxh64_intdigest(w, SEED)
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+def word_profile(text: bytes | None, known: dict[bytes, int], bins: int = BINS) -> tuple[int, int, bytes]:
+    """Of a text: a number for its words in order, the fingerprint of its distinct words, and a
+    one-permutation sketch of its five-word shingles: 16 bits of the least hash in each of
+    ``bins`` bins, 0 for an empty bin. Wordless texts have the number 0."""
+    import xxhash
+
+    ws = text.lower().split() if text else []
+    if not ws:
+        return 0, 0, bytes(2 * bins)
+    h = _word_bits(ws, known)
+    bits = np.unpackbits(np.unique(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    fp = int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits)).view(">i8")[0])
+    k, mixed = min(SIMILAR_WORDS, len(h)), np.zeros(len(h) - min(SIMILAR_WORDS, len(h)) + 1, np.uint64)
+    for i in range(k):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)]
+    mixed = np.sort((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
+    at = (mixed >> np.uint64(32)).astype(np.int64) * bins >> 32
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    sketch = np.zeros(bins, "<u2")
+    sketch[at[first]] = (mixed[first] & np.uint64(0xFFFF)) | np.uint64(1)
+    return int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0]), fp, sketch.tobytes()
+
+
+def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float = SIMILARITY, split: int = SIMILAR_SPLIT) -> DataFrame:
+    """doc_id and component_id of every row of ``docs`` (doc_id, text): documents are linked if
+    their five-word shingles have a similarity (Jaccard) of about ``least`` or more.
+
+    Candidates are fingerprints of distinct words that differ in at most ``most`` bits, from the
+    Gray-order index; each is checked by sketches of the shingles before it links. Texts with
+    the same words in order are one from the start; a text is compared with those that stand
+    for others of its fingerprint. Null and wordless texts are alike. A null doc_id is a
+    component_id only if its component has no other. An empty table gives no rows."""
+    common.tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            profiles = [word_profile(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*profiles, strict=True) if profiles else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "number", "fp", "sketch"])
+
+    seen = common.stored(common.mapped(docs.select("doc_id", "text"), run, "doc_id long, number long, fp long, sketch binary"), "profiles")
+    uniq = common.stored(seen.groupBy("number").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "distinct")
+
+    def group(rest: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def links(pdf: pd.DataFrame) -> pd.DataFrame:
+            sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), -1)
+
+            def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                out = np.zeros(len(a), bool)
+                for i in range(0, len(a), 20_000):
+                    x, y = sketch[a[i : i + 20_000]], sketch[b[i : i + 20_000]]
+                    some = (x | y) > 0
+                    out[i : i + 20_000] = ((x == y) & some).sum(1) >= least * some.sum(1)
+                return out
+
+            return _edges(pdf["number"], linked(*_codes(pdf, rest), rest, most, same))
+
+        return links
+
+    rows = uniq.select("number", "fp", "sketch")
+    edges = reduce(DataFrame.unionByName, [r.select("number", "sketch", "turned", "bucket", "part").groupBy("part").applyInPandas(group(rest), "a long, b long") for rest, r in _bucketed(rows, most, split)])
+    star = graph.components(edges)
+    rooted = uniq.join(star.withColumnRenamed("u", "number"), "number", "left").select("number", "least", F.coalesce("v", "number").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return seen.select("doc_id", "number").join(rooted.join(ids, "root").select("number", "component_id"), "number").select("doc_id", "component_id")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))

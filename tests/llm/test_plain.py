@@ -166,6 +166,33 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_similar(spark):
+    """Copies with some words changed are together, unlike texts of the same words aren't."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8)))
+    rows, family = list(HARD), {}
+    for k in range(12):
+        base = [word() for _ in range(300)]
+        rows.append((1000 + 100 * k, " ".join(base)))
+        for j in range(1, 6):
+            copy = list(base)
+            for _ in range(j):
+                copy[rnd.randrange(300)] = word()
+            rows.append((1000 + 100 * k + j, ("\n" if j % 2 else "  ").join(copy).upper() if j == 3 else " ".join(copy)))
+            family[1000 + 100 * k + j] = 1000 + 100 * k
+        rnd.shuffle(base)
+        rows.append((1000 + 100 * k + 50, " ".join(base)))
+        rows.append((1000 + 100 * k + 51, " ".join(base[:150])))
+    for split in (simhash.SIMILAR_SPLIT, 4):
+        got = {}
+        for r in simhash.similar_documents(table(spark, rows), split=split).collect():
+            got.setdefault(r["doc_id"], set()).add(r["component_id"])
+        assert all(got[i] == {i} for i in range(1000, 2200) if i in got and i not in family)
+        assert sum(got[i] == {c} for i, c in family.items()) >= 0.95 * len(family)
+        assert got[1] == {1} and got[2] == {1} and got[3] == {1} and got[10] == {9} and got[None] == {1, None}
+    assert simhash.similar_documents(table(spark, [])).count() == 0
+
+
 def test_linked_crowded(spark):
     """A bucket beyond the split size gives the same components."""
     rng = np.random.default_rng(2)
