@@ -125,3 +125,20 @@ def test_streaks_and_runs(spark):
     assert s == {1: 1, 2: 2, 3: 0, 4: 1}
     r = sorted((x["run"], x["value"], x["n"], x["text"]) for x in intake.runs(df, ["u"], ["i"], F.col("k"), F.col("i").cast("string"), "+").collect())
     assert r == [(1, "e", 2, "1+2"), (2, "ok", 1, "3"), (3, "e", 1, "4")]
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(1, 40)]
+    hub = [(100, i) for i in range(101, 160)]
+    edges = spark.createDataFrame(chain + hub + [(7, 7), (200, 199)], "a long, b long")
+    got = {r["node"]: r["component"] for r in clusters.near_clusters(edges.withColumn("distance", F.lit(1))).collect()}
+    assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160)) and got[200] == 199
+    assert clusters.near_clusters(edges.limit(0)).count() == 0
+
+
+def test_numbers(spark):
+    from kelpline.operators.order import numbered
+
+    df = spark.createDataFrame([(f"{(i * 37) % 101:03d}",) for i in range(101)], "name string")
+    got = sorted((r["n"], r["name"]) for r in numbered(df, "name", "n").collect())
+    assert got == [(i + 1, f"{i:03d}") for i in range(101)]
