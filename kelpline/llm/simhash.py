@@ -192,9 +192,9 @@ def _bucketed(rows: DataFrame, most: int, split: int) -> Iterator[tuple[int, Dat
         rest = 64 - bits
         key, turned = _turned(F.col("fp"), start, bits)
         keyed = rows.withColumn("key", key).withColumn("turned", turned)
-        # crowded buckets go on to blocks of the bits that are left; their keys are few
+        # crowded buckets go on to blocks of the bits that are left. Of a block's at most 2 ** 22 keys one in `split` rows is crowded
         crowd = rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.lit(True).alias("crowded"))
-        keyed = keyed.join(crowd, "key", "left")
+        keyed = keyed.join(F.broadcast(crowd), "key", "left")
         inner = [round(i * rest / (most + 1)) for i in range(most + 2)]
         finer = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.shiftleft("turned", bits + a), 64 - (b - a))) for i, (a, b) in enumerate(zip(inner, inner[1:], strict=False))])
         buckets = F.when(F.col("crowded"), finer).otherwise(F.array(F.xxhash64("key")))
