@@ -27,6 +27,8 @@ SEED, SHINGLE, MOST = 42, 3, 2
 #: For similar documents: words of a shingle, least similarity, differing bits of candidates, bins of a sketch, and fingerprints a
 #: bucket may hold before it is split (a split copies each sketch once per block).
 SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS, BINS, SIMILAR_SPLIT = 5, 0.8, 6, 128, 50_000
+#: By how much a sketch may fall short of the least similarity: about its standard error.
+SHORT = 0.03
 #: Bits of a tree level; node pairs opened at a time; fingerprints a bucket may hold before it is split.
 _DIGIT, _OPEN, SPLIT = 6, 1 << 21, 2_000
 
@@ -282,7 +284,7 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
     their five-word shingles have a similarity (Jaccard) of about ``least`` or more.
 
     Candidates are fingerprints of distinct words that differ in at most ``most`` bits, from the
-    Gray-order index; each is checked by sketches of the shingles before it links. Texts with
+    Gray-order index; each is checked by sketches of the shingles (less SHORT) before it links. Texts with
     the same words in order are one from the start; a text is compared with those that stand
     for others of its fingerprint. Null and wordless texts are alike. A null doc_id is a
     component_id only if its component has no other. An empty table gives no rows."""
@@ -299,6 +301,7 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
 
     def group(rest: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("number")  # which text stands for others doesn't depend on arrival
             sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), -1)
 
             def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -306,7 +309,7 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
                 for i in range(0, len(a), 20_000):
                     x, y = sketch[a[i : i + 20_000]], sketch[b[i : i + 20_000]]
                     some = (x | y) > 0
-                    out[i : i + 20_000] = ((x == y) & some).sum(1) >= least * some.sum(1)
+                    out[i : i + 20_000] = ((x == y) & some).sum(1) >= (least - SHORT) * some.sum(1)
                 return out
 
             return _edges(pdf["number"], linked(*_codes(pdf, rest), rest, most, same))
