@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kelpline.llm import common
 from kelpline.operators import graph
@@ -29,6 +30,9 @@ SEED, SHINGLE, MOST = 42, 3, 2
 SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS, BINS, SIMILAR_SPLIT = 5, 0.8, 6, 128, 50_000
 #: By how much a sketch may fall short of the least similarity: about its standard error.
 SHORT = 0.03
+#: Bins of a band: texts that agree in one band of their sketches are candidates whatever their fingerprints. At a similarity of 0.8
+#: one of 21 bands of 6 bins agrees with a probability of 1 - (1 - 0.8 ** 6) ** 21 = 0.998, wherever the texts differ.
+BAND = 6
 #: Bits of a tree level; node pairs opened at a time; fingerprints a bucket may hold before it is split.
 _DIGIT, _OPEN, SPLIT = 6, 1 << 21, 2_000
 
@@ -279,12 +283,24 @@ def word_profile(text: bytes | None, known: dict[bytes, int], bins: int = BINS)
     return int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0]), fp, sketch.tobytes()
 
 
+def _banded(rows: DataFrame, band: int = BAND, bins: int = BINS) -> DataFrame:
+    """``rows`` (number, sketch) once for each band of bins that another row has equal, with
+    bucket and part. Bands without a shingle have no bucket; one that only one text has is
+    left out before sketches are copied."""
+    parts = 4 * common.width(rows.sparkSession)
+    cuts = [F.substring("sketch", 2 * i + 1, 2 * band) for i in range(0, bins - band + 1, band)]
+    keys = F.array(*[F.when(c != F.lit(bytes(2 * band)), F.xxhash64(F.lit(i), c)) for i, c in enumerate(cuts)])
+    met = rows.select("number", F.explode(keys).alias("bucket")).filter("bucket is not null")
+    met = met.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
+    return met.join(rows, "number").withColumn("part", F.pmod("bucket", F.lit(parts)))
+
+
 def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float = SIMILARITY, split: int = SIMILAR_SPLIT) -> DataFrame:
     """doc_id and component_id of every row of ``docs`` (doc_id, text): documents are linked if
     their five-word shingles have a similarity (Jaccard) of about ``least`` or more.
 
     Candidates are fingerprints of distinct words that differ in at most ``most`` bits, from the
-    Gray-order index; each is checked by sketches of the shingles (less SHORT) before it links. Texts with
+    Gray-order index, and texts that agree in a band of their sketches; each is checked by sketches of the shingles (less SHORT) before it links. Texts with
     the same words in order are one from the start; a text is compared with those that stand
     for others of its fingerprint. Null and wordless texts are alike. A null doc_id is a
     component_id only if its component has no other. An empty table gives no rows."""
@@ -299,7 +315,7 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
     seen = common.stored(common.mapped(docs.select("doc_id", "text"), run, "doc_id long, number long, fp long, sketch binary"), "profiles")
     uniq = common.stored(seen.groupBy("number").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "distinct")
 
-    def group(rest: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def group(rest: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         def links(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("number")  # which text stands for others doesn't depend on arrival
             sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), -1)
@@ -317,7 +333,9 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
         return links
 
     rows = uniq.select("number", "fp", "sketch")
-    edges = reduce(DataFrame.unionByName, [r.select("number", "sketch", "turned", "bucket", "part").groupBy("part").applyInPandas(group(rest), "a long, b long") for rest, r in _bucketed(rows, most, split)])
+    found = [(rest, most, r) for rest, r in _bucketed(rows, most, split)]
+    found.append((_DIGIT, 0, _banded(rows.select("number", "sketch")).withColumn("turned", F.lit(0).cast("long"))))  # one code: all of a bucket meet
+    edges = reduce(DataFrame.unionByName, [r.select("number", "sketch", "turned", "bucket", "part").groupBy("part").applyInPandas(group(rest, most), "a long, b long") for rest, most, r in found])
     star = graph.components(edges)
     rooted = uniq.join(star.withColumnRenamed("u", "number"), "number", "left").select("number", "least", F.coalesce("v", "number").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

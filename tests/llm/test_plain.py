@@ -193,6 +193,22 @@ def test_similar(spark):
     assert simhash.similar_documents(table(spark, [])).count() == 0
 
 
+def test_similar_blocks(spark):
+    """Copies with another end or a footer are together, though their words' fingerprints are far apart."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    rows, far = [], 0
+    for k in range(40):
+        base, other = [word() for _ in range(300)], [word() for _ in range(40)]
+        copy = base[:275] + other[:25] if k % 2 else base + other
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = (simhash.word_profile(" ".join(t).encode(), {})[1] for t in (base, copy))
+        far += ((a ^ b) % 2**64).bit_count() > simhash.SIMILAR_BITS
+    assert far > 10
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, rows)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_linked_crowded(spark):
     """A bucket beyond the split size gives the same components."""
     rng = np.random.default_rng(2)
