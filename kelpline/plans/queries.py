@@ -265,6 +265,26 @@ def near_dup_clusters(t):
     return clusters.near_clusters(near_dup_pairs(t))
 
 
+_PAIRS64 = """m as (select vec_id, list_transform(embedding, lambda x: x>=0) as c from embeddings where embedding is not null),
+h as (select c, min(vec_id) as head from m group by c),
+d as (select x.head as a, y.head as b, cast(list_sum(list_transform(list_zip(x.c,y.c), lambda z: cast(z[1]<>z[2] as int))) as int) as distance from h x join h y on x.head<y.head),
+p as (select a, b, distance from d where distance<=18 union all select head, vec_id, 0 from m join h using (c) where vec_id>head)"""
+
+
+@query(f"with {_PAIRS64} select a, b, distance from p")
+def near_dup_pairs_64(t):
+    return clusters.near_pairs_in_blocks(t("embeddings").select("vec_id", _sign_code(0, 64).alias("code")), "vec_id", "code", 18)
+
+
+@query(f"""
+with recursive {_PAIRS64},
+e as (select a as x, b as y from p union select b, a from p),
+c as (select x as node, x as root from e union select c.node, e.y from c join e on c.root=e.x)
+select node, min(root) as component from c group by 1""")
+def near_dup_clusters_64(t):
+    return clusters.near_clusters(near_dup_pairs_64(t))
+
+
 def _near(t: Tables) -> DataFrame:
     """Made-up near clusters over the same files: kept files of every second exact cluster."""
     exact = clusters.clustered(_files(t), "sha256", "filename", clusters.exact_order(), "exact")

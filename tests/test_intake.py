@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from kelpline.operators import clusters, curation, evaluation, intake, search
@@ -57,6 +59,20 @@ def test_near_pairs(spark):
     assert pairs(1, -1, -2) == [(0, 1, 1)]
 
 
+def test_near_pairs_in_blocks(spark):
+    """All pairs at a distance at which bands are too short, in more rows than one block holds."""
+    rnd = random.Random(3)
+    codes = [rnd.randrange(-(2**63), 2**63) for _ in range(60)]
+    codes += [c ^ (1 << 63) - 1 & sum(1 << rnd.randrange(63) for _ in range(k % 25)) for k, c in enumerate(codes)] + [codes[0]] * 3
+    head = {c: codes.index(c) for c in codes}
+    apart = lambda x, y: ((x ^ y) % 2**64).bit_count()
+    want = [(i, j, apart(x, y)) for x, i in head.items() for y, j in head.items() if i < j and apart(x, y) <= 18]
+    want += [(head[c], i, 0) for i, c in enumerate(codes) if i > head[c]]
+    for block in (7, 2000):
+        got = clusters.near_pairs_in_blocks(_codes(spark, *codes), "idx", "h", 18, block)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_exact_keep(spark):
     df = spark.createDataFrame([("b", "h", None, 5), ("a", "h", 42, 5), ("c", "g", 1, 5), ("d", None, 2, 5)], "filename string, sha256 string, msg_id long, max_side int")
     c = clusters.clustered(df, "sha256", "filename", clusters.exact_order(), "exact").collect()
