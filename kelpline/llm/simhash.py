@@ -35,6 +35,8 @@ SHORT = 0.03
 BAND = 6
 #: Bits of a tree level; node pairs opened at a time; fingerprints a bucket may hold before it is split.
 _DIGIT, _OPEN, SPLIT = 6, 1 << 21, 2_000
+#: Pairs of rows that are compared at a time, before those that are in one tree by then are left out.
+_MEET = 1 << 17
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -96,7 +98,8 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _leaders(bucket: np.ndarray, code: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """For sorted rows, the row that stands for each: of rows with one code the first that it is
-    the same as. Each row is compared with those that stand for others, not with all."""
+    the same as. Each row is compared with those that stand for others, not with all; this joins
+    the bulk of a family, and leaves links of the rows that are stood for to the search."""
     new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])]) if len(code) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     stands = np.repeat(first, np.diff(np.append(first, len(code))))
@@ -120,11 +123,8 @@ def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST,
     order = np.lexsort((gray_rank(code), bucket))
     bucket, code = bucket[order], code[order]
     if same:
-        stands = _leaders(bucket, code, lambda a, b: same(order[a], order[b]))
-        kept = np.flatnonzero(stands == np.arange(n))
-        rows = order[kept]
-        label = _search(bucket[kept], code[kept], n_bits, most, lambda a, b: same(rows[a], rows[b]))
-        label = kept[label][np.searchsorted(kept, stands)]
+        alike = lambda a, b: same(order[a], order[b])
+        label = _search(bucket, code, n_bits, most, alike, _leaders(bucket, code, alike))
     else:
         label = _search(bucket, code, n_bits, most, None)
     out = np.arange(n)
@@ -134,8 +134,45 @@ def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST,
     return out
 
 
-def _search(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> np.ndarray:
-    """Of sorted rows, the first row of the tree of links that each is in."""
+def _meet(label: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The labels after all rows of node ``a[i]`` have met all rows of node ``b[i]``, but for pairs
+    that are in one tree already. Nodes are runs of ``size`` rows from ``first``."""
+    if len(a):
+        low, high = np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)
+        open_ = np.flatnonzero((low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b]))
+        a, b = a[open_], b[open_]
+    each = size[a] * size[b]
+
+    def meet(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal label
+        apart = np.flatnonzero(label[x] != label[y])
+        x, y = x[apart], y[apart]
+        alike = same(x, y)
+        label = _union(label, x[alike], y[alike])
+
+    few = np.flatnonzero(each <= _MEET)
+    for s, e in common.slices(each[few].tolist(), _MEET):
+        at = few[s:e]
+        k, pair = common.ranges(each[at]), np.repeat(at, each[at])
+        meet(first[a[pair]] + k // size[b[pair]], first[b[pair]] + k % size[b[pair]])
+    for i in np.flatnonzero(each > _MEET).tolist():
+        x, y = (first[c[i]] + np.arange(size[c[i]]) for c in (a, b))
+        # rows of the largest tree don't meet each other
+        of, count = np.unique(np.append(label[x], label[y]), return_counts=True)
+        top = of[count.argmax()]
+        sides = [(x[label[x] != top], y), (y[label[y] != top], x[label[x] == top])]
+        for one, other in sides if a[i] != b[i] else sides[:1]:
+            step = max(1, _MEET // max(1, len(other)))
+            for s in range(0, len(one), step):
+                part = one[s : s + step]
+                meet(np.repeat(part, len(other)), np.tile(other, len(part)))
+    return label
+
+
+def _search(
+    bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, label: np.ndarray | None = None
+) -> np.ndarray:
+    """Of sorted rows, the first row of the tree of links that each is in; ``label`` has the trees known before."""
     n = len(code)
     # nodes by level: first row of each run that shares the bucket and the leading bits
     depth = [0, *range(_DIGIT, n_bits, _DIGIT), n_bits]
@@ -143,10 +180,7 @@ def _search(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int, same:
     for d in depth:
         top = code >> np.uint64(64 - d) if d else np.zeros(n, np.uint64)
         starts.append(np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (top[1:] != top[:-1])])) if n else np.zeros(0, np.int64))
-    if same:
-        depth.append(n_bits)
-        starts.append(np.arange(n))  # rows with one code are unlike here
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label
     roots = np.flatnonzero(np.diff(np.append(starts[0], n)) > 1)
     work = [(0, roots, roots)]
     while work:
@@ -155,10 +189,9 @@ def _search(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int, same:
             continue
         if level == len(depth) - 1:
             if same:
-                apart = np.flatnonzero((a != b) & (label[a] != label[b]))
-                apart = apart[same(a[apart], b[apart])]
-                a, b = a[apart], b[apart]
-            label = _union(label, starts[level][a], starts[level][b])
+                label = _meet(label, starts[level], np.diff(np.append(starts[level], n)), a, b, same)
+            else:
+                label = _union(label, starts[level][a], starts[level][b])
             continue
         first = np.searchsorted(starts[level + 1], starts[level])
         size = np.diff(np.append(first, len(starts[level + 1])))
@@ -175,10 +208,12 @@ def _search(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int, same:
         shared = np.uint64(64 - depth[level + 1])
         apart = np.bitwise_count((code[starts[level + 1][x]] ^ code[starts[level + 1][y]]) >> shared)
         alone = x == y
-        if level + 1 < len(depth) - 1:
+        if same or level + 1 < len(depth) - 1:
             alone &= np.diff(np.append(starts[level + 1], n))[x] == 1  # one row meets only itself
         keep = (apart <= most) & ~alone
         work.append((level + 1, x[keep], y[keep]))
+    if same:
+        return label
     return _roots(label)[np.repeat(starts[-1], np.diff(np.append(starts[-1], n)))]  # equal codes follow their first row
 
 
@@ -301,8 +336,8 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
 
     Candidates are fingerprints of distinct words that differ in at most ``most`` bits, from the
     Gray-order index, and texts that agree in a band of their sketches; each is checked by sketches of the shingles (less SHORT) before it links. Texts with
-    the same words in order are one from the start; a text is compared with those that stand
-    for others of its fingerprint. Null and wordless texts are alike. A null doc_id is a
+    the same words in order are one from the start; texts of one fingerprint are first compared
+    with those that stand for others, then all with all but those already joined. Null and wordless texts are alike. A null doc_id is a
     component_id only if its component has no other. An empty table gives no rows."""
     common.tune(docs.sparkSession)
 

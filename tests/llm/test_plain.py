@@ -209,6 +209,26 @@ def test_similar_blocks(spark):
     assert got == {i: i // 2 * 2 for i in range(80)}
 
 
+@pytest.mark.parametrize("meet", [4, 1 << 17])
+def test_linked_same(monkeypatch, meet):
+    """All links that hold count, also those of rows that are like an earlier row of their code."""
+    monkeypatch.setattr(simhash, "_MEET", meet)
+    chain = {(0, 1), (1, 2)}
+    same = lambda a, b: np.array([(min(p), max(p)) in chain for p in zip(a.tolist(), b.tolist(), strict=True)], bool)
+    for codes in ([0, 0, 1 << 60], [0, 0, 0]):
+        assert simhash.linked(np.zeros(3, np.int64), np.array(codes, np.uint64), 64, 6, same).tolist() == [0, 0, 0]
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 90):
+        bucket, code = rng.integers(0, 2, n), rng.integers(0, 6, n).astype(np.uint64) << np.uint64(40)
+        near = np.triu(rng.random((n, n)) < 2 / n, 1)
+        near |= near.T
+        link = near & (bucket[:, None] == bucket) & (np.bitwise_count(code[:, None] ^ code) <= 1)
+        want = np.arange(n)
+        while not np.array_equal(want, new := np.array([min(want[i], *want[link[i]]) if link[i].any() else want[i] for i in range(n)])):
+            want = new
+        assert simhash.linked(bucket, code, 64, 1, lambda a, b, near=near: near[a, b]).tolist() == want.tolist()
+
+
 def test_linked_crowded(spark):
     """A bucket beyond the split size gives the same components."""
     rng = np.random.default_rng(2)
