@@ -28,8 +28,8 @@ SEED, SHINGLE, MOST = 42, 3, 2
 #: For similar documents: words of a shingle, least similarity, differing bits of candidates, bins of a sketch, and fingerprints a
 #: bucket may hold before it is split (a split copies each sketch once per block).
 SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS, BINS, SIMILAR_SPLIT = 5, 0.8, 6, 128, 50_000
-#: By how much a sketch may fall short of the least similarity: about its standard error.
-SHORT = 0.03
+#: By how much a sketch may fall short of the least similarity: about three times its standard error, as exact shingles are compared later.
+SHORT = 0.1
 #: Bins of a band: texts that agree in one band of their sketches are candidates whatever their fingerprints. At a similarity of 0.8
 #: one of 21 bands of 6 bins agrees with a probability of 1 - (1 - 0.8 ** 6) ** 21 = 0.998, wherever the texts differ.
 BAND = 6
@@ -295,6 +295,14 @@ def _word_bits(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit hashes of the five-word shingles of a text of at least one word."""
+    k, mixed = min(SIMILAR_WORDS, len(h)), np.zeros(len(h) - min(SIMILAR_WORDS, len(h)) + 1, np.uint64)
+    for i in range(k):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)]
+    return np.sort((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
+
+
 def word_profile(text: bytes | None, known: dict[bytes, int], bins: int = BINS) -> tuple[int, int, bytes]:
     """Of a text: a number for its words in order, the fingerprint of its distinct words, and a
     one-permutation sketch of its five-word shingles: 16 bits of the least hash in each of
@@ -305,17 +313,94 @@ def word_profile(text: bytes | None, known: dict[bytes, int], bins: int = BINS)
     if not ws:
         return 0, 0, bytes(2 * bins)
     h = _word_bits(ws, known)
+    number = int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0])
     bits = np.unpackbits(np.unique(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     fp = int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits)).view(">i8")[0])
-    k, mixed = min(SIMILAR_WORDS, len(h)), np.zeros(len(h) - min(SIMILAR_WORDS, len(h)) + 1, np.uint64)
-    for i in range(k):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)]
-    mixed = np.sort((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
+    mixed = _shingles(h)
     at = (mixed >> np.uint64(32)).astype(np.int64) * bins >> 32
     first = np.flatnonzero(np.diff(at, prepend=-1))
     sketch = np.zeros(bins, "<u2")
     sketch[at[first]] = (mixed[first] & np.uint64(0xFFFF)) | np.uint64(1)
-    return int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0]), fp, sketch.tobytes()
+    return number, fp, sketch.tobytes()
+
+
+def shingle_set(text: bytes | None, known: dict[bytes, int]) -> tuple[int, bytes]:
+    """The number that ``word_profile`` gives a text, and the distinct 64-bit hashes of its five-word shingles."""
+    import xxhash
+
+    ws = text.lower().split() if text else []
+    if not ws:
+        return 0, b""
+    return int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0]), np.unique(_shingles(_word_bits(ws, known))).tobytes()
+
+
+def _alike_sets(sets: list[np.ndarray], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether the sets of two rows (neither empty) have a similarity (Jaccard) of ``least`` or more."""
+    size = np.array([len(s) for s in sets])
+    at = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(ids), np.int64)
+
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if len(np.unique(a)) < len(np.unique(b)):
+            a, b = b, a
+        out, order = np.zeros(len(a), bool), np.argsort(b, kind="stable")
+        for run in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(b) else ():
+            one = b[run[0]]
+            own = ids[at[one] : at[one] + size[one]]
+            mark[own] = 1
+            for s, e in common.slices(size[a[run]].tolist(), 1 << 20):
+                them = a[run[s:e]]
+                met = mark[ids[np.repeat(at[them], size[them]) + common.ranges(size[them])]]
+                shared = np.add.reduceat(met, np.cumsum(size[them]) - size[them])
+                out[run[s:e]] = shared >= least * (size[one] + size[them] - shared) - 1e-9
+            mark[own] = 0
+        return out
+
+    return same
+
+
+def _verified(docs: DataFrame, uniq: DataFrame, star: DataFrame, least: float) -> DataFrame:
+    """(u, v): for texts (number) in the components ``star`` of candidate links, the text that
+    stands for those joined by links of an exact similarity of ``least`` or more; all links
+    inside a component are tried but those between texts already joined. A component is read
+    by one task, a text of each number from ``docs``."""
+    inside = star.select(F.col("u").alias("number"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("number"), F.col("v").alias("root")).distinct())
+    inside = common.stored(inside.join(uniq.select("number", "least"), "number"), "candidates")
+    ids = inside.select(F.col("least").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            found = [shingle_set(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["u", "shingles"])
+
+    def settled(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
+        rows = list(dict(rows).items())  # a repeated row gives its text again
+        same = _alike_sets([np.frombuffer(s, np.uint64) for _, s in rows], least)
+        n = len(rows)
+        label = linked(np.zeros(n, np.int64), np.zeros(n, np.uint64), _DIGIT, 0, same)
+        return ((rows[i][0], rows[root][0]) for i, root in enumerate(label.tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, rows, out = None, [], []
+
+        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for r, number, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != root:
+                    out += settled(rows) if rows else []
+                    root, rows = r, []
+                rows.append((number, shingles))
+            yield batch_of(out)
+            out = []
+        yield batch_of(list(settled(rows)) if rows else [])
+
+    found = common.mapped(texts, sets, "u long, shingles binary").join(inside, F.col("u") == F.col("number"))
+    return common.mapped(found.select("root", "number", "shingles").repartition("root").sortWithinPartitions("root", "number"), run, "u long, v long")
 
 
 def _banded(rows: DataFrame, band: int = BAND, bins: int = BINS) -> DataFrame:
@@ -332,10 +417,11 @@ def _banded(rows: DataFrame, band: int = BAND, bins: int = BINS) -> DataFrame:
 
 def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float = SIMILARITY, split: int = SIMILAR_SPLIT) -> DataFrame:
     """doc_id and component_id of every row of ``docs`` (doc_id, text): documents are linked if
-    their five-word shingles have a similarity (Jaccard) of about ``least`` or more.
+    their five-word shingles have a similarity (Jaccard) of ``least`` or more.
 
     Candidates are fingerprints of distinct words that differ in at most ``most`` bits, from the
-    Gray-order index, and texts that agree in a band of their sketches; each is checked by sketches of the shingles (less SHORT) before it links. Texts with
+    Gray-order index, and texts that agree in a band of their sketches; each is checked by sketches of the shingles (less SHORT) before it links.
+    Inside the components of these links the exact sets of shingles decide. Texts with
     the same words in order are one from the start; texts of one fingerprint are first compared
     with those that stand for others, then all with all but those already joined. Null and wordless texts are alike. A null doc_id is a
     component_id only if its component has no other. An empty table gives no rows."""
@@ -371,7 +457,7 @@ def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float =
     found = [(rest, most, r) for rest, r in _bucketed(rows, most, split)]
     found.append((_DIGIT, 0, _banded(rows.select("number", "sketch")).withColumn("turned", F.lit(0).cast("long"))))  # one code: all of a bucket meet
     edges = reduce(DataFrame.unionByName, [r.select("number", "sketch", "turned", "bucket", "part").groupBy("part").applyInPandas(group(rest, most), "a long, b long") for rest, most, r in found])
-    star = graph.components(edges)
+    star = _verified(docs, uniq, graph.components(edges), least)
     rooted = uniq.join(star.withColumnRenamed("u", "number"), "number", "left").select("number", "least", F.coalesce("v", "number").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return seen.select("doc_id", "number").join(rooted.join(ids, "root").select("number", "component_id"), "number").select("doc_id", "component_id")

@@ -229,6 +229,25 @@ def test_linked_same(monkeypatch, meet):
         assert simhash.linked(bucket, code, 64, 1, lambda a, b, near=near: near[a, b]).tolist() == want.tolist()
 
 
+def test_similar_exactly(spark):
+    """Around the least similarity the exact shingles decide, not the sketches."""
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    rows, want, short, beyond = [], {}, 0, 0
+    for k in range(60):
+        base = [word() for _ in range(300)]
+        copy = base + [word() for _ in range(70 if k % 2 else 84)]
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy)]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+        a, b = (np.frombuffer(simhash.word_profile(" ".join(t).encode(), {})[2], "<u2") for t in (base, copy))
+        sketched = (a == b).mean() >= 0.77
+        short, beyond = short + (alike and not sketched), beyond + (sketched and not alike)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if alike else 2 * k + 1}
+    assert short and beyond
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, rows)).collect()} == want
+
+
 def test_linked_crowded(spark):
     """A bucket beyond the split size gives the same components."""
     rng = np.random.default_rng(2)
