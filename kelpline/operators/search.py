@@ -68,11 +68,16 @@ def context(hits: DataFrame, recent: DataFrame, text: str, order: list[Column],
     return fresh.orderBy(*order).limit(most).withColumn(text, F.substring(text, 1, clip))
 
 
-def within_budget(turns: DataFrame, text: str, role: str, order: str, most: int = 300_000, keep: int = 10) -> DataFrame:
+def within_budget(turns: DataFrame, text: str, role: str, order: str, most: int = 300_000, keep: int = 10, by: list[str] | None = None) -> DataFrame:
     """If the turns of a conversation are longer than the budget: the system turns and the last
-    few others; else all. ``turns`` is one conversation."""
+    few others; else all. ``turns`` is one conversation, or one for each value of ``by``."""
     from pyspark.sql.window import Window
 
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by, F.col(role) == "system").orderBy(F.col(order).desc()))
+        total = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*by)), F.lit(0))
+        kept = turns.withColumn("_place", place).withColumn("_size", total)
+        return kept.filter((F.col("_size") <= most) | (F.col(role) == "system") | (F.col("_place") <= keep)).drop("_place", "_size")
     place = F.row_number().over(Window.partitionBy(F.col(role) == "system").orderBy(F.col(order).desc()))
     total = turns.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("_size"))
     kept = turns.withColumn("_place", place).crossJoin(F.broadcast(total))

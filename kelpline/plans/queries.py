@@ -637,6 +637,12 @@ def context_budget(t):
     return search.within_budget(t("conversations").filter("conv_id = 0"), "text", "role", "turn", 1000, 3).select("turn", "role")
 
 
+@query("""with s as (select *, coalesce(sum(length(text)) over (partition by conv_id),0) as size, row_number() over (partition by conv_id, role='system' order by turn desc) as k from conversations)
+select conv_id, turn, role from s where size<=300000 or role='system' or k<=10""")
+def context_budget_all(t):
+    return search.within_budget(t("conversations"), "text", "role", "turn", by=["conv_id"]).select("conv_id", "turn", "role")
+
+
 # ---------- scalar functions ----------
 @query("""select conv_id, turn, substr(trim(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')),1,500) as clean from conversations""")
 def sanitize(t):

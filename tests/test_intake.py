@@ -158,3 +158,10 @@ def test_numbers(spark):
     df = spark.createDataFrame([(f"{(i * 37) % 101:03d}",) for i in range(101)], "name string")
     got = sorted((r["n"], r["name"]) for r in numbered(df, "name", "n").collect())
     assert got == [(i + 1, f"{i:03d}") for i in range(101)]
+
+
+def test_budget_by_conversation(spark):
+    turns = [(c, i, "system" if i == 0 else "user", "x" * n) for c, n in ((1, 10), (2, 2)) for i in range(4)]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    got = search.within_budget(df, "text", "role", "turn", 20, 1, by=["conv_id"]).collect()
+    assert sorted((r["conv_id"], r["turn"]) for r in got) == [(1, 0), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3)]
