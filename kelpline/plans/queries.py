@@ -631,6 +631,12 @@ def rag_context(t):
     return search.context(d, d.filter("doc_id % 2 = 0").select("text"), "text", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "text")
 
 
+@query("""select doc_id, substr(text,1,200) as text from documents d where not exists (select 1 from conversations r where substr(r.text,1,100)=substr(d.text,1,100)) order by n_chars desc, doc_id limit 8""")
+def rag_context_conversations(t):
+    d = t("documents").select("doc_id", "text", "n_chars")
+    return search.context(d, t("conversations").select("text"), "text", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "text")
+
+
 @query("""with s as (select *, sum(length(text)) over () as size, row_number() over (partition by role='system' order by turn desc) as k from conversations where conv_id=0)
 select turn, role from s where size<=1000 or role='system' or k<=3""")
 def context_budget(t):

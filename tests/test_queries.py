@@ -44,3 +44,7 @@ def test_near_duplicates_as_surveyed(spark):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_context_against_conversations():
+    assert "conversations" in ORACLE["rag_context_conversations"]
