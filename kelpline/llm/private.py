@@ -19,8 +19,8 @@ from kelpline.llm.trees import Boosted
 
 BASE = ["email", "ip", "card", "phone"]
 ADDED = ["email_spelled", "phone_plain", "identity", "account", "ip6"]
-#: Least probability of added spans; examples to fit and to calibrate on; characters of context.
-LEAST, EXAMPLES, CONTEXT = 0.9, 3000, 24
+#: Least probability of added spans; examples to fit and to calibrate on.
+LEAST, EXAMPLES = 0.9, 3000
 
 # Java forms of the contract's patterns. A match may begin at the last match's end or where
 # no earlier character could be in it; possessive loops keep long runs linear.
@@ -30,8 +30,10 @@ _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+# Patterns, each with a part that every match of it holds: a test that loses no match. What stands between a name and its host
+# can't be part of the name, so possessive names lose none either.
 _GENERATORS = [
-    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", r"(?i)@|\bdot\b"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", r"@|\(at\)|\[at\]| at "),
     (r"(?<![0-9A-Za-z.+-])(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))\(?[0-9]{2,5}\)?[ .-]?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3}(?![0-9A-Za-z])", r"[0-9][0-9) .-]{5}"),
     (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
@@ -50,11 +52,14 @@ def _digits(c: Column) -> Column:
 
 
 def _luhn(text: Column) -> Column:
-    d = _digits(text)
     doubled = F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)])
-    place = lambda i: F.substring(d, F.length(d) + 1 - i, F.lit(1)).cast("int")
-    total = F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, place(i)).otherwise(F.element_at(doubled, place(i) + 1)))
-    return F.when(F.length(d).between(13, 19), total % 10 == 0).otherwise(False)
+
+    def valid(d: Column) -> Column:
+        place = lambda i: F.substring(d, F.length(d) + 1 - i, F.lit(1)).cast("int")
+        total = F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, place(i)).otherwise(F.element_at(doubled, place(i) + 1)))
+        return F.when(F.length(d).between(13, 19), total % 10 == 0).otherwise(False)
+
+    return spans.with_(_digits(text), valid)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -72,15 +77,15 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(v, valid[k]) if k in valid else v for k, v in found.items()}
 
 
-def candidates(text: Column) -> Column:
-    """Spans of all generators, kinds counted on from the base ones."""
-    return F.concat(*[spans.matches(text, pattern, len(BASE) + i, text.rlike(test)) for i, (pattern, test) in enumerate(_GENERATORS)])
+def candidates(text: Column) -> list[Column]:
+    """Spans of each generator, kinds counted on from the base ones."""
+    return [spans.matches(text, pattern, len(BASE) + i, text.rlike(test)) for i, (pattern, test) in enumerate(_GENERATORS)]
 
 
-def features(text: Column, s: Column) -> dict[str, Column]:
-    """Format and context of a span ``s`` of ``text``, as numbers."""
+def features(s: Column) -> dict[str, Column]:
+    """Format and context of a span, as numbers."""
     t = s["text"]
-    before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(F.lit(CONTEXT), s["start"])))
+    before = F.lower(s["before"])
     n = F.length(_digits(t))
     groups = F.size(F.split(t, "[^0-9]+"))
     word = lambda words: before.rlike(rf"(?:^|[^a-z])(?:{words})[^a-z]*(?:[a-z]+[^a-z]+)?$").cast("int")
@@ -100,7 +105,7 @@ def features(text: Column, s: Column) -> dict[str, Column]:
         "mail_word": word(_MAIL_WORDS),
         "id_word": word(_ID_WORDS),
         "bank_word": word(_BANK_WORDS),
-        "glued": F.substring(text, s["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9.,/%-][0-9]?").cast("int"),
+        "glued": F.left(s["after"], F.lit(1)).rlike("[A-Za-z0-9.,/%-]").cast("int"),
         "money": before.rlike(r"[$€£#=/*]\s*$").cast("int"),
     }
 
@@ -144,8 +149,8 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
 
 def fit(spark: SparkSession) -> Boosted:
     """Trees from the examples' candidates: fitted on two thirds, calibrated on the rest."""
-    found = examples(spark).select("id", "label", "text", F.explode(candidates(F.col("text"))).alias("s"))
-    f = features(F.col("text"), F.col("s"))
+    found = examples(spark).select("id", "label", F.explode(F.concat(*candidates(F.col("text")))).alias("s"))
+    f = features(F.col("s"))
     # at most a few candidates of each example
     rows = found.select("id", "label", *[c.cast("double").alias(k) for k, c in f.items()]).orderBy("id", *f).collect()
     x, y, held = np.array([r[2:] for r in rows], float), np.array([r[1] for r in rows], float), np.array([r[0] // len(_EXAMPLES) % 3 == 0 for r in rows])
@@ -157,15 +162,21 @@ def find(docs: DataFrame, least: float = LEAST, column: str = "spans") -> DataFr
     kind and start."""
     model = fit(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn(f"base_{column}", F.concat(*base_spans(text).values())).withColumn("_found", candidates(text))
-    base = base.withColumn("_found", spans.apart(F.col("_found"), F.col(f"base_{column}")))
-    scored = F.transform("_found", lambda s: F.struct(s.alias("s"), model.probability(features(text, s)).alias("p")))
-    base = base.withColumn("_scored", F.when(F.size("_found") > 0, F.filter(scored, lambda c: c["p"] >= least)))
+    kinds = list(range(len(_GENERATORS)))
+    found = docs.withColumn("_base", F.struct(*[c.alias(k) for k, c in base_spans(text).items()])).withColumn("_found", F.struct(*[c.alias(f"g{i}") for i, c in zip(kinds, candidates(text), strict=True)]))
+    base = [F.col(f"_base.{k}") for k in BASE]
+    found = found.withColumn("_found", F.struct(*[spans.apart(F.col(f"_found.g{i}"), base).alias(f"g{i}") for i in kinds]))
+
+    def scored(c: Column) -> Column:
+        each = F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s.alias("s"), model.probability(features(s)).alias("p")))
+        return F.when(F.size(c) > 0, F.filter(each, lambda x: x["p"] >= least))
+
+    found = found.withColumn("_scored", F.struct(*[scored(F.col(f"_found.g{i}")).alias(f"g{i}") for i in kinds]))
     # of two that overlap the likelier one stays, of equals the one that is first
-    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["s"]["start"] < b["s"]["start"]) | ((a["s"]["start"] == b["s"]["start"]) & (a["s"]["kind"] < b["s"]["kind"]))))
-    kept = F.transform(F.filter("_scored", lambda c: ~F.exists("_scored", lambda o: spans.overlaps(o["s"], c["s"]) & better(o, c))), lambda c: c["s"])
-    added = F.coalesce(F.when(F.size("_scored") > 0, kept), spans.none())
-    return base.withColumn(column, F.concat(F.col(f"base_{column}"), F.array_sort(added))).drop("_found", "_scored")
+    better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
+    left = [spans.best(F.col(f"_scored.g{i}"), [F.col(f"_scored.g{j}") for j in kinds if j != i], better) for i in kinds]
+    added = [F.coalesce(F.transform(x, lambda c: c["s"]), spans.none()) for x in left]
+    return found.withColumn(f"base_{column}", F.concat(*base)).withColumn(column, F.concat(*base, *added)).drop("_base", "_found", "_scored")
 
 
 def private_data(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -22,6 +22,8 @@ from kelpline.llm import common, spans
 KINDS = ["assign", "access", "hex", "random"]
 #: Bound of the sample, in documents; random strings; least length of a candidate.
 SAMPLE, STRINGS, LEAST = 400, 6000, 20
+#: Shares of the held strings below the threshold: of ordinary ones this one at least, of random ones about this one at most.
+ORDINARY, RANDOM = 0.999, 0.02
 
 # Java forms of the contract's patterns; runs too short to count are passed over where that can't change another match.
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,15 +44,12 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _code(s: Column, i: Column) -> Column:
-    """Number of the character at place i of s, from 1; 0 at the edges and for others."""
-    return F.when(i.between(F.lit(1), F.length(s)), F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))).otherwise(0)
-
-
 def _steps(s: Column) -> Column:
-    """Numbers of neighbouring characters, as first * size + second, edges included."""
+    """Numbers of neighbouring characters, as first * size + second, the edges included as 0."""
     size = len(ALPHABET) + 1
-    return F.transform(F.sequence(F.lit(1), F.length(s) + 1), lambda i: _code(s, i - 1) * size + _code(s, i))
+    edge = F.array(F.lit(0))
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return spans.with_(codes, lambda k: F.zip_with(F.concat(edge, k), F.concat(k, edge), lambda a, b: a * size + b))
 
 
 # Parts of ordinary identifiers, for corpora that have none.
@@ -106,7 +105,8 @@ class Chains:
         log = lambda label, k: math.log((counts[label, k] + 0.5) / (sums[label, k // size] + 0.5 * size))
         chains = cls([log(1, k) - log(0, k) for k in range(size * size)], 0.0)
         held = rows.filter(F.col("held") & (F.length("s") >= LEAST)).select("label", chains.score(F.col("s")).alias("score"))
-        r = held.agg(F.max(F.when(F.col("label") == 0, F.col("score"))).alias("ordinary"), F.percentile_approx(F.when(F.col("label") == 1, F.col("score")), F.lit(0.02)).alias("random")).first()
+        share = lambda label, p: F.percentile_approx(F.when(F.col("label") == label, F.col("score")), F.lit(p))
+        r = held.agg(share(0, ORDINARY).alias("ordinary"), share(1, RANDOM).alias("random")).first()
         ordinary, random = (0.0 if x is None else x for x in (r["ordinary"], r["random"]))
         # between the two; where they mingle, on the side that leaves ordinary text alone
         chains.least = max(ordinary, (ordinary + random) / 2)
@@ -118,13 +118,15 @@ def find(docs: DataFrame, column: str = "spans") -> DataFrame:
     start and kind."""
     chains = Chains.fit(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn(f"base_{column}", spans.by_start(F.concat(*base_spans(text).values())))
+    base = docs.withColumn("_base", F.struct(*[c.alias(k) for k, c in base_spans(text).items()]))
+    every = [F.col(f"_base.{k}") for k in KINDS[:3]]
+    base = base.withColumn(f"base_{column}", spans.by_start(F.concat(*every)))
     found = spans.matches(text, _RANDOM % LEAST, 3, text.rlike("[A-Za-z0-9+/_=-]{%d}" % LEAST))
-    base = base.withColumn("_found", spans.apart(found, F.col(f"base_{column}")))
+    base = base.withColumn("_found", spans.apart(found, every))
     added = F.when(F.size("_found") > 0, F.filter("_found", lambda s: chains.score(s["text"]) >= chains.least)).otherwise(spans.none())
     base = base.withColumn("_added", added)
     every = F.when(F.size("_added") > 0, spans.by_start(F.concat(f"base_{column}", "_added"))).otherwise(F.col(f"base_{column}"))
-    return base.withColumn(column, every).drop("_found", "_added")
+    return base.withColumn(column, every).drop("_base", "_found", "_added")
 
 
 def redact(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:

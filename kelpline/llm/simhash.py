@@ -15,28 +15,21 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kelpline.llm import common
 from kelpline.operators import graph
 
 SEED, SHINGLE, MOST = 42, 3, 2
-#: For similar documents: words of a shingle, least similarity, differing bits of candidates, bins of a sketch, and fingerprints a
-#: bucket may hold before it is split (a split copies each sketch once per block).
-SIMILAR_WORDS, SIMILARITY, SIMILAR_BITS, BINS, SIMILAR_SPLIT = 5, 0.8, 6, 128, 50_000
-#: By how much a sketch may fall short of the least similarity: about three times its standard error, as exact shingles are compared later.
-SHORT = 0.1
-#: Bins of a band: texts that agree in one band of their sketches are candidates whatever their fingerprints. At a similarity of 0.8
-#: one of 21 bands of 6 bins agrees with a probability of 1 - (1 - 0.8 ** 6) ** 21 = 0.998, wherever the texts differ.
-BAND = 6
 #: Bits of a tree level; node pairs opened at a time; fingerprints a bucket may hold before it is split.
 _DIGIT, _OPEN, SPLIT = 6, 1 << 21, 2_000
-#: Pairs of rows that are compared at a time, before those that are in one tree by then are left out.
-_MEET = 1 << 17
+#: Pairs of rows that are compared at a time, before those that are in one tree by then are left out; rows of a bucket that meet all first.
+_MEET, _LEADERS = 1 << 17, 3
+#: Rows that a task works on at a time: whole buckets, as many as make up so many rows.
+ROWS = 1 << 16
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -96,35 +89,48 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = _roots(label)
 
 
-def _leaders(bucket: np.ndarray, code: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """For sorted rows, the row that stands for each: of rows with one code the first that it is
-    the same as. Each row is compared with those that stand for others, not with all; this joins
-    the bulk of a family, and leaves links of the rows that are stood for to the search."""
-    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])]) if len(code) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    stands = np.repeat(first, np.diff(np.append(first, len(code))))
-    left = np.flatnonzero(~new)
-    while len(left):
-        alike = same(left, stands[left])
-        left = left[~alike]
-        heads, at = np.unique(stands[left], return_index=True)
-        fresh = left[at]  # in each run the first that is unlike so far stands for itself
-        stands[left] = np.repeat(fresh, np.diff(np.append(at, len(left))))
-        left = left[stands[left] != left]
-    return stands
-
-
-def linked(bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+def _absorbed(bucket: np.ndarray, code: np.ndarray, most: int, same: Callable[[np.ndarray, np.ndarray], np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Labels after some rows of each bucket have met all its others: this joins the bulk of a
+    family at the cost of a few rows. Links of the other rows are left to the search."""
+    n = len(bucket)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, n))
+    apart = np.ones(n, bool)
+    for _ in range(_LEADERS):
+        # of each bucket's rows that met no leader yet the first leads
+        left = np.flatnonzero(apart & np.repeat(size > 2, size))
+        if not len(left):
+            break
+        lead = left[np.unique(bucket[left], return_index=True)[1]]
+        own = np.searchsorted(first, lead, "right") - 1
+        lead, other = np.repeat(lead, size[own]), np.repeat(first[own], size[own]) + common.ranges(size[own])
+        some = (label[other] != label[lead]) & (np.bitwise_count(code[lead] ^ code[other]) <= most)
+        lead_, other_ = lead[some], other[some]
+        alike = same(lead_, other_)
+        label = _union(label, lead_[alike], other_[alike])
+        apart[other[label[other] == label[lead]]] = False
+        apart[lead] = False
+    return label
+
+
+def linked(
+    bucket: np.ndarray, code: np.ndarray, n_bits: int, most: int = MOST, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, known: np.ndarray | None = None
+) -> np.ndarray:
     """For rows of (bucket, code), codes being left-aligned uint64 of ``n_bits`` bits, the
     least row that each is connected to by links of at most ``most`` differing bits
     inside its bucket. With ``same`` (of two arrays of rows), only pairs that it holds for
-    are links."""
+    are links. Rows that ``known`` marks are connected in their bucket from the start."""
     n = len(code)
     order = np.lexsort((gray_rank(code), bucket))
     bucket, code = bucket[order], code[order]
     if same:
         alike = lambda a, b: same(order[a], order[b])
-        label = _search(bucket, code, n_bits, most, alike, _leaders(bucket, code, alike))
+        label = np.arange(n)
+        if known is not None:
+            marked = np.flatnonzero(known[order])
+            heads = np.unique(bucket[marked], return_index=True)[1]
+            label = _union(label, marked, np.repeat(marked[heads], np.diff(np.append(heads, len(marked)))))
+        label = _search(bucket, code, n_bits, most, alike, _absorbed(bucket, code, most, alike, label))
     else:
         label = _search(bucket, code, n_bits, most, None)
     out = np.arange(n)
@@ -193,6 +199,12 @@ def _search(
             else:
                 label = _union(label, starts[level][a], starts[level][b])
             continue
+        if same and n:  # nodes whose rows are all in one tree need not meet
+            low, high = np.minimum.reduceat(label, starts[level]), np.maximum.reduceat(label, starts[level])
+            open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+            a, b = a[open_], b[open_]
+            if not len(a):
+                continue
         first = np.searchsorted(starts[level + 1], starts[level])
         size = np.diff(np.append(first, len(starts[level + 1])))
         each = size[a] * size[b]
@@ -223,42 +235,65 @@ def _turned(fp: F.Column, start: int, bits: int) -> tuple[F.Column, F.Column]:
     return F.shiftrightunsigned(turned, 64 - bits), turned
 
 
-def _bucketed(rows: DataFrame, most: int, split: int) -> Iterator[tuple[int, DataFrame]]:
-    """For each block of bits: the number of the other bits, and ``rows`` (with fp) with the bits
-    turned so that the block comes first, and with bucket and part."""
-    cuts = [round(i * 64 / (most + 1)) for i in range(most + 2)]
-    parts = 4 * common.width(rows.sparkSession)
-    for start, end in zip(cuts, cuts[1:], strict=False):
-        bits = end - start
-        rest = 64 - bits
-        key, turned = _turned(F.col("fp"), start, bits)
-        keyed = rows.withColumn("key", key).withColumn("turned", turned)
-        # crowded buckets go on to blocks of the bits that are left. Of a block's at most 2 ** 22 keys one in `split` rows is crowded
-        crowd = rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.lit(True).alias("crowded"))
-        keyed = keyed.join(F.broadcast(crowd), "key", "left")
-        inner = [round(i * rest / (most + 1)) for i in range(most + 2)]
-        finer = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.shiftleft("turned", bits + a), 64 - (b - a))) for i, (a, b) in enumerate(zip(inner, inner[1:], strict=False))])
-        buckets = F.when(F.col("crowded"), finer).otherwise(F.array(F.xxhash64("key")))
-        yield rest, keyed.select(*rows.columns, "turned", F.explode(buckets).alias("bucket")).withColumn("part", F.pmod("bucket", F.lit(parts)))
-
+def in_buckets(rows: DataFrame, settle: Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]], weight: str | None = None, most: int = ROWS) -> DataFrame:
+    """Edges (a, b) by ``settle`` (of the number of each row's bucket and the rows). Rows are dealt by
+    ``bucket`` and come sorted by it; a task works on some whole buckets at a time, of about
+    ``most`` rows or of so much ``weight``, so what it holds doesn't grow with the data."""
 
-def _codes(pdf: pd.DataFrame, rest: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(pdf["bucket"].to_numpy(np.int64), return_inverse=True)[1], pdf["turned"].to_numpy(np.int64).view(np.uint64) << np.uint64(64 - rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
 
+        def edges() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            key = table.column("bucket").to_numpy()
+            a, b = settle(np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])), table)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def _edges(ids: pd.Series, root: np.ndarray) -> pd.DataFrame:
-    ids, own = ids.to_numpy(np.int64), root != np.arange(len(root))
-    return pd.DataFrame({"a": ids[own], "b": ids[root[own]]})
+        for batch in batches:
+            at = 0
+            if size >= most and batch.num_rows:
+                key = batch.column("bucket").to_numpy()
+                other = np.flatnonzero(key != held[-1].column("bucket")[-1].as_py())
+                at = int(other[0]) if len(other) else len(key)
+                if at:
+                    held.append(batch.slice(0, at))
+                if len(other):
+                    yield edges()
+                    held, size = [], 0
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+                size += pc.sum(held[-1].column(weight)).as_py() if weight else held[-1].num_rows
+        if held:
+            yield edges()
+
+    return common.mapped(rows.repartition(common.width(rows.sparkSession), "bucket").sortWithinPartitions("bucket"), run, "a long, b long")
 
 
 def link_forest(uniq: DataFrame, most: int = MOST, split: int = SPLIT) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` of ``uniq`` exactly as
     all links would; at most one edge for a fingerprint and bucket."""
+    cuts = [round(i * 64 / (most + 1)) for i in range(most + 2)]
 
-    def group(rest: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        return lambda pdf: _edges(pdf["fp"], linked(*_codes(pdf, rest), rest, most))
+    def edges(start: int, end: int) -> DataFrame:
+        bits, rest = end - start, 64 - (end - start)
+        key, turned = _turned(F.col("fp"), start, bits)
+        keyed = uniq.select("fp", key.alias("key"), turned.alias("turned"))
+        # crowded buckets go on to blocks of the bits that are left. Of a block's at most 2 ** 22 keys one in `split` rows is crowded
+        crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.lit(True).alias("crowded"))
+        inner = [round(i * rest / (most + 1)) for i in range(most + 2)]
+        finer = F.array(*[F.xxhash64("key", F.lit(i), F.shiftrightunsigned(F.shiftleft("turned", bits + a), 64 - (b - a))) for i, (a, b) in enumerate(zip(inner, inner[1:], strict=False))])
+        buckets = F.when(F.col("crowded"), finer).otherwise(F.array(F.xxhash64("key")))
+
+        def settle(bucket: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            fp, code = (rows.column(c).to_numpy() for c in ("fp", "turned"))
+            root = linked(bucket, code.view(np.uint64) << np.uint64(64 - rest), rest, most)
+            own = root != np.arange(len(root))
+            return fp[own], fp[root[own]]
+
+        return in_buckets(keyed.join(F.broadcast(crowd), "key", "left").select("fp", "turned", F.explode(buckets).alias("bucket")), settle)
 
-    return reduce(DataFrame.unionByName, [rows.groupBy("part").applyInPandas(group(rest), "a long, b long") for rest, rows in _bucketed(uniq.select("fp"), most, split)])
+    return reduce(DataFrame.unionByName, [edges(a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
@@ -280,188 +315,5 @@ def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _word_bits(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words, through a cache."""
-    import xxhash
-
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            if len(known) > 300_000:
-                known.clear()
-            h = known[w] = xxhash.xxh64_intdigest(w, SEED)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def _shingles(h: np.ndarray) -> np.ndarray:
-    """Sorted 64-bit hashes of the five-word shingles of a text of at least one word."""
-    k, mixed = min(SIMILAR_WORDS, len(h)), np.zeros(len(h) - min(SIMILAR_WORDS, len(h)) + 1, np.uint64)
-    for i in range(k):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)]
-    return np.sort((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
-
-
-def word_profile(text: bytes | None, known: dict[bytes, int], bins: int = BINS) -> tuple[int, int, bytes]:
-    """Of a text: a number for its words in order, the fingerprint of its distinct words, and a
-    one-permutation sketch of its five-word shingles: 16 bits of the least hash in each of
-    ``bins`` bins, 0 for an empty bin. Wordless texts have the number 0."""
-    import xxhash
-
-    ws = text.lower().split() if text else []
-    if not ws:
-        return 0, 0, bytes(2 * bins)
-    h = _word_bits(ws, known)
-    number = int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0])
-    bits = np.unpackbits(np.unique(h).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    fp = int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits)).view(">i8")[0])
-    mixed = _shingles(h)
-    at = (mixed >> np.uint64(32)).astype(np.int64) * bins >> 32
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    sketch = np.zeros(bins, "<u2")
-    sketch[at[first]] = (mixed[first] & np.uint64(0xFFFF)) | np.uint64(1)
-    return number, fp, sketch.tobytes()
-
-
-def shingle_set(text: bytes | None, known: dict[bytes, int]) -> tuple[int, bytes]:
-    """The number that ``word_profile`` gives a text, and the distinct 64-bit hashes of its five-word shingles."""
-    import xxhash
-
-    ws = text.lower().split() if text else []
-    if not ws:
-        return 0, b""
-    return int(np.frombuffer(xxhash.xxh64_digest(b" ".join(ws), SEED), ">i8")[0]), np.unique(_shingles(_word_bits(ws, known))).tobytes()
-
-
-def _alike_sets(sets: list[np.ndarray], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether the sets of two rows (neither empty) have a similarity (Jaccard) of ``least`` or more."""
-    size = np.array([len(s) for s in sets])
-    at = np.cumsum(size) - size
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mark = np.zeros(len(ids), np.int64)
-
-    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if len(np.unique(a)) < len(np.unique(b)):
-            a, b = b, a
-        out, order = np.zeros(len(a), bool), np.argsort(b, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(b) else ():
-            one = b[run[0]]
-            own = ids[at[one] : at[one] + size[one]]
-            mark[own] = 1
-            for s, e in common.slices(size[a[run]].tolist(), 1 << 20):
-                them = a[run[s:e]]
-                met = mark[ids[np.repeat(at[them], size[them]) + common.ranges(size[them])]]
-                shared = np.add.reduceat(met, np.cumsum(size[them]) - size[them])
-                out[run[s:e]] = shared >= least * (size[one] + size[them] - shared) - 1e-9
-            mark[own] = 0
-        return out
-
-    return same
-
-
-def _verified(docs: DataFrame, uniq: DataFrame, star: DataFrame, least: float) -> DataFrame:
-    """(u, v): for texts (number) in the components ``star`` of candidate links, the text that
-    stands for those joined by links of an exact similarity of ``least`` or more; all links
-    inside a component are tried but those between texts already joined. A component is read
-    by one task, a text of each number from ``docs``."""
-    inside = star.select(F.col("u").alias("number"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("number"), F.col("v").alias("root")).distinct())
-    inside = common.stored(inside.join(uniq.select("number", "least"), "number"), "candidates")
-    ids = inside.select(F.col("least").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            found = [shingle_set(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["u", "shingles"])
-
-    def settled(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
-        rows = list(dict(rows).items())  # a repeated row gives its text again
-        same = _alike_sets([np.frombuffer(s, np.uint64) for _, s in rows], least)
-        n = len(rows)
-        label = linked(np.zeros(n, np.int64), np.zeros(n, np.uint64), _DIGIT, 0, same)
-        return ((rows[i][0], rows[root][0]) for i, root in enumerate(label.tolist()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, rows, out = None, [], []
-
-        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-        for batch in batches:
-            for r, number, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != root:
-                    out += settled(rows) if rows else []
-                    root, rows = r, []
-                rows.append((number, shingles))
-            yield batch_of(out)
-            out = []
-        yield batch_of(list(settled(rows)) if rows else [])
-
-    found = common.mapped(texts, sets, "u long, shingles binary").join(inside, F.col("u") == F.col("number"))
-    return common.mapped(found.select("root", "number", "shingles").repartition("root").sortWithinPartitions("root", "number"), run, "u long, v long")
-
-
-def _banded(rows: DataFrame, band: int = BAND, bins: int = BINS) -> DataFrame:
-    """``rows`` (number, sketch) once for each band of bins that another row has equal, with
-    bucket and part. Bands without a shingle have no bucket; one that only one text has is
-    left out before sketches are copied."""
-    parts = 4 * common.width(rows.sparkSession)
-    cuts = [F.substring("sketch", 2 * i + 1, 2 * band) for i in range(0, bins - band + 1, band)]
-    keys = F.array(*[F.when(c != F.lit(bytes(2 * band)), F.xxhash64(F.lit(i), c)) for i, c in enumerate(cuts)])
-    met = rows.select("number", F.explode(keys).alias("bucket")).filter("bucket is not null")
-    met = met.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").drop("n")
-    return met.join(rows, "number").withColumn("part", F.pmod("bucket", F.lit(parts)))
-
-
-def similar_documents(docs: DataFrame, most: int = SIMILAR_BITS, least: float = SIMILARITY, split: int = SIMILAR_SPLIT) -> DataFrame:
-    """doc_id and component_id of every row of ``docs`` (doc_id, text): documents are linked if
-    their five-word shingles have a similarity (Jaccard) of ``least`` or more.
-
-    Candidates are fingerprints of distinct words that differ in at most ``most`` bits, from the
-    Gray-order index, and texts that agree in a band of their sketches; each is checked by sketches of the shingles (less SHORT) before it links.
-    Inside the components of these links the exact sets of shingles decide. Texts with
-    the same words in order are one from the start; texts of one fingerprint are first compared
-    with those that stand for others, then all with all but those already joined. Null and wordless texts are alike. A null doc_id is a
-    component_id only if its component has no other. An empty table gives no rows."""
-    common.tune(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            profiles = [word_profile(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*profiles, strict=True) if profiles else ((), (), ()), (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "number", "fp", "sketch"])
-
-    seen = common.stored(common.mapped(docs.select("doc_id", "text"), run, "doc_id long, number long, fp long, sketch binary"), "profiles")
-    uniq = common.stored(seen.groupBy("number").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "distinct")
-
-    def group(rest: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def links(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("number")  # which text stands for others doesn't depend on arrival
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), -1)
-
-            def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                out = np.zeros(len(a), bool)
-                for i in range(0, len(a), 20_000):
-                    x, y = sketch[a[i : i + 20_000]], sketch[b[i : i + 20_000]]
-                    some = (x | y) > 0
-                    out[i : i + 20_000] = ((x == y) & some).sum(1) >= (least - SHORT) * some.sum(1)
-                return out
-
-            return _edges(pdf["number"], linked(*_codes(pdf, rest), rest, most, same))
-
-        return links
-
-    rows = uniq.select("number", "fp", "sketch")
-    found = [(rest, most, r) for rest, r in _bucketed(rows, most, split)]
-    found.append((_DIGIT, 0, _banded(rows.select("number", "sketch")).withColumn("turned", F.lit(0).cast("long"))))  # one code: all of a bucket meet
-    edges = reduce(DataFrame.unionByName, [r.select("number", "sketch", "turned", "bucket", "part").groupBy("part").applyInPandas(group(rest, most), "a long, b long") for rest, most, r in found])
-    star = _verified(docs, uniq, graph.components(edges), least)
-    rooted = uniq.join(star.withColumnRenamed("u", "number"), "number", "left").select("number", "least", F.coalesce("v", "number").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return seen.select("doc_id", "number").join(rooted.join(ids, "root").select("number", "component_id"), "number").select("doc_id", "component_id")
-
-
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))

@@ -166,49 +166,6 @@ def test_simhash(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_similar(spark):
-    """Copies with some words changed are together, unlike texts of the same words aren't."""
-    rnd = random.Random(8)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8)))
-    rows, family = list(HARD), {}
-    for k in range(12):
-        base = [word() for _ in range(300)]
-        rows.append((1000 + 100 * k, " ".join(base)))
-        for j in range(1, 6):
-            copy = list(base)
-            for _ in range(j):
-                copy[rnd.randrange(300)] = word()
-            rows.append((1000 + 100 * k + j, ("\n" if j % 2 else "  ").join(copy).upper() if j == 3 else " ".join(copy)))
-            family[1000 + 100 * k + j] = 1000 + 100 * k
-        rnd.shuffle(base)
-        rows.append((1000 + 100 * k + 50, " ".join(base)))
-        rows.append((1000 + 100 * k + 51, " ".join(base[:150])))
-    for split in (simhash.SIMILAR_SPLIT, 4):
-        got = {}
-        for r in simhash.similar_documents(table(spark, rows), split=split).collect():
-            got.setdefault(r["doc_id"], set()).add(r["component_id"])
-        assert all(got[i] == {i} for i in range(1000, 2200) if i in got and i not in family)
-        assert sum(got[i] == {c} for i, c in family.items()) >= 0.95 * len(family)
-        assert got[1] == {1} and got[2] == {1} and got[3] == {1} and got[10] == {9} and got[None] == {1, None}
-    assert simhash.similar_documents(table(spark, [])).count() == 0
-
-
-def test_similar_blocks(spark):
-    """Copies with another end or a footer are together, though their words' fingerprints are far apart."""
-    rnd = random.Random(9)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
-    rows, far = [], 0
-    for k in range(40):
-        base, other = [word() for _ in range(300)], [word() for _ in range(40)]
-        copy = base[:275] + other[:25] if k % 2 else base + other
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
-        a, b = (simhash.word_profile(" ".join(t).encode(), {})[1] for t in (base, copy))
-        far += ((a ^ b) % 2**64).bit_count() > simhash.SIMILAR_BITS
-    assert far > 10
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, rows)).collect()}
-    assert got == {i: i // 2 * 2 for i in range(80)}
-
-
 @pytest.mark.parametrize("meet", [4, 1 << 17])
 def test_linked_same(monkeypatch, meet):
     """All links that hold count, also those of rows that are like an earlier row of their code."""
@@ -229,25 +186,6 @@ def test_linked_same(monkeypatch, meet):
         assert simhash.linked(bucket, code, 64, 1, lambda a, b, near=near: near[a, b]).tolist() == want.tolist()
 
 
-def test_similar_exactly(spark):
-    """Around the least similarity the exact shingles decide, not the sketches."""
-    rnd = random.Random(10)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
-    rows, want, short, beyond = [], {}, 0, 0
-    for k in range(60):
-        base = [word() for _ in range(300)]
-        copy = base + [word() for _ in range(70 if k % 2 else 84)]
-        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, copy)]
-        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
-        a, b = (np.frombuffer(simhash.word_profile(" ".join(t).encode(), {})[2], "<u2") for t in (base, copy))
-        sketched = (a == b).mean() >= 0.77
-        short, beyond = short + (alike and not sketched), beyond + (sketched and not alike)
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
-        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if alike else 2 * k + 1}
-    assert short and beyond
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, rows)).collect()} == want
-
-
 def test_linked_crowded(spark):
     """A bucket beyond the split size gives the same components."""
     rng = np.random.default_rng(2)
