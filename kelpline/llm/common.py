@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from kelpline.sources.scratch import scratch_path, scratch_root, stored
 
-__all__ = ["documents", "give_back", "mapped", "ranges", "scratch_path", "scratch_root", "slices", "stored", "tune", "width"]
+__all__ = ["documents", "filesystem", "give_back", "mapped", "ranges", "scratch_path", "scratch_root", "slices", "stored", "tune", "width"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(whole, schema)
 
 
+def filesystem(path: str):
+    """Of a path in a store that ``pyarrow.fs`` opens: the store, and the path in it. Tasks read and write files through it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim

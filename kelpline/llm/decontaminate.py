@@ -7,7 +7,9 @@ is sorted, its Burrows-Wheeler transform goes into a wavelet matrix, and all win
 of the benchmark are searched backward at once by rank queries. Occurrences are located
 by walking to sampled suffix positions. Spans of hit words are merged for removal.
 
-The benchmark is read in blocks of bounded size; each block is held against all shards.
+A benchmark of up to a block's size goes to the executors with the job. A larger one is written in
+blocks into the shared folder; a task reads one block after another for each of its shards, so
+the documents are read once, whatever the benchmark's size, and nothing but hits is carried on.
 """
 
 from __future__ import annotations
@@ -145,31 +147,38 @@ def block_of(items: list[tuple[object, bytes | None]], window: int) -> Block:
     return Block(vocabulary, patterns, lengths, [sorted(x) for x in found.values()])
 
 
-def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Block]:
-    """The benchmark (item_id, text), some megabytes at a time."""
-    held, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator(prefetchPartitions=False):
-        text = (r["text"] or "").encode()
-        if held and size + len(text) > most:
-            yield block_of(held, window)
-            held, size = [], 0
-        held.append((r["item_id"], text))
-        size += len(text)
-    yield block_of(held, window)
+def blocks(benchmark: DataFrame, window: int, most: int) -> list[Block | str]:
+    """The benchmark (item_id, text) as one block, or as the files that hold one each. The driver
+    holds ``most`` bytes of it at most, or the names of the files."""
+    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size <= most:
+        return [block_of([(r["item_id"], None if r["text"] is None else bytes(r["text"])) for r in rows.filter("text is not null").collect()], window)]
+    path = common.scratch_path(benchmark.sparkSession, "benchmark")
+    rows.repartition(-(-size // most)).write.parquet(path)
+    return sorted(benchmark.sparkSession.read.parquet(path).inputFiles())
 
 
-def scan(texts: list[bytes | None], block: Block) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
-    """Of a shard: the words of each text, and of texts with hits the hit word numbers and the items."""
+def _loaded(part: Block | str, window: int) -> Block:
+    if isinstance(part, Block):
+        return part
+    from pyarrow import parquet
+
+    files, path = common.filesystem(part)
+    table = parquet.read_table(path, filesystem=files)
+    return block_of(list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)), window)
+
+
+def scan(texts: list[list[bytes]], block: Block) -> tuple[dict[int, np.ndarray], dict[int, set[str]]]:
+    """Of a shard (the words of each text): of texts with hits the hit word numbers and the items."""
     get = block.vocabulary.get
-    counts, numbers = [], []
-    for t in texts:
-        ws = words(t)
-        counts.append(len(ws))
-        numbers.append(np.fromiter([get(w, 0) for w in ws], np.int64, len(ws)))
-        numbers.append(np.zeros(1, np.int64))  # documents don't run on
     if not len(block.lengths) or not texts:
-        return counts, {}, {}
-    seq = np.concatenate(numbers)
+        return {}, {}
+    counts = np.fromiter(map(len, texts), np.int64, len(texts))
+    seq = np.zeros(int(counts.sum()) + len(texts), np.int64)  # documents don't run on
+    ends = np.cumsum(counts + 1)
+    for ws, end in zip(texts, ends.tolist(), strict=True):
+        seq[end - 1 - len(ws) : end - 1] = np.fromiter([get(w, 0) for w in ws], np.int64, len(ws))
     least = int(block.lengths.min())
     # runs between separators; short ones can hold no window
     gap = seq == 0
@@ -182,18 +191,17 @@ def scan(texts: list[bytes | None], block: Block) -> tuple[list[int], dict[int,
     times = np.maximum(high - low, 0)
     pattern = np.repeat(np.arange(len(times)), times)
     at = where[index.locate(np.repeat(low, times) + common.ranges(times))]
-    ends = np.cumsum(np.array(counts) + 1)
     doc = np.searchsorted(ends, at, "right")
     cover = np.zeros(len(seq) + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + block.lengths[pattern], -1)
     hit = np.flatnonzero(np.cumsum(cover)[:-1])
-    of = np.searchsorted(ends, hit, "right")
-    hits = {int(d): hit[of == d] - (int(ends[d]) - counts[d] - 1) for d in np.unique(of)}
+    of, first = np.unique(np.searchsorted(ends, hit, "right"), return_index=True)
+    hits = {d: h - int(ends[d] - counts[d] - 1) for d, h in zip(of.tolist(), np.split(hit, first[1:]), strict=True)} if len(of) else {}
     items: dict[int, set[str]] = {}
     for d, p in np.unique(np.stack([doc, pattern], 1), axis=0).tolist() if len(doc) else ():
         items.setdefault(d, set()).update(block.items[p])
-    return counts, hits, items
+    return hits, items
 
 
 def spans(text: bytes, hits: np.ndarray) -> list[tuple[int, int]]:
@@ -217,43 +225,35 @@ def cut(text: bytes, hits: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _found(docs: DataFrame, block: Block, cutting: bool) -> DataFrame:
-    """``docs`` with n_words, and hits and items joined with those that it has already; or, when
-    cutting, without these columns and with the hits cut out of the texts."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cutting: bool = False) -> DataFrame:
+    """The columns of ``docs`` plus n_words long, hits array<int> (numbers of hit words, from 0)
+    and items array<string>; columns named so in ``docs`` are replaced. When cutting, the
+    columns of ``docs``, with the hits cut out of the texts. ``docs`` are read once."""
     kept = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     fields = [docs.schema[c] for c in kept]
     schema = T.StructType(fields if cutting else [*fields, *T._parse_datatype_string("n_words long, hits array<int>, items array<string>").fields])
+    parts = blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in common.slices([len(t or b"") for t in texts], SHARD_BYTES):
-                counts, hits, items = scan(texts[a:b], block)
+                every = [words(t) for t in texts[a:b]]
+                hits: dict[int, np.ndarray] = {}
+                items: dict[int, set[str]] = {}
+                for part in parts:
+                    more, names = scan(every, _loaded(part, window))
+                    hits |= {d: np.union1d(hits[d], h) if d in hits else h for d, h in more.items()}
+                    items |= {d: items.get(d, set()) | x for d, x in names.items()}
                 part = batch.slice(a, b - a)
-                if "hits" in batch.schema.names:
-                    old_hits, old_items = part.column("hits").to_pylist(), part.column("items").to_pylist()
-                    hits = {d: np.union1d(h, hits.get(d, [])).astype(np.int64) for d, h in enumerate(old_hits) if h or d in hits}
-                    items = {d: {*x, *items.get(d, ())} for d, x in enumerate(old_items) if x or d in items}
                 if cutting:
                     text = pa.array([cut(t, hits[d]) if d in hits else t for d, t in enumerate(texts[a:b])], pa.binary()).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([text if c == "text" else part.column(c) for c in kept], names=kept)
                 else:
-                    new = [pa.array(counts, pa.int64()), pa.array([hits[d].tolist() if d in hits else [] for d in range(b - a)], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(b - a)], pa.list_(pa.string()))]
+                    new = [pa.array([len(ws) for ws in every], pa.int64()), pa.array([hits[d].tolist() if d in hits else [] for d in range(b - a)], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(b - a)], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *new], names=schema.names)
 
-    return common.mapped(docs, run, schema)
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cutting: bool = False) -> DataFrame:
-    """The columns of ``docs`` plus n_words long, hits array<int> (numbers of hit words, from 0)
-    and items array<string>; columns named so in ``docs`` are replaced. When cutting, the
-    columns of ``docs``, with the hits cut out of the texts."""
-    out = docs.drop("n_words", "hits", "items")
-    every = blocks(benchmark, window, block_bytes)
-    block, i = next(every), 0
-    while (following := next(every, None)) is not None:
-        out, block, i = common.stored(_found(out, block, False), "decontaminate"), following, i + 1
-    return _found(out, block, cutting)
+    return common.mapped(docs.select(*kept), run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

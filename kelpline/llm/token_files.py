@@ -140,12 +140,6 @@ class Shard:
         return self.ids[self.starts[document] : self.starts[document + 1]].astype("<u4")
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
     """Write the documents (doc_id, text) as shards into ``path`` and give the manifest, which
     is kept beside them: shard, file, n_docs, n_ids and doc_ids (as written)."""
@@ -176,7 +170,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         ids = np.concatenate(parts)
         data = pack_shard(shard, doc_ids, ids, np.concatenate(lengths), id_bytes)
         name = f"shard-{shard:07d}.tok"
-        files, root = _filesystem(path)
+        files, root = common.filesystem(path)
         files.create_dir(root, recursive=True)
         attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
         with files.open_output_stream(attempt) as out:
@@ -197,7 +191,7 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     plan = manifest.select("shard", "file", "doc_ids").join(begins, "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _filesystem(path)
+        files, root = common.filesystem(path)
         for batch in batches:
             for row in batch.to_pylist():
                 with files.open_input_stream(f"{root}/{row['file']}") as f:

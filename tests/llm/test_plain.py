@@ -336,7 +336,7 @@ def test_decontaminate(spark):
                     found |= x
                     hit.update(range(a, a + n))
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    for size in (1 << 20, 60):
+    for size in (1 << 20, 60, 400):
         got = decontaminate.contamination(table(spark, rows), bench, block_bytes=size).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     left = decontaminate.remove(table(spark, rows), bench)
