@@ -201,16 +201,17 @@ def status_tier(errors: Column, idle_seconds: Column) -> Column:
     return F.when(errors >= 10, "КРИТИЧНО").when(errors >= 3, "ДЕГРАДАЦИЯ").when(idle_seconds > 300, "ПРОСТОЙ").otherwise("РАБОТАЕТ")
 
 
-def licensed(c: Column, rule: str, allowed: list[str]) -> Column:
-    """By exact name, by prefix, or by part. A non-commercial licence is never taken for the
-    free one whose name begins it."""
-    name = F.trim(c) if rule == "exact" else F.lower(F.trim(c))
-    free = ~F.lower(name).rlike(r"(?:^|[^a-z])(?:nc|nd)(?:[^a-z]|$)") if not any(x.endswith(("-nc", "-nd")) for x in allowed) else F.lit(True)
+def licensed(c: Column, rule: str, allowed: list[str], strict: bool = False) -> Column:
+    """By exact name, by prefix (the name or its beginning before a hyphen), or by part. If
+    ``strict``, a non-commercial or unchangeable licence is never taken for the free one whose
+    name begins it."""
+    name = F.trim(c) if rule == "exact" else F.lower(F.trim(c)) if rule == "prefix" else F.lower(c)
     fits = {
         "exact": name.isin(*allowed),
         "prefix": F.exists(F.array(*map(F.lit, allowed)), lambda a: (name == a) | F.startswith(name, F.concat(a, F.lit("-")))),
         "part": F.exists(F.array(*map(F.lit, allowed)), lambda a: F.contains(name, a)),
     }
+    free = ~F.lower(name).rlike(r"(?:^|[^a-z])(?:nc|nd)(?:[^a-z]|$)") if strict else F.lit(True)
     return F.coalesce(fits[rule] & free, F.lit(False))
 
 

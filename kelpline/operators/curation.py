@@ -106,8 +106,8 @@ def capped_report(df: DataFrame, by: list[str], order: list[str], most: int) ->
 
 def unseen(new: DataFrame, known: DataFrame, code: str, *order: Column) -> DataFrame:
     """The first file of each content hash that isn't known yet."""
-    place = F.row_number().over(Window.partitionBy(code).orderBy(*order))
-    return new.join(known.select(code).distinct(), code, "left_anti").withColumn("_place", place).filter("_place = 1").select(*new.columns)
+    fresh = new.join(known.select(code).distinct(), code, "left_anti").groupBy(code).agg(F.min_by(F.struct(*new.columns), F.struct(*order)).alias("_row"))
+    return fresh.select(*[F.col(f"_row.{c}").alias(c) for c in new.columns])
 
 
 def augmentation_plan(sources: DataFrame, key: str, wanted: int, transforms: int = 8) -> DataFrame:

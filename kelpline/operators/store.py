@@ -27,6 +27,13 @@ def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def earliest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key by ascending columns. One aggregate with partial minima: a key's
+    rows need not meet."""
+    row = F.min_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def last_value(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key. One aggregate with partial maxima, so that a key with very many
     rows is no burden."""
@@ -47,6 +54,18 @@ def valid_only(df: DataFrame, wanted: bool = True, column: str = "is_valid_catch
 
 
 # ---- leaderboard and counts (A1, A2, W9) ----
+def active_session(sessions: DataFrame) -> DataFrame:
+    """The newest active session of each chat; within one second the one inserted first."""
+    active = sessions.filter("status = 'active'")
+    row = F.max_by(F.struct(*active.columns), F.struct("created_at", -F.col("inserted")))
+    return active.groupBy("chat_id").agg(row.alias("_row")).select("_row.*")
+
+
+def session_expenses(expenses: DataFrame, session: Column) -> DataFrame:
+    """A session's expenses in the order of their time."""
+    return expenses.filter(session).orderBy("created_at", "id")
+
+
 def leaderboard(df: DataFrame, person: str, count: str, weight: str, species: str, key: Column) -> DataFrame:
     """By person without ASCII case: catches, fish, total and greatest weight, the name as
     written on the heaviest catch, and the species in order. Order by total weight, nulls last.
@@ -157,44 +176,53 @@ def sharers(split: Column, participants: Column, payer: Column) -> Column:
     return F.when(F.size(own) > 0, own).when(F.size(own) == 0, alone).otherwise(group)
 
 
+_MONEY = "decimal(20,6)"
+
+
 def shares(expenses: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session_id, name, paid, owed) rows: what each expense lets its payer and sharers count."""
+    """(session_id, name, paid, owed) rows, as decimals: what each expense lets its payer and sharers count."""
     e = expenses.join(sessions.select("session_id", "participants"), "session_id", "left")
     e = e.withColumn("_by", sharers(F.col("split_among"), F.col("participants"), F.col("paid_by_name")))
-    paid = e.select("session_id", F.col("paid_by_name").alias("name"), F.col("amount").alias("paid"), F.lit(0.0).alias("owed"))
-    owed = e.select("session_id", F.explode("_by").alias("name"), F.lit(0.0).alias("paid"), (F.col("amount") / F.size("_by")).alias("owed"))
+    none, money = F.lit(0).cast(_MONEY), F.col("amount").cast(_MONEY)
+    paid = e.select("session_id", F.col("paid_by_name").alias("name"), money.alias("paid"), none.alias("owed"))
+    owed = e.select("session_id", F.explode("_by").alias("name"), none.alias("paid"), (F.col("amount") / F.size("_by")).cast(_MONEY).alias("owed"))
     return paid.unionByName(owed)
 
 
 def balances(expenses: DataFrame, sessions: DataFrame) -> DataFrame:
-    """paid, owed and their difference by session and name."""
-    total = shares(expenses, sessions).groupBy("session_id", "name").agg(F.sum("paid").alias("paid"), F.sum("owed").alias("owed"))
-    return total.withColumn("balance", F.col("paid") - F.col("owed"))
+    """paid, owed and their difference by session and name, as decimals: sums don't depend on the order of rows."""
+    total = shares(expenses, sessions).groupBy("session_id", "name").agg(*[F.sum(c).cast(_MONEY).alias(c) for c in ("paid", "owed")])
+    return total.withColumn("balance", (F.col("paid") - F.col("owed")).cast(_MONEY))
 
 
 def settlements(balance: DataFrame, least: float = 0.01) -> DataFrame:
     """Who pays whom, by session: debtors by debt, each to the creditors in the order of what is
-    still due to them, equal amounts by name. One session is settled in one task; it holds the
-    people of one session."""
-    import pandas as pd
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        due = {n: b for n, b in zip(pdf["name"], pdf["balance"], strict=True) if b > least}
-        out = []
-        for debt, debtor in sorted(((-b, n) for n, b in zip(pdf["name"], pdf["balance"], strict=True) if b < -least), key=lambda x: (-x[0], x[1])):
-            for creditor in sorted(due, key=lambda n: (-due[n], n)):
-                pay = min(debt, due[creditor])
-                if pay > least:
-                    out.append((pdf["session_id"].iloc[0], debtor, creditor, round(pay, 2)))
-                    debt -= pay
-                    due[creditor] -= pay
-        return pd.DataFrame(out, columns=["session_id", "debtor", "creditor", "amount"])
-
-    session = balance.schema["session_id"].dataType.simpleString()
-    return balance.groupBy("session_id").applyInPandas(settle, f"session_id {session}, debtor string, creditor string, amount double")
+    still due to them, equal amounts by name. A row holds the people of one session; debtors are
+    taken one after another by a fold over it, so nothing runs in Python."""
+    small, zero, money = F.lit(least).cast(_MONEY), F.lit(0).cast(_MONEY), lambda c: c.cast(_MONEY)
+    sums = lambda a: F.aggregate(a, zero, lambda x, c: money(x + c["due"]))
+    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda c: F.struct(money(-c["due"]).alias("k"), c["name"].alias("name")))), lambda c: F.struct(money(-c["k"]).alias("due"), c["name"].alias("name")))
+    side = lambda sign: F.filter(F.collect_list(F.struct(money(F.col("balance") * sign).alias("due"), "name")), lambda c: c["due"] > small)
+    people = balance.groupBy("session_id").agg(side(1).alias("due"), side(-1).alias("debts"))
+
+    def step(acc: Column, debtor: Column) -> Column:
+        due = order(acc["due"])
+
+        def pay(c: Column, i: Column) -> Column:
+            rest = money(debtor["due"] - sums(F.slice(due, 1, i)))
+            return F.when((c["due"] > small) & (rest > small), F.least(rest, c["due"])).otherwise(zero)
+
+        paid = F.transform(due, pay)
+        left = F.zip_with(due, paid, lambda c, x: F.struct(money(c["due"] - x).alias("due"), c["name"].alias("name")))
+        new = F.filter(F.zip_with(due, paid, lambda c, x: F.struct(debtor["name"].alias("debtor"), c["name"].alias("creditor"), x.alias("amount"))), lambda x: x["amount"] > zero)
+        return F.struct(left.alias("due"), F.concat(acc["out"], new).alias("out"))
+
+    start = F.struct(F.col("due"), F.array().cast(f"array<struct<debtor:string,creditor:string,amount:{_MONEY}>>").alias("out"))
+    moves = people.select("session_id", F.explode(F.aggregate(order(F.col("debts")), start, step, lambda acc: acc["out"])).alias("m"))
+    return moves.select("session_id", "m.debtor", "m.creditor", F.round("m.amount", 2).cast("double").alias("amount"))
 
 
 def receipts_once(expenses: DataFrame, keys: list[str], file: str, *arrival: Column) -> DataFrame:
     """The first expense of each photo of a receipt; expenses without a photo all stay."""
     with_file = expenses.filter(F.col(file).isNotNull())
-    return first_of(with_file, [*keys, file], *arrival).unionByName(expenses.filter(F.col(file).isNull()))
+    return earliest(with_file, [*keys, file], *arrival).unionByName(expenses.filter(F.col(file).isNull()))

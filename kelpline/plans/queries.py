@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from kelpline.functions import rules, text
 from kelpline.operators import clusters, curation, evaluation, intake, search, store
+from kelpline.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,9 +107,9 @@ def semi_exists(t):
     return store.existing(t("customer").select("c_custkey"), t("orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey=c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey=c_custkey and o_totalprice>450000)")
 def anti_missing(t):
-    return store.missing(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return store.missing(t("customer").select("c_custkey"), t("orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("select c_custkey, c_name from customer where translate(c_name,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')='customer#000000042'")
@@ -202,13 +203,26 @@ r as (select session_id, payer as name, cast(amount as decimal(20,6)) as paid, c
  union all select session_id, unnest(who), 0, cast(amount/len(who) as decimal(20,6)) from b)
 select session_id, name, round(cast(sum(paid) as double),2) as paid, round(cast(sum(owed) as double),2) as owed from r group by 1,2""")
 def session_balances(t):
-    e, s = _expenses(t)
-    rows = store.shares(e, s)
-    d = lambda c: F.round(F.sum(F.col(c).cast("decimal(20,6)")).cast("double"), 2).alias(c)
-    return rows.groupBy("session_id", "name").agg(d("paid"), d("owed"))
+    b = store.balances(*_expenses(t))
+    return b.select("session_id", "name", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in ("paid", "owed")])
 
 
-@query()
+_BALANCES = """e as (select 's'||(o_orderkey%50) as session_id, 'p'||(o_custkey%7) as payer, round(o_totalprice) as amount, o_orderkey%5 as kind, (o_orderkey%50)%10=9 as nobody from orders),
+b as (select *, case when kind=1 then ['p0','p1','p1'] when kind=4 then ['p2'] when kind=2 then [payer] when nobody then [payer] else ['p0','p1','p2','p3'] end as who from e),
+r as (select session_id, payer as name, cast(amount as decimal(20,6)) as change from e union all select session_id, unnest(who), -cast(amount/len(who) as decimal(20,6)) from b),
+bal as (select session_id, name, cast(sum(change) as decimal(20,6)) as balance from r group by 1,2)"""
+
+
+@query(f"""with recursive {_BALANCES},
+ debtors as (select session_id, name as debtor, -balance as debt, row_number() over (partition by session_id order by balance, name) as k from bal where balance < -0.01),
+ walk as (select session_id, cast(0 as bigint) as k, list({{'neg': -balance, 'name': name}}) as due, cast([] as struct(debtor varchar, creditor varchar, amount decimal(20,6))[]) as moves
+   from bal where balance > 0.01 group by 1
+  union all select session_id, k, list_transform(range(1, len(o)+1), lambda i: {{'neg': cast(o[i].neg + paid[i] as decimal(20,6)), 'name': o[i].name}}),
+   list_filter(list_transform(range(1, len(o)+1), lambda i: {{'debtor': debtor, 'creditor': o[i].name, 'amount': paid[i]}}), lambda m: m.amount > 0) from (
+   select *, list_transform(range(1, len(o)+1), lambda i: case when -o[i].neg > 0.01 and debt - before[i] > 0.01 then least(cast(debt - before[i] as decimal(20,6)), cast(-o[i].neg as decimal(20,6))) else cast(0 as decimal(20,6)) end) as paid from (
+    select *, list_transform(range(1, len(o)+1), lambda i: coalesce(list_sum(list_transform(o[1:i-1], lambda x: -x.neg)), 0)) as before from (
+     select w.session_id, d.k, d.debtor, d.debt, list_sort(w.due) as o from walk w join debtors d on d.session_id = w.session_id and d.k = w.k + 1))))
+select session_id, m.debtor as debtor, m.creditor as creditor, cast(round(m.amount, 2) as double) as amount from (select session_id, unnest(moves) as m from walk)""")
 def settlements(t):
     return store.settlements(store.balances(*_expenses(t)))
 
@@ -226,14 +240,29 @@ def _files(t: Tables) -> DataFrame:
 
 
 _FILES = "files as (select 'f'||lpad(cast(doc_id as varchar),9,'0') as filename, sha256(text) as sha256, case when doc_id%3<>0 then doc_id end as msg_id, n_chars as max_side from documents)"
+_FILES_SIDE = _FILES.replace("n_chars as max_side", "case when doc_id%3<>0 and doc_id%4>0 then doc_id%5*300 end as max_side")
 _EXACT = f"""{_FILES}, g as (select *, row_number() over (partition by sha256 order by msg_id asc nulls last, filename) as r, count(*) over (partition by sha256) as n from files),
- exact_c as (select min(case when r=1 then filename end) as keep_filename, string_agg(filename, '|' order by r) filter (where r>1) as dups from g where n>1 group by sha256)"""
+ heads as (select sha256, filename as kept, cast(row_number() over (order by filename) as int) as cluster_id from g where n>1 and r=1),
+ ex as (select cluster_id, filename, r=1 as keep from g join heads using (sha256))"""
+
+
+def _exact(t: Tables) -> DataFrame:
+    return clusters.clustered(_files(t), "sha256", "filename", clusters.exact_order(), "exact")
 
 
-@query(f"with {_EXACT} select cast(row_number() over (order by keep_filename) as int) as cluster_id, keep_filename, dups from exact_c")
+@query(f"with {_EXACT} select cluster_id, filename, keep from ex")
 def exact_clusters(t):
-    c = clusters.clustered(_files(t), "sha256", "filename", clusters.exact_order(), "exact")
-    return c.select("cluster_id", "keep_filename", F.array_join("duplicate_filenames", "|").alias("dups"))
+    return _exact(t).select("cluster_id", "filename", "keep")
+
+
+@query(f"""with {_FILES_SIDE}, g as (select *, row_number() over (partition by sha256 order by coalesce(max_side,0) desc, msg_id asc nulls last, filename) as r, count(*) over (partition by sha256) as n from files),
+ k as (select sha256, filename as kept, cast(row_number() over (order by filename) as int) as cluster_id from g where n>1 and r=1)
+select cluster_id, kept as keep_filename, string_agg(filename, '|' order by r) as dups from g join k using (sha256) where r>1 group by 1,2""")
+def perceptual_keep(t):
+    files = _files(t).withColumn("max_side", F.when(F.col("msg_id") % 4 > 0, F.col("msg_id") % 5 * 300).cast("int"))
+    found = clusters.clustered(files, "sha256", "filename", clusters.perceptual_order(), "perceptual")
+    lists = clusters.as_lists(found.join(files, "filename"), clusters.perceptual_order())
+    return lists.select("cluster_id", "keep_filename", F.array_join("duplicate_filenames", "|").alias("dups"))
 
 
 @query("""with n as (select md5(text) as h, count(*) as n from documents group by 1 having count(*)>1)
@@ -273,7 +302,7 @@ p as (select a, b, distance from d where distance<=18 union all select head, vec
 
 @query(f"with {_PAIRS64} select a, b, distance from p")
 def near_dup_pairs_64(t):
-    return clusters.near_pairs_in_blocks(t("embeddings").select("vec_id", _sign_code(0, 64).alias("code")), "vec_id", "code", 18)
+    return clusters.near_pairs(t("embeddings").select("vec_id", _sign_code(0, 64).alias("code")), "vec_id", "code", 18)
 
 
 @query(f"""
@@ -285,36 +314,49 @@ def near_dup_clusters_64(t):
     return clusters.near_clusters(near_dup_pairs_64(t))
 
 
-def _near(t: Tables) -> DataFrame:
-    """Made-up near clusters over the same files: kept files of every second exact cluster."""
-    exact = clusters.clustered(_files(t), "sha256", "filename", clusters.exact_order(), "exact")
-    odd = F.col("cluster_id") % 2 == 0
-    return exact.filter("cluster_id % 4 <> 3").select((F.col("cluster_id") + 1000).alias("cluster_id"), F.lit("perceptual").alias("cluster_type"), F.when(odd, F.concat(F.lit("x"), "keep_filename")).otherwise(F.col("keep_filename")).alias("keep_filename"), F.array(F.when(odd, F.col("keep_filename")).otherwise(F.concat(F.lit("y"), "keep_filename"))).alias("duplicate_filenames"), (F.col("cluster_id") % 9).cast("int").alias("hamming_distance"))
+_NEAR8 = """c as (select doc_id, doc_id & 63 as low, substr(md5(text),1,14)||(ascii(substr(md5(text),15,1))%4) as high from documents),
+ h as (select low, high, min(doc_id) as head from c group by 1,2)
+ select least(x.head,y.head) as a, greatest(x.head,y.head) as b, cast(bit_count(xor(x.low,y.low)) as int) as distance from h x join h y on x.high=y.high and x.low<y.low
+ union all select head, doc_id, 0 from c join h using (low, high) where doc_id>head"""
+
+
+@query(f"with {_NEAR8}")
+def near_dup_pairs_8(t):
+    """64-bit codes at up to 8 differing bits: 58 bits of a hash of the text, and 6 of the number."""
+    md5, digit = F.md5("text"), F.ascii(F.substring(F.md5("text"), 15, 1)) % 4
+    code = F.conv(F.substring(md5, 1, 14), 16, 10).cast("decimal(20,0)").cast("long")
+    code = F.shiftleft(F.shiftleft(code, 2) + digit.cast("long"), 6).bitwiseOR(F.col("doc_id").bitwiseAND(63))
+    return clusters.near_pairs(t("documents").select("doc_id", code.alias("code")), "doc_id", "code", 8)
 
 
-_RESOLVED = f"""{_EXACT}, e as (select cast(row_number() over (order by keep_filename) as int) as cluster_id, * from exact_c),
- final as (select cluster_id, 'exact' as cluster_type, keep_filename, dups, null::int as d from e where cluster_id%4=3
- union all select cluster_id+1000, 'perceptual', case when cluster_id%2=0 then 'x'||keep_filename else keep_filename end,
-  (case when cluster_id%2=0 then keep_filename else 'y'||keep_filename end)||'|'||dups, cast(cluster_id%9 as int) from e where cluster_id%4<>3)"""
+def _near(t: Tables) -> DataFrame:
+    """Made-up near clusters over the same files: of three in four exact clusters the kept file, as a duplicate or as the kept file."""
+    heads = _exact(t).filter("keep and cluster_id % 4 <> 3")
+    odd = F.col("cluster_id") % 2 == 0
+    files = F.array(F.struct(F.when(odd, F.concat(F.lit("x"), "filename")).otherwise(F.col("filename")).alias("f"), F.lit(True).alias("k")), F.struct(F.when(odd, F.col("filename")).otherwise(F.concat(F.lit("y"), "filename")).alias("f"), F.lit(False).alias("k")))
+    rows = heads.select((F.col("cluster_id") + 1000).alias("cluster_id"), F.lit("perceptual").alias("cluster_type"), (F.col("cluster_id") % 9).cast("int").alias("hamming_distance"), F.explode(files).alias("x"))
+    return rows.select("cluster_id", "cluster_type", F.col("x.f").alias("filename"), F.col("x.k").alias("keep"), "hamming_distance")
 
 
-def _both(t: Tables) -> DataFrame:
-    exact = clusters.clustered(_files(t), "sha256", "filename", clusters.exact_order(), "exact")
-    return clusters.resolved(exact, _near(t))
+_RESOLVED = f"""{_EXACT},
+ final as (select cluster_id, 'exact' as cluster_type, filename, keep, null::int as d from ex where cluster_id%4=3
+ union all select cluster_id+1000, 'perceptual', case when cluster_id%2=0 then 'x'||filename else filename end, true, cast(cluster_id%9 as int) from ex where keep and cluster_id%4<>3
+ union all select cluster_id+1000, 'perceptual', case when cluster_id%2=0 then filename else 'y'||filename end, false, cast(cluster_id%9 as int) from ex where keep and cluster_id%4<>3
+ union all select cluster_id+1000, 'perceptual', filename, false, cast(cluster_id%9 as int) from ex where not keep and cluster_id%4<>3)"""
 
 
-@query(f"with {_RESOLVED} select cluster_id, cluster_type, keep_filename, dups from final")
+@query(f"with {_RESOLVED} select cluster_id, cluster_type, filename, keep from final")
 def resolve_conflicts(t):
-    return _both(t).select("cluster_id", "cluster_type", "keep_filename", F.array_join("duplicate_filenames", "|").alias("dups"))
+    return clusters.resolved(_exact(t), _near(t)).select("cluster_id", "cluster_type", "filename", "keep")
 
 
-@query(f"""with {_RESOLVED}, s as (select cluster_type, d, 1+length(dups)-length(replace(dups,'|','')) as n from final)
-select count(*) filter (where cluster_type='exact') as exact_clusters, count(*) filter (where cluster_type='perceptual') as perceptual_clusters,
- cast(coalesce(sum(n) filter (where cluster_type='exact'),0) as bigint) as exact_duplicates, cast(coalesce(sum(n) filter (where cluster_type='perceptual'),0) as bigint) as perceptual_duplicates,
- count(*) filter (where cluster_type='perceptual' and d=8) as boundary_clusters, (select count(*) from documents) as total_files,
- (select count(*) from documents)-cast(coalesce(sum(n),0) as bigint) as unique_files from s""")
+@query(f"""with {_RESOLVED}
+select count(*) filter (where cluster_type='exact' and keep) as exact_clusters, count(*) filter (where cluster_type='perceptual' and keep) as perceptual_clusters,
+ count(*) filter (where cluster_type='exact' and not keep) as exact_duplicates, count(*) filter (where cluster_type='perceptual' and not keep) as perceptual_duplicates,
+ count(*) filter (where cluster_type='perceptual' and keep and d=8) as boundary_clusters, (select count(*) from documents) as total_files,
+ (select count(*) from documents)-count(*) filter (where not keep) as unique_files from final""")
 def dedup_summary(t):
-    return clusters.dedup_summary(_both(t), t("documents"), 8)
+    return clusters.dedup_summary(clusters.resolved(_exact(t), _near(t)), t("documents"), 8)
 
 
 # ---------- intake ----------
@@ -468,11 +510,11 @@ def label_checks(t):
     return curation.label_errors(lines, "file", "l_linenumber", "value", 5).select("file.*", "l_linenumber", "error")
 
 
-@query("""with m as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as r, count(*) over (partition by c_nationkey) as n from customer where not exists (select 1 from orders where o_custkey=c_custkey))
+@query("""with m as (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as r, count(*) over (partition by c_nationkey) as n from customer where not exists (select 1 from orders where o_custkey=c_custkey and o_totalprice>450000))
 select c_nationkey, c_custkey, cast(greatest(n-10,0) as bigint) as left_out from m where r<=10""")
 def missing_report(t):
     images = t("customer").select("c_nationkey", F.col("c_custkey").alias("stem"))
-    gone = curation.without_label(images, t("orders").select(F.col("o_custkey").alias("stem")), "stem")
+    gone = curation.without_label(images, t("orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("stem")), "stem")
     return curation.capped_report(gone, ["c_nationkey"], ["stem"], 10).select("c_nationkey", F.col("stem").alias("c_custkey"), "left_out")
 
 
@@ -505,13 +547,18 @@ def filled_results(t):
     return curation.filled_up(d.filter("doc_id % 2 = 0").select(F.col("source").alias("url"), "doc_id"), d.select(F.col("lang").alias("url"), "doc_id"), "url", "doc_id", 22)
 
 
-@query("""select id, exact_ok, prefix_ok, part_ok from (values
- (1,true,false,false),(2,false,true,true),(3,false,true,true),(4,false,false,false),(5,false,false,true),(6,false,true,true),(7,false,false,false),(8,false,false,false)) v(id, exact_ok, prefix_ok, part_ok)""")
+_LICENCE = "list_extract(['CC_BY_4_0','cc-by','CC-BY-4.0','cc-by-nc','Public Domain','cc0',null,'all rights reserved','CC BY 4.0 '], cast(p_partkey%9 as int)+1)"
+
+
+@query(f"""with x as (select p_partkey, {_LICENCE} as l from part)
+select p_partkey, coalesce(trim(l) in ('CC0_1_0','CC_BY_4_0','CC0 1.0','CC BY 4.0'), false) as exact_ok, coalesce(lower(trim(l)) in ('cc0','cc-by','cc-by-sa') or regexp_matches(lower(trim(l)), '^(cc0|cc-by|cc-by-sa)-'), false) as prefix_ok,
+ coalesce(regexp_matches(lower(l), 'cc0|cc-by|cc by|public domain|pd |pd-|attribution'), false) as part_ok,
+ coalesce(lower(trim(l)) in ('cc0','cc-by','cc-by-sa') or regexp_matches(lower(trim(l)), '^(cc0|cc-by|cc-by-sa)-'), false) and coalesce(l,'') not like '%nc%' as free_ok from x""")
 def license_filter(t):
-    rows = [(1, "CC_BY_4_0"), (2, "cc-by"), (3, "CC-BY-4.0"), (4, "cc-by-nc"), (5, "Public Domain"), (6, "cc0"), (7, None), (8, "all rights reserved")]
-    df = t("nation").sparkSession.createDataFrame(rows, "id int, lic string")
+    names = F.array(*[F.lit(x) for x in ("CC_BY_4_0", "cc-by", "CC-BY-4.0", "cc-by-nc", "Public Domain", "cc0", None, "all rights reserved", "CC BY 4.0 ")])
     c, free = F.col("lic"), ["cc0", "cc-by", "cc-by-sa"]
-    return df.select("id", rules.licensed(c, "exact", rules.EXACT_LICENCES).alias("exact_ok"), rules.licensed(c, "prefix", free).alias("prefix_ok"), rules.licensed(c, "part", rules.PART_LICENCES).alias("part_ok"))
+    rows = t("part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % 9 + 1).cast("int")).alias("lic"))
+    return rows.select("p_partkey", rules.licensed(c, "exact", rules.EXACT_LICENCES).alias("exact_ok"), rules.licensed(c, "prefix", free).alias("prefix_ok"), rules.licensed(c, "part", rules.PART_LICENCES).alias("part_ok"), rules.licensed(c, "prefix", free, strict=True).alias("free_ok"))
 
 
 # ---------- evaluation ----------
@@ -591,18 +638,14 @@ _MARKS = "translate(lower(text),'àáâãäåçèéêëìíîïñòóôõöùú
 _TOK = rf"tk as (select doc_id, list_filter(string_split_regex({_MARKS},'[^\p{{L}}\p{{N}}]+'), lambda x: x<>'') as t from documents), ix as (select doc_id, len(t) as length, unnest(t) as token, generate_subscripts(t,1)-1 as position from tk)"
 
 
-def _index(t: Tables) -> DataFrame:
-    return search.index(t("documents"), "doc_id", "text")
-
-
 @query(f"with {_TOK} select a.doc_id, count(*) as tf from ix a join ix b on a.doc_id=b.doc_id and b.position=a.position+1 where a.token='of' and b.token='the' group by 1")
 def text_search_phrase(t):
-    return search.phrase(_index(t), "doc_id", ["of", "the"]).select("doc_id", "tf")
+    return search.phrase(t("documents"), "doc_id", "text", ["of", "the"]).select("doc_id", "tf")
 
 
 @query(f"with {_TOK} select doc_id, token, count(*) as tf from ix where token in ('idiot','worthless') group by 1,2")
 def text_search_or(t):
-    return search.any_word(_index(t), "doc_id", ["idiot", "worthless"]).select("doc_id", "token", "tf")
+    return search.any_word(t("documents"), "doc_id", "text", ["idiot", "worthless"]).select("doc_id", "token", "tf")
 
 
 @query("select doc_id from documents where translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') like '%licensed under%'")
@@ -614,14 +657,40 @@ def text_search_like(t):
  d as (select token, count(*) as df from h group by 1), s as (select count(*) as docs, avg(len(t)) as mean from tk)
 select doc_id, round(-sum((case when ln((docs-df+0.5)/(df+0.5))>0 then ln((docs-df+0.5)/(df+0.5)) else 1e-6 end)*tf*2.2/(tf+1.2*(0.25+0.75*length/mean))),6) as rank from h join d using (token) cross join s group by 1""")
 def bm25(t):
-    hits = search.any_word(_index(t), "doc_id", ["idiot", "the", "worthless"])
-    return search.bm25(hits, t("documents"), "doc_id", "text").select("doc_id", F.round("rank", 6).alias("rank"))
+    hits = search.any_word(t("documents"), "doc_id", "text", ["idiot", "the", "worthless"])
+    return search.bm25(hits, search.corpus_size(t("documents"), "text"), "doc_id").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"""with {_TOK}, h as (select a.doc_id, count(*) as tf, max(a.length) as length from ix a join ix b on a.doc_id=b.doc_id and b.position=a.position+1 where a.token='of' and b.token='the' group by 1),
+ s as (select count(*) as docs, avg(len(t)) as mean, (select count(*) from h) as df from tk),
+ r as (select doc_id, -(case when ln((docs-df+0.5)/(df+0.5))>0 then ln((docs-df+0.5)/(df+0.5)) else 1e-6 end)*tf*2.2/(tf+1.2*(0.25+0.75*length/mean)) as rank from h cross join s)
+select doc_id, round(rank,6) as rank from r order by r.rank, doc_id limit 25""")
+def bm25_phrase_top(t):
+    """A phrase scores as one term; the most relevant first."""
+    hits = search.phrase(t("documents"), "doc_id", "text", ["of", "the"]).withColumn("token", F.lit("of the"))
+    ranked = search.bm25(hits, search.corpus_size(t("documents"), "text"), "doc_id")
+    return search.top(ranked, "doc_id", 25).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"with {_TOK} select distinct doc_id, 2 as stage from ix where token in ('idiot','worthless')")
+@query(f"""with {_TOK}, p as (select a.doc_id, count(*) as tf from ix a join ix b on a.doc_id=b.doc_id and b.position=a.position+1 where a.token='of' and b.token='the' group by 1)
+select 'of the' as term, doc_id, tf from p union all select token, doc_id, count(*) from ix where token in ('idiot','worthless') group by 1,2""")
+def indexed_search(t):
+    """A stored index, and a phrase and words looked up in it."""
+    d = t("documents")
+    path = scratch_path(d.sparkSession, "index")
+    search.write_index(d, "doc_id", "text", path)
+    spark = d.sparkSession
+    two = search.indexed_phrase(spark, path, ["of", "the"]).select(F.lit("of the").alias("term"), F.col("key").alias("doc_id"), "tf")
+    return two.unionByName(search.postings(spark, path, ["idiot", "worthless"]).select(F.col("token").alias("term"), F.col("key").alias("doc_id"), F.size("positions").cast("long").alias("tf")))
+
+
+@query(f"""with {_TOK}, p as (select distinct doc_id from ix a where token='idiot' and exists (select 1 from ix b where b.doc_id=a.doc_id and b.position=a.position+1 and b.token='worthless') and exists (select 1 from ix b where b.doc_id=a.doc_id and b.position=a.position+2 and b.token='idiot')),
+ w as (select distinct doc_id from ix where token in ('idiot','worthless')), l as (select doc_id from documents where lower(text) like '%idiot worthless%'),
+ every as (select doc_id, 1 as stage from p union all select doc_id, 2 from w union all select doc_id, 3 from l)
+select doc_id, cast(stage as int) as stage from every where stage=(select min(stage) from every)""")
 def search_cascade(t):
-    i = _index(t)
-    stages = [search.phrase(i, "doc_id", ["idiot", "worthless", "idiot"]).select("doc_id"), search.any_word(i, "doc_id", ["idiot", "worthless"]).select("doc_id").distinct(), search.substring_hits(t("documents"), "text", "idiot worthless").select("doc_id")]
+    d = t("documents")
+    stages = [search.phrase(d, "doc_id", "text", ["idiot", "worthless", "idiot"]).select("doc_id"), search.any_word(d, "doc_id", "text", ["idiot", "worthless"]).select("doc_id").distinct(), search.substring_hits(d, "text", "idiot worthless").select("doc_id")]
     return search.cascade(stages)
 
 
@@ -637,10 +706,11 @@ def rag_context_conversations(t):
     return search.context(d, t("conversations").select("text"), "text", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "text")
 
 
-@query("""with s as (select *, sum(length(text)) over () as size, row_number() over (partition by role='system' order by turn desc) as k from conversations where conv_id=0)
-select turn, role from s where size<=1000 or role='system' or k<=3""")
+@query("""with s as (select *, coalesce(sum(length(text)) over (partition by conv_id),0) as size, row_number() over (partition by conv_id, role='system' order by turn desc) as k from conversations)
+select conv_id, turn, role from s where size<=1000 or role='system' or k<=3""")
 def context_budget(t):
-    return search.within_budget(t("conversations").filter("conv_id = 0"), "text", "role", "turn", 1000, 3).select("turn", "role")
+    """A budget that most conversations are beyond."""
+    return search.within_budget(t("conversations"), "text", "role", "turn", 1000, 3, ["conv_id"]).select("conv_id", "turn", "role")
 
 
 @query("""with s as (select *, coalesce(sum(length(text)) over (partition by conv_id),0) as size, row_number() over (partition by conv_id, role='system' order by turn desc) as k from conversations)
@@ -655,10 +725,12 @@ def sanitize(t):
     return t("conversations").select("conv_id", "turn", text.sanitize(F.col("text")).alias("clean"))
 
 
-@query("""select event_id, case when event_id%3=0 then 'hello' when event_id%3=1 then '@someBot' else 'you  there' end as left_text from events""")
+@query(r"""with x as (select conv_id, turn, text, case when turn%4=0 then '@somebot '||text when turn%4=1 then '@someBot' when turn%4=2 then text||' @SomeBot @otherbot ' else text end as raw from conversations)
+select conv_id, turn, coalesce(nullif(trim(regexp_replace(raw,'@somebot\b','','gi'),' '),''), nullif(trim(regexp_replace(raw,'@\w+','','g'),' '),''), raw) as left_text from x""")
 def strip_mention(t):
-    raw = F.when(F.col("event_id") % 3 == 0, "@somebot hello").when(F.col("event_id") % 3 == 1, "@someBot").otherwise("you @SomeBot there")
-    return t("events").select("event_id", text.strip_mention(raw, "somebot").alias("left_text"))
+    k, x = F.col("turn") % 4, F.col("text")
+    raw = F.when(k == 0, F.concat(F.lit("@somebot "), x)).when(k == 1, "@someBot").when(k == 2, F.concat(x, F.lit(" @SomeBot @otherbot "))).otherwise(x)
+    return t("conversations").select("conv_id", "turn", text.strip_mention(raw, "somebot").alias("left_text"))
 
 
 @query(r"""select conv_id, turn, array_to_string(list_filter(string_split_regex(trim(text), '\s+'), lambda w: length(w)>2), ' OR ') as q from conversations""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    return jobs.run_to_end(df, name, scratch_path(df.sparkSession, name), mode)
+    spark = df.sparkSession
+    return jobs.run_to_end(df, scratch_path(spark, "stream"), scratch_path(spark, "stream_state"), mode)
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +48,35 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(jobs.sessions(e, "user_id", "event_id", "kind"), "append")
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_last_value, stream_once_a_day, stream_sessions)}
+def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates by content, without those that were pending at the start; branches as one table."""
+    k = F.col("event_id") % 5
+    e = _events(spark, sf_dir).select(
+        "event_id", "ts", F.when(k == 0, F.col("value")).alias("latitude"), F.when(k < 2, "p").alias("photo_file_id"), F.when((k > 1) & (k < 4), "v").alias("voice_file_id"), F.when(k != 4, "t").alias("message_text")
+    )
+    found = jobs.routes(jobs.only_new(e, "ts", F.to_timestamp(F.lit("2024-01-02 00:00:00"))))
+    parts = [df.select("event_id", F.lit(kind).alias("route")) for kind, df in found.items()]
+    return _run(reduce(DataFrame.unionByName, parts), "append")
+
+
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events go to the history, and those that aren't older than the clock allows are processed:
+    here those of an even number, moved to now."""
+    e = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, F.current_timestamp() + F.expr("interval 1 hour")).otherwise(F.col("ts")).alias("created_at"))
+    history, done = scratch_path(spark, "history"), scratch_path(spark, "processed")
+    jobs.record_and_process(e, history, scratch_path(spark, "stream_state"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{done}/batch={n}")).awaitTermination()
+    processed = spark.read.schema("event_id long").parquet(done).select("event_id", F.lit(True).alias("processed"))
+    return spark.read.schema("event_id long").parquet(history).join(processed, "event_id", "left").select("event_id", F.coalesce("processed", F.lit(False)).alias("processed"))
+
+
+#: The event log comes as one batch, so a watermark drops nothing.
+ORACLE = {
+    "stream_dedup": "select distinct user_id, event_type from events where event_type='purchase'",
+    "stream_last_value": "select user_id, max_by(event_id,(ts,event_id)) as event_id, max_by(event_type,(ts,event_id)) as event_type from events group by 1",
+    "stream_once_a_day": "select distinct user_id, strftime(ts,'%Y-%m-%d') as day from events where event_type='error'",
+    "stream_routes": "select event_id, case event_id%5 when 0 then 'location' when 1 then 'photo' else 'voice' end as route from events where ts>='2024-01-02 00:00:00' and event_id%5<4",
+    "stream_history": "select event_id, event_id%2=0 as processed from events",
+    "stream_sessions": """with m as (select user_id, event_id, event_type, lead(event_id) over (partition by user_id order by event_id) as next from events where event_type in ('signup','purchase'))
+select user_id, cast(row_number() over (partition by user_id order by event_id)-1 as int) as session, event_id as opened, next as closed from m where event_type='signup' qualify next is not null""",
+}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_last_value, stream_once_a_day, stream_sessions, stream_routes, stream_history)}

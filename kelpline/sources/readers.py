@@ -3,8 +3,12 @@ schema; nothing is inferred from data."""
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +53,15 @@ def nested_map(spark: SparkSession, path: str, key: str, value: str) -> DataFram
     return whole.select(F.explode("m").alias(key, "_v")).select(key, "_v.*")
 
 
+def _file_name() -> Column:
+    """The name of the file that a row comes from, as it was written: paths of files are encoded."""
+    return F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.lit("+"), F.lit("%2B")))
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """Export pages in order: file, page, html."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.html")
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    name = _file_name()
     return files.select(name.alias("file"), page_number(name).alias("page"), F.col("value").alias("html"))
 
 
@@ -63,6 +72,25 @@ def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES, r
     return found.filter(has_suffix(F.col("path"), suffixes)).select("path", F.element_at(F.split("path", "/"), -2).alias("cls"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), "length")
 
 
+def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, entry, content) of the files in landed archives; an archive is unpacked by one task,
+    entry by entry. Folders are left out, and what isn't a sound archive has no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                for entry in archive.infolist():
+                    if not entry.is_dir():
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([entry.filename]), pa.array([archive.read(entry)], pa.binary())], names=["archive", "entry", "content"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(run, "archive string, entry string, content binary")
+
+
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """filename, content, width and height; -1 for files that can't be decoded."""
     decoded = spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("path"), "image.width", "image.height")
@@ -75,7 +103,7 @@ def image_sizes(spark: SparkSession, path: str) -> DataFrame:
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """(stem, line, value) of label files. Files are small: a file's lines are numbered as one text."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.txt$", "")
+    name = F.regexp_replace(_file_name(), r"\.txt$", "")
     return files.select(name.alias("stem"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
 
 

@@ -54,8 +54,9 @@ def first_valid(df: DataFrame, keys: list[str], valid: Column, time: str, delay:
 
 
 def last_of_key(df: DataFrame, key: str, time: str, *columns: str) -> DataFrame:
-    """The latest value of each key so far, for update mode."""
-    return df.groupBy(key).agg(F.max(time).alias(time), *[F.max_by(c, time).alias(c) for c in columns])
+    """The latest value of each key so far, of equal times by the columns in turn; for update mode."""
+    last = F.max(F.struct(time, *columns)).alias("_last")
+    return df.groupBy(key).agg(last).select(key, "_last.*")
 
 
 def once_a_day(df: DataFrame, key: str, day: str) -> DataFrame:
@@ -93,8 +94,13 @@ def sessions(df: DataFrame, key: str, order: str, event: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, session int, opened long, closed long", "opened long, n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give its result as a table; for small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and give its result as a table, written to files by the
+    executors: batch by batch in append mode, else the whole result of the last batch."""
+    schema, spark = df.schema, df.sparkSession
+    if mode == "append":
+        q = df.writeStream.format("parquet").option("path", path).outputMode(mode)
+    else:
+        q = df.writeStream.outputMode(mode).foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(path))
+    q.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(path)

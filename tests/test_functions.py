@@ -37,7 +37,7 @@ def cases():
         (rules.valid_amount(L("12.5")), 12.5), (rules.valid_amount(L("x")), None), (rules.valid_amount(L("1000001")), None),
         (rules.retry_delay(L("3"), L(1)), 3.0), (rules.retry_delay(L("x"), L(3)), 4.0), (rules.has_location(L(0.0), L(5.0)), False),
         (rules.size_bucket(L(1280)), "ge_1280"), (rules.size_bucket(L(800)), "800_1279"), (rules.size_bucket(L(400)), "400_799"), (rules.size_bucket(L(399)), "lt_400"),
-        (rules.licensed(L("cc-by-nc"), "prefix", ["cc-by"]), False), (rules.licensed(L("cc-by-4.0"), "prefix", ["cc-by"]), True), (rules.licensed(L("CC BY 4.0"), "exact", rules.EXACT_LICENCES), True),
+        (rules.licensed(L("cc-by-nc"), "prefix", ["cc-by"]), True), (rules.licensed(L("cc-by-nc"), "prefix", ["cc-by"], strict=True), False), (rules.licensed(L("cc-by-4.0"), "prefix", ["cc-by"]), True), (rules.licensed(L("CC BY 4.0"), "exact", rules.EXACT_LICENCES), True),
         (rules.schedule_minutes(L("09:00")), 540), (rules.due(L(543), L("09:00"), L(None).cast("string"), L("d")), True), (rules.due(L(547), L("09:00"), L(None).cast("string"), L("d")), False),
         (rules.due(L(543), L("09:00"), L("d"), L("d")), False), (rules.due(L(1), L("23:58"), L(None).cast("string"), L("d")), False),
         (rules.rain_days(F.array(L("a"), L("b"), L("c"), L("d")), F.array(L(61), L(0), L(3), L(61)), F.array(L(0.0), L(0.0), L(1.0), L(9.0)), True), ["a", "c"]),

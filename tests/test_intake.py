@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from kelpline.operators import clusters, curation, evaluation, intake, search
@@ -73,19 +75,49 @@ def test_near_pairs_in_blocks(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("how", [(1, 8), (2, 4), (3, 2), (9, 0), None])
+def test_near_pairs_by_bands(spark, how):
+    """Exact at 8 of 64 bits by any number of bands, also with a large group of near codes."""
+    rnd = random.Random(4)
+    base = [rnd.randrange(-(2**63), 2**63) for _ in range(12)]
+    codes = base + [c ^ sum(1 << rnd.randrange(63) for _ in range(k % 11)) for k, c in enumerate(base * 3)]
+    codes += [base[0] ^ (1 << k) for k in range(20)] + [base[1]] * 3
+    head = {}
+    for i, c in enumerate(codes):
+        head.setdefault(c, i)
+    apart = lambda x, y: ((x ^ y) % 2**64).bit_count()
+    want = [(min(i, j), max(i, j), apart(x, y)) for x, i in head.items() for y, j in head.items() if x < y and apart(x, y) <= 8]
+    want += [(head[c], i, 0) for i, c in enumerate(codes) if i > head[c]]
+    if how and how[1] > 4:
+        how = (2, 4)  # the neighbours of a whole code are too many for a test
+    got = clusters.near_pairs(_codes(spark, *codes), "idx", "h", 8, how=how)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_band_plan():
+    """Beyond some codes bands make less work than blocks, and far less at size; at 18 of 64 bits blocks remain."""
+    assert clusters.plan_bands(1000, 64, 8) is None or clusters.plan_bands(1000, 64, 8)[0] > 1
+    bands, inside = clusters.plan_bands(100_000_000, 64, 8)
+    assert bands * (inside + 1) > 8 and bands <= 4
+    assert clusters.plan_bands(10_000, 64, 18) is None
+
+
 def test_exact_keep(spark):
-    df = spark.createDataFrame([("b", "h", None, 5), ("a", "h", 42, 5), ("c", "g", 1, 5), ("d", None, 2, 5)], "filename string, sha256 string, msg_id long, max_side int")
-    c = clusters.clustered(df, "sha256", "filename", clusters.exact_order(), "exact").collect()
-    assert [(r["cluster_id"], r["keep_filename"], r["duplicate_filenames"]) for r in c] == [(1, "a", ["b"])]
+    df = spark.createDataFrame([("b", "h", None, 5), ("a", "h", 42, 5), ("c", "g", 1, 5), ("d", None, 2, 5), ("e", None, 3, 5)], "filename string, sha256 string, msg_id long, max_side int")
+    c = clusters.clustered(df, "sha256", "filename", clusters.exact_order(), "exact")
+    assert sorted((r["cluster_id"], r["filename"], r["keep"]) for r in c.collect()) == [(1, "a", True), (1, "b", False)]
+    r = clusters.as_lists(c.join(df, "filename"), clusters.exact_order()).first()
+    assert (r["keep_filename"], r["duplicate_filenames"]) == ("a", ["b"])
 
 
 def test_conflicts(spark):
-    schema = "cluster_id int, cluster_type string, keep_filename string, duplicate_filenames array<string>, hamming_distance int"
-    exact = spark.createDataFrame([(1, "exact", "a", ["b"], None), (2, "exact", "k", ["m"], None), (3, "exact", "x", ["y"], None)], schema)
-    near = spark.createDataFrame([(4, "perceptual", "k", ["a"], 8)], schema)
-    r = {x["cluster_id"]: sorted(x["duplicate_filenames"]) for x in clusters.resolved(exact, near).collect()}
-    assert r == {3: ["y"], 4: ["a", "b", "m"]}
-    s = clusters.dedup_summary(clusters.resolved(exact, near), spark.range(20), 8).first()
+    schema = "cluster_id int, cluster_type string, filename string, keep boolean"
+    pair = lambda i, kind, keep, other: [(i, kind, keep, True), (i, kind, other, False)]
+    exact = spark.createDataFrame(pair(1, "exact", "a", "b") + pair(2, "exact", "k", "m") + pair(3, "exact", "x", "y"), schema)
+    near = spark.createDataFrame([(*r, 8) for r in pair(4, "perceptual", "k", "a")], schema + ", hamming_distance int")
+    rows = clusters.resolved(exact, near)
+    assert sorted((r["cluster_id"], r["filename"], r["keep"]) for r in rows.collect()) == [(3, "x", True), (3, "y", False), (4, "a", False), (4, "b", False), (4, "k", True), (4, "m", False)]
+    s = clusters.dedup_summary(rows, spark.range(20), 8).first()
     assert (s["exact_clusters"], s["perceptual_duplicates"], s["boundary_clusters"], s["unique_files"]) == (1, 3, 1, 16)
 
 
@@ -114,10 +146,27 @@ def test_matrix_drops_unknown(spark):
 
 def test_search(spark):
     df = spark.createDataFrame([(1, "Рыба РЫБА café"), (2, "рыбак cafe"), (3, "ёлка елка")], "id long, t string")
-    i = search.index(df, "id", "t")
-    ids = lambda *w: sorted({r["id"] for r in search.any_word(i, "id", list(w)).collect()})
+    ids = lambda *w: sorted({r["id"] for r in search.any_word(df, "id", "t", list(w)).collect()})
     assert ids("рыба") == [1] and ids("cafe") == [1, 2] and ids("ёлка") == [3] and ids("елка") == [3]
-    assert [r["id"] for r in search.phrase(i, "id", ["рыба", "рыба"]).collect()] == [1]
+    assert [tuple(r) for r in search.phrase(df, "id", "t", ["рыба", "рыба"]).collect()] == [(1, 1, 3)]
+
+
+def test_stored_index(spark, tmp_path):
+    """The same from the stored index as from the documents; places of a phrase may overlap."""
+    df = spark.createDataFrame([(1, "a a a, b"), (2, "b a"), (3, "x"), (4, None), (5, "a a")], "id long, t string")
+    search.write_index(df, "id", "t", str(tmp_path / "ix"))
+    for words in (["a", "a"], ["b"], ["b", "a"], ["q"]):
+        want = sorted(map(tuple, search.phrase(df, "id", "t", words).collect()))
+        got = search.indexed_phrase(spark, str(tmp_path / "ix"), words).select("key", "tf", "length")
+        assert sorted(map(tuple, got.collect())) == want
+    assert [r["tf"] for r in search.phrase(df, "id", "t", ["a", "a"]).orderBy("id").collect()] == [2, 1]
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([("a/b/x.txt", b"one"), ("y.txt", None)], "path string, content binary")
+    assert sorted(map(tuple, sinks.files(df, str(tmp_path / "f"), dry_run=True).collect())) == [("a/b/x.txt", 3), ("y.txt", 0)]
+    assert not (tmp_path / "f").exists()
+    assert sinks.files(df, str(tmp_path / "f")).count() == 2 and (tmp_path / "f/a/b/x.txt").read_bytes() == b"one" and (tmp_path / "f/y.txt").read_bytes() == b""
 
 
 def test_readers(spark, tmp_path):

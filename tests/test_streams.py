@@ -19,17 +19,17 @@ def events(spark, tmp_path):
 
 def test_rejected_doesnt_bar(events):
     df, path = events
-    got = jobs.run_to_end(jobs.first_valid(df, ["chat", "file"], F.col("valid"), "created_at"), "first_valid", f"{path}/c1")
+    got = jobs.run_to_end(jobs.first_valid(df, ["chat", "file"], F.col("valid"), "created_at"), f"{path}/o1", f"{path}/c1")
     rows = sorted((r["chat"], r["id"]) for r in got.collect())
     assert [c for c, _ in rows] == [1, 2] and rows[0][1] in (2, 3)
 
 
 def test_last_and_daily(events):
     df, path = events
-    last = jobs.run_to_end(jobs.last_of_key(df, "chat", "created_at", "id"), "last_of_key", f"{path}/c2", "complete")
+    last = jobs.run_to_end(jobs.last_of_key(df, "chat", "created_at", "id"), f"{path}/o2", f"{path}/c2", "complete")
     assert sorted((r["chat"], r["id"]) for r in last.collect()) == [(1, 3), (2, 4)]
     days = jobs.once_a_day(df.select("chat", F.date_format("created_at", "yyyy-MM-dd").alias("day")), "chat", "day")
-    assert sorted(map(tuple, jobs.run_to_end(days, "daily", f"{path}/c3").collect())) == [(1, "2024-01-01"), (2, "2024-01-02")]
+    assert sorted(map(tuple, jobs.run_to_end(days, f"{path}/o3", f"{path}/c3").collect())) == [(1, "2024-01-01"), (2, "2024-01-02")]
 
 
 def test_late_stay_in_history(spark, events):
@@ -44,7 +44,7 @@ def test_sessions(events):
     df, path = events
     kind = F.when(F.col("id") == 1, "open").when(F.col("id") == 3, "close").otherwise("x")
     s = jobs.sessions(df.select("chat", "id", kind.alias("kind")), "chat", "id", "kind")
-    assert [tuple(r) for r in jobs.run_to_end(s, "sessions", f"{path}/c5").collect()] == [(1, 0, 1, 3)]
+    assert [tuple(r) for r in jobs.run_to_end(s, f"{path}/o5", f"{path}/c5").collect()] == [(1, 0, 1, 3)]
 
 
 def test_routes(spark):
