@@ -1,23 +1,23 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Every start of a 50-byte window is a suffix that has to be told apart by 50 bytes and no
-further. The sort goes by digits, most significant first, and after each digit drops the
-suffixes that are alone in their group; groups that are left after the last digit are
-exactly the windows that repeat.
-
-1. Digit one is a 24-byte string inside the window: of the window's 27 such strings the one
-   of least hash, its anchor. Equal windows have equal anchors at equal places, so all
-   suffixes that share an anchor are sorted at once: one entry for about 14 suffixes.
-2. Digit two is the whole stretch of bytes that an anchor's windows cover. Entries that are
-   equal here repeat in all their windows.
-3. Digit three is the window itself, needed only where an anchor's stretches differ: at the
-   edges of repeated passages.
-
-Digits are compared as hashes (48 bits beside the bucket for the first, 64 for the last two).
-Documents are kept in chunks of some megabytes, compressed, in a table that is bucketed by
-chunk, so that no pass moves texts. A chunk sends each digit once, with the least doc_id
-that has it, so a passage that a third of all documents share makes one entry per chunk;
-the answer is a bit for each.
+further; equal groups at that depth are exactly the windows that repeat. Not every suffix is
+sent: of a window's 27 strings of 24 bytes the one of least hash is its anchor, equal windows
+have equal anchors at equal places, and a suffix that begins at an anchor stands for the up to
+27 windows that share it, about 14 on average.
+
+1. Filter. Suffixes whose first 24 bytes are nowhere else can't repeat. Chunks of documents
+   send 48-bit hashes of these bytes; a collision keeps a suffix too many and loses none.
+2. Sort. The suffixes that are left are dealt by ranges of their first eight bytes and sorted
+   by most-significant-digit passes over their bytes, eight at a time: each pass sorts inside
+   the groups of the last and drops suffixes that are alone. After 24 bytes a group shares its
+   anchor; the next 26 bytes, and the up to 26 before the anchor, finish all its windows. Only
+   where a group's members differ are windows themselves sorted, by all of their 50 bytes.
+
+So equality is always decided by bytes. A chunk sends a suffix with its context once, with the
+least doc_id that has it, so a passage that a third of all documents share makes one entry for
+each chunk; the answer is a bit for each window. Texts stay where they are: chunks are a table
+that is bucketed by chunk, and only hashes, suffixes and answers move.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +33,19 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import common
 
-#: Bytes of a window, of an anchor; bytes of texts in a chunk, and that are worked on at a time.
+#: Bytes of a window, of an anchor; bytes of texts in a chunk (a longer text is cut into several), and that are worked on at a time.
 WINDOW, ANCHOR = 50, 24
-CHUNK, BLOCK = 4 << 20, 1 << 19
-_STARTS = WINDOW - ANCHOR + 1
+CHUNK, BLOCK = 4 << 20, 1 << 18
+#: Bytes that a task of the filter and of the sort gets, about; chunks and suffixes of the sample that divides the ranges.
+HASHES, ENTRIES, SAMPLE = 16 << 20, 24 << 20, (16, 256)
+_SIDE = WINDOW - ANCHOR  # bytes on each side of an anchor that its windows can reach
+_CONTEXT = _SIDE + WINDOW
+_ENTRY = _CONTEXT + 2 + 8
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_PAD = 64
+_PAD = 128
 
-_Masks = "chunk long, bucket int, mask binary"
+_Masks = "chunk long, bucket int, mask binary, kept long"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,11 +54,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as numbers; data ends with padding."""
-    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-
-
 def _sliding(op: Callable, x: np.ndarray, width: int) -> np.ndarray:
     """op over x[i : i + width] for each i."""
     step = 1
@@ -71,85 +70,103 @@ def _anchor_hashes(words: np.ndarray, n: int) -> np.ndarray:
         h += words[8 * i : 8 * i + n]
         h *= _ODD[i]
     h ^= h >> np.uint64(32)
-    return h
-
-
-def window_digests(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    h = np.full(len(starts), 0x51ED27, np.uint64)
-    for i, at in enumerate((*range(0, WINDOW - 7, 8), WINDOW - 8)):
-        h ^= words[starts + at]
-        h *= _ODD[i % 3]
-        h ^= h >> np.uint64(32)
-    return _mixed(h)
+    return np.maximum(h, np.uint64(1))
+
+
+def digits(rows: np.ndarray) -> list[np.ndarray]:
+    """The bytes of each row, eight at a time, as numbers in the order of the bytes."""
+    width = -(-rows.shape[1] // 8) * 8
+    padded = np.zeros((len(rows), width), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    return list(padded.view(">u8").astype(np.uint64).T)
+
+
+class Radix:
+    """Rows in the order of their digits so far, and where groups of equal ones begin."""
+
+    def __init__(self, n: int):
+        self.order = np.arange(n)
+        self.new = np.zeros(n, bool)
+        self.new[:1] = True
+
+    def by(self, columns: list[np.ndarray]) -> "Radix":
+        """Passes over further digits; groups of one row are left out of each."""
+        for c in columns:
+            size = np.diff(np.append(np.flatnonzero(self.new), len(self.order)))
+            at = np.flatnonzero(np.repeat(size > 1, size))
+            if not len(at):
+                break
+            group = np.cumsum(self.new)[at]
+            rows = self.order[at]
+            turn = np.lexsort((c[rows], group))
+            self.order[at] = rows = rows[turn]
+            value = c[rows]
+            self.new[at[1:]] |= value[1:] != value[:-1]
+        return self
+
+    def groups(self) -> np.ndarray:
+        """The number of each row's group, in the order of the groups."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.new) - 1
+        return out
+
+
+def _least(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id of each group."""
+    out = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, group, ids)
+    return out
 
 
 class Chunk:
-    """Texts of a chunk, end to end, with their anchors."""
+    """Texts of a chunk, end to end, with the suffixes that begin at anchors."""
 
     def __init__(self, doc_ids: list[int | None], lengths: list[int], data: bytes):
         self.size = len(data)
-        self.data = np.frombuffer(data + bytes(_PAD), np.uint8)
+        self.data = np.frombuffer(bytes(_PAD) + data + bytes(_PAD), np.uint8)  # places are from the first text's begin
         self.ends = np.cumsum(np.array(lengths, np.int64))
         self.begins = self.ends - lengths
         self.null = np.array([d is None for d in doc_ids], bool)
         self.doc_ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
-        self.words = _words(self.data)
-        place, value, first, last = [], [], [], []
-        for a, b in common.slices(lengths, BLOCK):
-            p, h, lo, hi = self._anchors(int(self.begins[a]), int(self.ends[b - 1]), a, b)
-            place.append(p)
-            value.append(h)
-            first.append(lo)
-            last.append(hi)
-        self.place, self.first, self.last = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (place, first, last))
-        self.key = _mixed(np.concatenate(value)) if value else np.zeros(0, np.uint64)
+        found = [self._anchors(a, min(a + BLOCK, self.size)) for a in range(0, self.size, BLOCK)]
+        self.place, value, self.low, self.high = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+        self.key = _mixed(value)
         self.doc = np.searchsorted(self.ends, self.place, "right")
 
-    def _anchors(self, begin: int, end: int, a: int, b: int) -> tuple[np.ndarray, ...]:
-        """Anchors of the texts a..b: place, hash, first and last window that has it."""
-        n = end - begin
-        if n < WINDOW:
-            return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        h = _anchor_hashes(self.words[begin:], n - ANCHOR + 1)
-        least = np.zeros(n, np.uint64)
-        low = _sliding(np.minimum, h, _STARTS)
-        least[: len(low)] = low
+    def _anchors(self, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Anchors that begin in a..b: place, hash, and the least and greatest distance back to the
+        windows that have it."""
+        first, last = max(0, a - _SIDE), min(self.size, b + _SIDE)
+        words = np.ndarray((last - first + 2 * WINDOW,), "<u8", self.data, _PAD + first, (1,))
+        h = _anchor_hashes(words, last - first)
+        starts = np.arange(first, b)  # windows from which anchors in a..b can be reached
+        least = _sliding(np.minimum, np.append(h, np.full(_SIDE, np.iinfo(np.uint64).max, np.uint64)), _SIDE + 1)[: len(starts)].copy()
         # windows that leave their text, and texts without a doc_id, have no anchor
-        beyond = (self.ends[a:b, None] - begin - np.arange(1, WINDOW)).ravel()
-        least[beyond[beyond >= 0]] = 0
-        for i in np.flatnonzero(self.null[a:b]):
-            least[self.begins[a + i] - begin : self.ends[a + i] - begin] = 0
-        padded = np.concatenate([np.zeros(_STARTS - 1, np.uint64), least])
-        most = _sliding(np.maximum, padded, _STARTS)[: len(h)]
-        p = np.flatnonzero((most == h) & (h > 0))
-        own = padded[p[:, None] + np.arange(_STARTS)] == h[p, None]  # windows p - 26 .. p
-        first = p - (_STARTS - 1) + own.argmax(1)
-        last = p - own[:, ::-1].argmax(1)
-        return p + begin, h[p], first + begin, last + begin
-
-
-class Sorted(NamedTuple):
-    """Distinct digits in order, the least doc_id of each, and for each suffix its digit and
-    whether a smaller doc_id of the same chunk has it."""
-
-    digits: np.ndarray
-    least: np.ndarray
-    of: np.ndarray
-    later: np.ndarray
-
-
-def _sort(columns: list[np.ndarray], doc_ids: np.ndarray) -> Sorted:
-    order = np.lexsort((doc_ids, *columns[::-1]))
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    if len(new):
-        new[0] = True
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    first = order[new]
-    least = doc_ids[first]
-    return Sorted(first, least, of, doc_ids > least[of] if len(least) else np.zeros(0, bool))
+        text = np.searchsorted(self.ends, starts, "right")
+        text = np.minimum(text, max(0, len(self.ends) - 1))
+        least[(starts + WINDOW > self.ends[text]) | self.null[text]] = 0
+        padded = np.concatenate([np.zeros(_SIDE, np.uint64), least])
+        most = _sliding(np.maximum, padded, _SIDE + 1)  # over the windows first+i-26 .. first+i
+        own = h[: len(most)]
+        p = np.flatnonzero(most == own)
+        p = p[p >= a - first]
+        if not len(p):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        low, high = np.full(len(p), 255, np.uint8), np.zeros(len(p), np.uint8)
+        for back in range(_SIDE + 1):
+            mine = padded[p + _SIDE - back] == own[p]
+            low[mine & (low == 255)] = back
+            high[mine] = back
+        return p + first, own[p], low, high
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        """Bytes around places: the suffix, then the bytes before it, the nearest first; zero beyond
+        what the windows reach."""
+        rows = self.data[(self.place[at] + _PAD)[:, None] + np.concatenate([np.arange(WINDOW), -1 - np.arange(_SIDE)])]
+        low, high = self.low[at].astype(int)[:, None], self.high[at].astype(int)[:, None]
+        k = np.arange(_CONTEXT)[None, :]
+        rows[np.where(k < WINDOW, k >= WINDOW - low, k - WINDOW >= high)] = 0
+        return rows
 
 
 def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -158,78 +175,80 @@ def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1))
 
 
-def _bits(masks: list[dict] | None, cuts: np.ndarray, per: int = 1) -> np.ndarray:
-    """Answers to a chunk's entries, ``per`` rows of bits."""
-    out = np.zeros((per, int(cuts[-1])), bool)
-    for m in masks or ():
-        a, b = int(cuts[m["bucket"]]), int(cuts[m["bucket"] + 1])
-        got = np.unpackbits(np.frombuffer(m["mask"], np.uint8).reshape(per, -1), axis=1, count=b - a)
-        out[:, a:b] = got
-    return out
-
-
 class Passes:
-    """What a chunk knows after the answers to its first, second and third digits."""
+    """What a chunk knows after the answers to the filter and to the sort."""
 
-    def __init__(self, row: dict, buckets: int):
-        self.chunk = Chunk(row["doc_ids"], row["lengths"], pa.decompress(row["data"], sum(row["lengths"]), "zstd", asbytes=True) if row["data"] else b"")
-        c = self.chunk
-        self.keys, self.of = np.unique(c.key, return_inverse=True)
-        self.cuts1 = _cut(self.keys, buckets)
+    def __init__(self, row: dict, buckets: int, edges: np.ndarray | None = None):
+        self.chunk = c = Chunk(row["doc_ids"], row["lengths"], pa.decompress(row["data"], sum(row["lengths"]), "zstd", asbytes=True) if row["data"] else b"")
+        self.keys, of = np.unique(c.key, return_inverse=True)
+        self.cuts = _cut(self.keys, buckets)
         if "masks1" not in row:
             return
         # anchors that more than one document has, here or elsewhere
         low, high = np.full(len(self.keys), len(c.ends)), np.full(len(self.keys), -1)
-        np.minimum.at(low, self.of, c.doc)
-        np.maximum.at(high, self.of, c.doc)
-        shared = (_bits(row["masks1"], self.cuts1)[0] | (low != high))[self.of]
-        self.first, self.last, key, self.ids = c.first[shared], c.last[shared], c.key[shared], c.doc_ids[c.doc[shared]]
-        ends = window_digests(c.words, self.first) * _ODD[0] ^ window_digests(c.words, self.last)
-        self.stretch = _mixed(ends ^ ((self.last - self.first) * 64 + c.place[shared] - self.first).astype(np.uint64))
-        self.key = key
-        self.by_stretch = _sort([key, self.stretch], self.ids)
-        self.cuts2 = _cut(key[self.by_stretch.digits], buckets)
+        np.minimum.at(low, of, c.doc)
+        np.maximum.at(high, of, c.doc)
+        elsewhere = np.zeros(len(self.keys), bool)
+        for m in row["masks1"] or ():
+            a, b = int(self.cuts[m["bucket"]]), int(self.cuts[m["bucket"] + 1])
+            elsewhere[a:b] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=b - a)
+        self.at = np.flatnonzero((elsewhere | (low != high))[of])
+        self.ids = c.doc_ids[c.doc[self.at]]
+        # distinct suffixes with their contexts, some at a time, so that a text of one byte needs little
+        parts, of, n = [], np.zeros(len(self.at), np.int64), 0
+        for s in range(0, len(self.at), 1 << 16):
+            at = self.at[s : s + (1 << 16)]
+            rows = np.concatenate([c.contexts(at), c.low[at][:, None], c.high[at][:, None]], 1)
+            r = Radix(len(rows)).by(digits(rows))
+            of[s : s + len(at)] = r.groups() + n
+            parts.append(rows[r.order[r.new]])
+            n += len(parts[-1])
+        rows = np.concatenate(parts) if parts else np.zeros((0, _CONTEXT + 2), np.uint8)
+        columns = digits(rows)
+        r = Radix(n).by(columns)
+        self.of = r.groups()[of]
+        self.rows, lead = rows[r.order[r.new]], columns[0][r.order[r.new]]
+        self.least = _least(self.of, self.ids)
+        self.ranges = np.searchsorted(lead, edges) if edges is not None else np.zeros(0, np.int64)
+        self.ranges = np.concatenate([[0], self.ranges, [len(lead)]])
         if "masks2" not in row:
             return
-        later, differ = _bits(row["masks2"], self.cuts2, 2)
-        self.whole = self.by_stretch.later | later[self.by_stretch.of]
-        edge = ~self.whole & differ[self.by_stretch.of]
-        n = self.last[edge] - self.first[edge] + 1
-        self.starts = np.repeat(self.first[edge], n) + common.ranges(n)
-        self.window = window_digests(c.words, self.starts)
-        self.by_window = _sort([self.window], np.repeat(self.ids[edge], n))
-        self.cuts3 = _cut(self.window[self.by_window.digits], buckets)
-        if "masks3" in row:
-            self.repeated = self.by_window.later | _bits(row["masks3"], self.cuts3)[0][self.by_window.of]
+        self.bits = np.zeros(len(self.rows), np.uint32)
+        for m in row["masks2"] or ():
+            self.bits[int(self.ranges[m["bucket"]]) : int(self.ranges[m["bucket"] + 1])] = np.frombuffer(m["mask"], "<u4")
 
     def entries(self, level: int) -> Iterator[tuple[int, bytes]]:
         if level == 1:
-            cuts, parts = self.cuts1, [np.ascontiguousarray(self.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])]
-        elif level == 2:
-            at = self.by_stretch.digits
-            cuts, parts = self.cuts2, [self.key[at], self.stretch[at], self.by_stretch.least]
+            cuts, parts = self.cuts, [np.ascontiguousarray(self.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])]
         else:
-            cuts, parts = self.cuts3, [self.window[self.by_window.digits], self.by_window.least]
+            cuts, parts = self.ranges, [self.rows, self.least]
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             yield b, b"".join(p[cuts[b] : cuts[b + 1]].tobytes() for p in parts)
 
-    def results(self) -> Iterator[tuple]:
-        """Of each document: doc_id, bytes, removed bytes, removed runs, hash of the rest, runs."""
+    def gone(self) -> np.ndarray:
+        """Whether each byte of the chunk is removed."""
         c = self.chunk
         cover = np.zeros(c.size + 1, np.int32)
-        for starts, ends in ((self.first[self.whole], self.last[self.whole]), (self.starts[self.repeated], self.starts[self.repeated])):
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, ends + WINDOW, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        for i, (a, b) in enumerate(zip(c.begins.tolist(), c.ends.tolist(), strict=True)):
-            out, text = gone[a:b], c.data[a:b]
-            edges = np.flatnonzero(np.diff(out, prepend=False, append=False)).tolist() if b > a and out.any() else []
-            kept = text[~out] if edges else text
-            yield None if c.null[i] else int(c.doc_ids[i]), b - a, b - a - len(kept), len(edges) // 2, hashlib.sha256(kept.tobytes()).hexdigest(), edges
-
-
-def _first_answers(parts: list[bytes]) -> list[bytes]:
-    """Which digits more than one chunk has."""
+        place, low, high = c.place[self.at], c.low[self.at].astype(np.int64), c.high[self.at].astype(np.int64)
+        whole = self.ids > self.least[self.of]
+        np.add.at(cover, (place - high)[whole], 1)
+        np.add.at(cover, (place - low)[whole] + WINDOW, -1)
+        some = np.flatnonzero(~whole & (self.bits[self.of] != 0))
+        n = high[some] - low[some] + 1
+        row, back = np.repeat(some, n), np.repeat(low[some], n) + common.ranges(n)
+        hit = (self.bits[self.of[row]] >> back.astype(np.uint32)) & 1 == 1
+        np.add.at(cover, (place[row] - back)[hit], 1)
+        np.add.at(cover, (place[row] - back)[hit] + WINDOW, -1)
+        return np.cumsum(cover[:-1]) > 0
+
+
+def _runs(gone: np.ndarray) -> list[int]:
+    """Begin and end of each run."""
+    return np.flatnonzero(np.diff(gone, prepend=False, append=False)).tolist() if gone.any() else []
+
+
+def _answers_filter(parts: list[bytes]) -> list[tuple[bytes, int]]:
+    """Which hashes more than one chunk has, and how many."""
     keys = []
     for p in parts:
         wide = np.zeros((len(p) // 6, 8), np.uint8)
@@ -237,35 +256,51 @@ def _first_answers(parts: list[bytes]) -> list[bytes]:
         keys.append(wide.view("<u8").ravel())
     every = np.sort(np.concatenate(keys))
     again = np.unique(every[1:][every[1:] == every[:-1]])
-    at = [np.minimum(np.searchsorted(again, k), max(len(again) - 1, 0)) for k in keys]
-    return [np.packbits(again[i] == k if len(again) else np.zeros(len(k), bool)).tobytes() for i, k in zip(at, keys, strict=True)]
-
-
-def _second_answers(parts: list[bytes]) -> list[bytes]:
-    """Which stretches a smaller doc_id has; else whether the anchor has other stretches too."""
-    columns = [np.frombuffer(p, "<u8").reshape(3, -1) for p in parts]
-    key, stretch, ids = np.concatenate(columns, axis=1)
-    s = _sort([key, stretch], ids.view(np.int64))
-    k = key[s.digits]
-    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.append(new, len(k)))
-    differ = np.repeat(size > 1, size)[s.of] & ~s.later
-    cut = np.cumsum([c.shape[1] for c in columns])[:-1]
-    return [np.concatenate([np.packbits(a), np.packbits(b)]).tobytes() for a, b in zip(np.split(s.later, cut), np.split(differ, cut), strict=True)]
-
-
-def _third_answers(parts: list[bytes]) -> list[bytes]:
-    columns = [np.frombuffer(p, "<u8").reshape(2, -1) for p in parts]
-    window, ids = np.concatenate(columns, axis=1)
-    later = _sort([window], ids.view(np.int64)).later
-    return [np.packbits(x).tobytes() for x in np.split(later, np.cumsum([c.shape[1] for c in columns])[:-1])]
-
-
-_ANSWERS = {1: _first_answers, 2: _second_answers, 3: _third_answers}
+    out = []
+    for k in keys:
+        hit = again[np.minimum(np.searchsorted(again, k), max(len(again) - 1, 0))] == k if len(again) else np.zeros(len(k), bool)
+        out.append((np.packbits(hit).tobytes(), int(hit.sum())))
+    return out
 
 
-def _chunked(docs: DataFrame, partitions: int) -> DataFrame:
-    """The documents in chunks, as a table that is bucketed by chunk."""
+def _answers_sort(parts: list[bytes]) -> list[tuple[bytes, int]]:
+    """For each suffix a bit for each window, by its distance back: whether a smaller doc_id has it."""
+    counts = [len(p) // _ENTRY for p in parts]
+    rows = np.concatenate([np.frombuffer(p, np.uint8, n * (_CONTEXT + 2)).reshape(n, -1) for p, n in zip(parts, counts, strict=True)])
+    ids = np.concatenate([np.frombuffer(p, "<i8", n, n * (_CONTEXT + 2)) for p, n in zip(parts, counts, strict=True)])
+    columns = digits(rows)
+    r = Radix(len(rows)).by(columns[: ANCHOR // 8])
+    anchor = r.groups()
+    context = r.by(columns[ANCHOR // 8 :]).groups()
+    least = _least(context, ids)
+    bits = np.where(ids > least[context], np.uint32(0xFFFFFFFF), np.uint32(0))
+    # windows of anchors that are in several contexts
+    one = r.order[r.new]  # a row of each context, in order
+    own = anchor[one]
+    several = np.flatnonzero(np.bincount(own, minlength=1)[own] > 1)
+    found = np.zeros(len(one), np.uint32)
+    step = max(1, (1 << 22) // (WINDOW * (_SIDE + 1)))
+    starts = np.flatnonzero(np.concatenate([[True], own[several][1:] != own[several][:-1]])) if len(several) else np.zeros(0, np.int64)
+    for s, e in common.slices(np.diff(np.append(starts, len(several))).tolist(), step):  # whole anchors at a time
+        here = several[starts[s] : starts[e] if e < len(starts) else len(several)]
+        low, high = rows[one[here], _CONTEXT].astype(np.int64), rows[one[here], _CONTEXT + 1].astype(np.int64)
+        n = high - low + 1
+        which, back = np.repeat(here, n), np.repeat(low, n) + common.ranges(n)
+        # a window: bytes back .. 1 before the anchor, then the first of the suffix
+        k = np.arange(WINDOW)[None, :]
+        at = np.where(k < back[:, None], WINDOW + back[:, None] - 1 - k, k - back[:, None])
+        window = np.take_along_axis(rows[one[which]], at, 1)
+        w = Radix(len(which)).by([own[which].astype(np.uint64) * np.uint64(64) + back.astype(np.uint64), *digits(window)]).groups()
+        smaller = _least(w, least[which])[w] < least[which]
+        np.bitwise_or.at(found, which[smaller], np.uint32(1) << back[smaller].astype(np.uint32))
+    bits |= found[context]
+    return [(x.astype("<u4").tobytes(), 0) for x in np.split(bits, np.cumsum(counts)[:-1])]
+
+
+def _chunked(docs: DataFrame, partitions: int) -> tuple[DataFrame, str]:
+    """The documents in chunks, as a table that is bucketed by chunk, and its name. A text longer
+    than a chunk is cut into parts, each going on for the rest of a window: ``part`` is its place,
+    -1 for chunks of whole texts, and ``whole`` numbers the long texts."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,26 +308,52 @@ def _chunked(docs: DataFrame, partitions: int) -> DataFrame:
 
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
-        def chunk() -> pa.RecordBatch:
+        def chunk(ids: list[int | None], texts: list[bytes], part: int, whole: int) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
             data = pa.compress(b"".join(texts), "zstd", asbytes=True)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data])], names=["chunk", "doc_ids", "lengths", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data]), pa.array([part], pa.int32()), pa.array([whole])], names=["chunk", "doc_ids", "lengths", "data", "part", "whole"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 text = text or b""
+                if len(text) > CHUNK:
+                    whole = number + 1
+                    for part, a in enumerate(range(0, len(text), CHUNK)):
+                        yield chunk([doc_id], [text[a : a + CHUNK + WINDOW - 1]], part, whole)
+                    continue
                 if texts and size + len(text) > CHUNK:
-                    yield chunk()
-                    number, ids, texts, size = number + 1, [], [], 0
+                    yield chunk(ids, texts, -1, -1)
+                    ids, texts, size = [], [], 0
                 ids.append(doc_id)
                 texts.append(text)
                 size += len(text)
         if texts:
-            yield chunk()
+            yield chunk(ids, texts, -1, -1)
 
     name = f"kelpline_chunks_{uuid.uuid4().hex}"
-    rows = common.mapped(docs.select("doc_id", "text"), run, "chunk long, doc_ids array<long>, lengths array<long>, data binary")
+    rows = common.mapped(docs.select("doc_id", "text"), run, "chunk long, doc_ids array<long>, lengths array<long>, data binary, part int, whole long")
     rows.write.format("parquet").option("compression", "none").option("path", common.scratch_path(spark, "chunks")).bucketBy(partitions, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
+
+
+def _edges(chunks: DataFrame, n: int, ranges: int) -> np.ndarray:
+    """Where ranges of the first eight bytes of suffixes begin, from a sample of bounded size."""
+    some, each = SAMPLE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                c = Passes(row, 1).chunk
+                at = np.arange(len(c.place))[:: max(1, len(c.place) // each)][:each]
+                lead = digits(c.contexts(at)[:, :8])[0] if len(at) else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64))], names=["lead"])
+
+    rate = max(1, -(-n // some))
+    drawn = chunks.select("doc_ids", "lengths", "data").filter(F.pmod(F.xxhash64("chunk", F.lit("sample")), F.lit(rate)) == 0).limit(4 * some)
+    found = np.sort(np.array([r["lead"] for r in common.mapped(drawn, run, "lead long").collect()], np.int64).view(np.uint64))
+    return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -302,44 +363,81 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty. Rows that share a doc_id don't remove from one another. A
     null doc_id is neither smaller nor larger than others: such rows lose nothing and take
-    nothing. An empty table gives no rows; other columns are not looked at."""
+    nothing. An empty table gives no rows; other columns are not looked at. A text of any
+    length is worked on in parts of ``CHUNK`` bytes; only the last step, which hashes what is
+    left of it, holds a long text whole, as its row does."""
     spark = docs.sparkSession
     common.tune(spark)
-    chunks = _chunked(docs, common.width(spark))
-    buckets = max(2 * common.width(spark), chunks.count() // 4)
-    known = chunks
+    chunks, name = _chunked(docs, common.width(spark))
+    n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    buckets = max(common.width(spark), -(-size * 6 // 13 // HASHES))
+    edges = None
 
-    def send(level: int):
+    def send(level: int, edges: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
-                    out = list(Passes(row, buckets).entries(level))
+                    out = list(Passes(row, buckets, edges).entries(level))
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()), pa.array([d for _, d in out], pa.binary())], names=["bucket", "chunk", "data"])
 
         return run
 
-    def answer(level: int):
+    def answer(answers: Callable[[list[bytes]], list[tuple[bytes, int]]]):
         def run(table: pa.Table) -> pa.Table:
-            masks = _ANSWERS[level](table.column("data").to_pylist())
-            return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
+            found = answers(table.column("data").to_pylist())
+            return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "mask": pa.array([m for m, _ in found], pa.binary()), "kept": pa.array([k for _, k in found], pa.int64())})
 
         return run
 
-    for level in (1, 2, 3):
-        sent = common.mapped(known, send(level), "bucket int, chunk long, data binary")
-        got = sent.groupBy("bucket").applyInArrow(answer(level), _Masks)
-        masks = got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias(f"masks{level}"))
-        known = known.join(common.stored(masks, f"digits{level}"), "chunk", "left")
+    known = chunks
+    for level, answers in ((1, _answers_filter), (2, _answers_sort)):
+        sent = common.mapped(known, send(level, edges), "bucket int, chunk long, data binary")
+        got = sent.groupBy("bucket").applyInArrow(answer(answers), _Masks)
+        masks = common.stored(got.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias(f"masks{level}"), F.sum("kept").alias(f"kept{level}")), f"digits{level}")
+        known = known.join(masks, "chunk", "left")
+        if level == 1:
+            kept = masks.agg(F.coalesce(F.sum("kept1"), F.lit(0))).first()[0]
+            edges = _edges(chunks, n, max(common.width(spark), -(-kept * _ENTRY // ENTRIES)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = list(Passes(batch.slice(i, 1).to_pylist()[0], buckets).results())
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    return common.mapped(known, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+                row = batch.slice(i, 1).to_pylist()[0]
+                known = Passes(row, buckets, edges)
+                gone, c, rows = known.gone(), known.chunk, []
+                data = c.data[_PAD : _PAD + c.size]
+                for k, (a, b) in enumerate(zip(c.begins.tolist(), c.ends.tolist(), strict=True)):
+                    doc_id = None if c.null[k] else int(c.doc_ids[k])
+                    if row["part"] >= 0:
+                        begin = row["part"] * CHUNK
+                        rows.append((doc_id, None, None, None, None, [begin + x for x in _runs(gone)], row["whole"], row["part"], data[:CHUNK].tobytes()))
+                    else:
+                        rows.append((doc_id, *_cut_text(data[a:b], gone[a:b]), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*(f.split()[0] for f in _RESULT.split(", ")), "whole", "part", "data"])
+
+    def assemble(table: pa.Table) -> pa.Table:
+        parts = sorted(table.select(["part", "data", "spans", "doc_id"]).to_pylist(), key=lambda r: r["part"])
+        data = np.frombuffer(b"".join(p["data"] for p in parts), np.uint8)
+        gone = np.zeros(len(data) + 1, np.int32)
+        for p in parts:
+            np.add.at(gone, np.array(p["spans"][::2], np.int64), 1)
+            np.add.at(gone, np.array(p["spans"][1::2], np.int64), -1)
+        row = (parts[0]["doc_id"], *_cut_text(data, np.cumsum(gone[:-1]) > 0))
+        return pa.table({f.split()[0]: pa.array([x], t) for f, x, t in zip(_RESULT.split(", "), row, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)})
+
+    out = common.stored(common.mapped(known, finish, f"{_RESULT}, whole long, part int, data binary"), "removed")
+    spark.sql(f"drop table {name}")  # the chunks' files stay with the other scratch files
+    names = [f.split()[0] for f in _RESULT.split(", ")]
+    return out.filter("whole is null").select(*names).unionByName(out.filter("whole is not null").groupBy("whole").applyInArrow(assemble, _RESULT))
+
+
+def _cut_text(text: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str, list[int]]:
+    """Of a text: bytes, removed bytes, removed runs, hash of the rest, runs."""
+    runs = _runs(gone)
+    kept = text[~gone] if runs else text
+    return len(text), len(text) - len(kept), len(runs) // 2, hashlib.sha256(kept.tobytes()).hexdigest(), runs
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

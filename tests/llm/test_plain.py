@@ -45,9 +45,11 @@ def removed(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk", [1500, 4 << 20])
-def test_suffixes(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, block", [(170, 64), (1500, 1 << 18), (4 << 20, 90), (4 << 20, 1 << 18)])
+def test_suffixes(spark, monkeypatch, chunk, block):
+    """Also with texts longer than a chunk, and with anchors taken from small blocks."""
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "BLOCK", block)
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcd efg") for _ in range(rnd.randrange(40, 400))) for _ in range(10)]
     rows = [*HARD[:6], (6, "a" * 300), (11, "a" * 130)]
@@ -63,6 +65,43 @@ def test_suffixes(spark, monkeypatch, chunk):
     assert suffixes.repeated_strings(table(spark, [])).count() == 0
 
 
+def test_radix():
+    rnd = np.random.default_rng(3)
+    rows = rnd.integers(0, 3, (500, 19)).astype(np.uint8)
+    rows[:, :12] = rows[rnd.integers(0, 9, 500), :12]
+    rows[400:] = rows[rnd.integers(0, 50, 100)]
+    r = suffixes.Radix(500).by(suffixes.digits(rows)[:1]).by(suffixes.digits(rows)[1:])
+    got = [rows[i].tobytes() for i in r.order]
+    assert got == sorted(got)
+    number = {b: i for i, b in enumerate(sorted(set(got)))}
+    assert r.groups().tolist() == [number[x.tobytes()] for x in rows]
+
+
+def test_anchors_by_blocks(monkeypatch):
+    """Anchors don't depend on the blocks that they are taken from."""
+    rnd = random.Random(2)
+    texts = [bytes(rnd.choice(b"ab c") for _ in range(n)) for n in (0, 49, 50, 300, 700)] + [b"z" * 400]
+    found = []
+    for block in (33, 64, 1 << 18):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        c = suffixes.Chunk([1, 2, None, 4, 5, 6], [len(t) for t in texts], b"".join(texts))
+        found.append([x.tolist() for x in (c.place, c.key, c.low, c.high, c.doc)])
+        windows = {(p - back) for p, a, b in zip(*found[-1][:1], *found[-1][2:4], strict=True) for back in range(a, b + 1)}
+        begins, want = np.cumsum([0, *map(len, texts)]), set()
+        for k, t in enumerate(texts):
+            if k != 2:
+                want |= set(range(begins[k], begins[k] + len(t) - 49))
+        assert windows == want
+    assert found[0] == found[1] == found[2]
+
+
+def test_one_byte_text(spark):
+    """Texts of one byte over several chunks."""
+    rows = [(1, "a" * 4_300_000), (2, "b" + "a" * 100_000 + "c" * 49), (3, "c" * 49)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (4_300_000, 0, 0), 2: (100_050, 100_000, 1), 3: (49, 0, 0)}
+
+
 # ---- 2, 6 ----
 def encoded(texts):
     t = tokens.encoder(tokens.default_tokenizer()).tokenizer
