@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import common
 
-#: Bound of the training sample, in documents of a language; least count and greatest number of words, and of n-grams of a length.
-SAMPLE, LEAST, WORDS, GRAMS = 1000, 2, 50_000, 20_000
+#: Bounds of the training sample: documents of a language and of all, bytes of one, and languages, the most frequent ones.
+SAMPLE, EVERY, TEXT_BYTES, LANGUAGES = 500, 8000, 32 << 10, 400
 LONGEST, UNKNOWN = 5, "und"
 #: Words whose scores a worker keeps.
 _CACHE = 400_000
@@ -37,10 +37,27 @@ def has_letter(text: str) -> bool:
     return bool(_LETTERS.search(text.lower().encode("utf-8", "replace"))) or any(map(str.isalpha, text))
 
 
+class Table:
+    """Log frequencies by language, a row for each word or n-gram of the sample."""
+
+    def __init__(self, counts: list[Counter]):
+        every = sorted(set().union(*counts))
+        self.index = {w: i for i, w in enumerate(every)}
+        table = np.zeros((len(every), len(counts)), np.float32)
+        for k, c in enumerate(counts):
+            for w, n in c.items():
+                table[self.index[w], k] = n
+        self.logs = np.log((table + 1) / (table.sum(0, dtype=np.float64) + len(every) + 1)).astype(np.float32)
+
+    def rows(self, keys: list) -> np.ndarray:
+        """Of the keys that it has."""
+        return self.logs[[i for i in map(self.index.get, keys) if i is not None]]
+
+
 class Model:
-    """Log frequencies by language of words and of n-grams by length."""
+    """Tables of words and of n-grams by length. All of the sample's words and n-grams are in them."""
 
-    def __init__(self, languages: list[str], known: dict[bytes, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], known: Table, grams: dict[int, Table]):
         self.languages, self.known, self.grams = languages, known, grams
 
     @classmethod
@@ -50,7 +67,6 @@ class Model:
         counts = {lang: Counter() for lang in languages}
         for text, lang in rows:
             counts[lang].update(words(text or ""))
-        known = cls._logs([counts[lang] for lang in languages], WORDS)
         grams = {}
         for n in range(1, LONGEST + 1):
             by = [Counter() for _ in languages]
@@ -58,8 +74,8 @@ class Model:
                 for w, k in counts[lang].items():
                     for g in cls._cut(w, n):
                         c[g] += k
-            grams[n] = cls._logs(by, GRAMS)
-        return cls(languages, known, grams)
+            grams[n] = Table(by)
+        return cls(languages, Table([counts[lang] for lang in languages]), grams)
 
     @staticmethod
     def _cut(word: bytes, n: int) -> list[str]:
@@ -67,42 +83,36 @@ class Model:
         w = f" {w} " if n > 1 else w
         return [w[i : i + n] for i in range(len(w) - n + 1)]
 
-    @staticmethod
-    def _logs(counts: list[Counter], most: int) -> dict:
-        total = sum(counts, Counter())
-        kept = [w for w, k in total.most_common(most) if k >= LEAST]
-        sizes = np.array([c.total() for c in counts], float) + len(kept) + 1
-        return {w: np.log(([c[w] + 1 for c in counts]) / sizes) for w in kept}
-
     def score(self, word: bytes) -> np.ndarray:
         """By language; less its greatest, so that all words speak on one scale."""
-        s = self.known.get(word)
-        if s is None:
-            for n in range(LONGEST, 0, -1):
-                found = [g for g in (self.grams[n].get(x) for x in self._cut(word, n)) if g is not None]
-                if found:
-                    s = np.mean(found, axis=0)
-                    break
-            else:
-                return np.zeros(len(self.languages))
+        s = self.known.rows([word])
+        for n in range(LONGEST, 0, -1):
+            if len(s):
+                break
+            s = self.grams[n].rows(self._cut(word, n))
+        if not len(s):
+            return np.zeros(len(self.languages))
+        s = s.mean(0, dtype=np.float64)
         return s - s.max()
 
 
 def training(docs: DataFrame, train: Column, sample: int = SAMPLE) -> list[tuple[str, str]]:
     """Up to about ``sample`` texts of each language, drawn by a hash of doc_id from the rows
-    where ``train`` holds; the driver holds no more."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    where ``train`` holds; with many languages fewer of each, and none longer than TEXT_BYTES.
+    The driver holds no more."""
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= TEXT_BYTES))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return []
-    rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)
+    each = min(sample, EVERY // len(sizes))
+    rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 20)
     return sorted((r["text"], r["lang"]) for r in rows.filter(drawn).select("text", "lang").collect())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of the language)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and LONGEST
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
@@ -141,7 +151,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Learned from rows with a language whose crc32 of doc_id as text, modulo 4, isn't 2. Null
     texts and texts without a letter are ``und`` with score 0, and so is all if nothing could
     be learned. A null doc_id is never learned from and not held out. Repeated rows are
-    predicted each; an empty table gives no rows; other columns are not looked at."""
+    predicted each; an empty table gives no rows; other columns are not looked at. A text is
+    worked on whole: its words take some times its own size. Languages of equal score are told
+    apart by name."""
     common.tune(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = Model.fit(training(docs, ~held, sample))

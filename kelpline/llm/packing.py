@@ -2,7 +2,7 @@
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
 driver. There the plan is made: for each length, longest first, the gap that it
-leaves is looked up among single, pair and triple sums of the lengths still
+leaves is looked up in an index of the single, pair and triple sums of the lengths still
 available, and the combination is consumed as often as the counts allow; what has
 no exact complement goes by best fit. The plan says, for each run of ranks within a
 length, which sequences take those pieces and at which offset. Pieces get their rank
@@ -25,6 +25,8 @@ from pyspark.sql.window import Window
 from kelpline.llm import common, tokens
 
 CAPACITY, END_ID = 2048, 0
+#: Documents for a bucket, in which pieces of one length are ranked by one task: also a length that most pieces have is in many buckets.
+PER_BUCKET = 20_000
 _PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
 
@@ -52,54 +54,79 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, buck
     return common.mapped(docs.select("doc_id", "text"), run, _PIECES)
 
 
+class Sums:
+    """Sums of one, two and three lengths, and the combinations that make each, under counts of what
+    is still there. A combination that has run out is never looked at again: counts only fall."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for n, c in counts.items():
+            self.have[n] = c
+        lengths = np.flatnonzero(self.have)
+        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        ok = (a >= b) & (a + b < capacity)
+        a, b = a[ok], b[ok]
+        order = np.lexsort((-a, a + b))  # of one sum the least alike pair first
+        self.pairs = np.stack([a[order], b[order]], 1)
+        self.at = np.searchsorted((a + b)[order], np.arange(capacity + 2))  # by sum the first pair that may be left
+        self.end = self.at[1:].copy()
+        self.third = np.minimum(np.arange(capacity + 1), capacity)  # by sum the greatest third length that may be left
+
+    def there(self, combination: tuple[int, ...]) -> bool:
+        return all(self.have[x] >= combination.count(x) for x in combination)
+
+    def one(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.have[total] else None
+
+    def two(self, total: int, besides: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """The first pair of the sum that is there, also together with some other lengths."""
+        k = self.at[total]
+        while k < self.end[total]:
+            pair = tuple(self.pairs[k].tolist())
+            if self.there((*pair, *besides)):
+                return pair
+            if k == self.at[total] and not self.there(pair):
+                self.at[total] += 1
+            k += 1
+        return None
+
+    def three(self, total: int, besides: tuple[int, ...]) -> tuple[int, ...] | None:
+        """A length and a pair for what it leaves, the greatest length first."""
+        c = int(self.third[total])
+        while c > 0:
+            if c < total - 1 and self.have[c]:
+                pair = self.two(total - c, (*besides, c)) if self.have[c] > besides.count(c) else None
+                if pair:
+                    return (c, *pair)
+            elif c == self.third[total]:
+                self.third[total] -= 1
+            c -= 1
+        return None
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with how many sequences follow each. Exact complements of one,
-    two and three lengths first, then best fit, longest first."""
-    have = np.zeros(capacity + 1, np.int64)
-    for n, c in counts.items():
-        have[n] = c
+    """Patterns of lengths with how many sequences follow each. For each length, longest first, the
+    gap that it leaves is looked up among the sums of one, two and three lengths that are left, and
+    a combination is consumed as often as the counts allow; what has no exact complement goes by
+    best fit, longest first."""
+    sums = Sums(counts, capacity)
+    have = sums.have
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(pattern: tuple[int, ...]) -> bool:
+    def take(pattern: tuple[int, ...]) -> None:
         lengths, times = np.unique(pattern, return_counts=True)
         m = int((have[lengths] // times).min())
-        if m:
-            have[lengths] -= m * times
-            out.append((pattern, m))
-        return m > 0
-
-    def pair(total: int, largest: int) -> tuple[int, int] | None:
-        """The two available lengths of that sum that are least alike."""
-        if total < 2:
-            return None
-        a = np.arange(max(1, total - largest), total // 2 + 1)
-        ok = a[(have[a] > 0) & (have[total - a] > 0)]
-        ok = ok[(2 * ok != total) | (have[ok] > 1)]
-        return (int(total - ok[0]), int(ok[0])) if len(ok) else None
+        have[lengths] -= m * times
+        out.append((pattern, m))
 
     rest: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
         gap = capacity - length
-        if have[length] and not gap:
+        while have[length] and not gap:
             take((length,))
-        if have[length] and gap and have[gap]:
-            take((length, gap))
-        while have[length] and gap:
-            have[length] -= 1
-            found = pair(gap, min(length, gap - 1))
-            have[length] += 1
-            if not found or not take((length, *found)):
-                break
-        thirds = iter(np.flatnonzero(have[: min(length, gap - 1)])[::-1].tolist()) if have[length] and gap > 2 else iter(())
-        third = next(thirds, 0)
-        while have[length] and third:
-            have[length] -= 1
-            have[third] -= 1
-            found = pair(gap - third, third) if have[third] >= 0 and have[length] >= 0 else None
-            have[third] += 1
-            have[length] += 1
-            if not found or not take((length, third, *found)):
-                third = next(thirds, 0)
+        for found in (lambda: sums.one(gap), lambda: sums.two(gap, (length,)), lambda: sums.three(gap, (length,))):
+            while have[length] and gap and (others := found()) and sums.there((length, *others)):
+                take((length, *others))
         if have[length]:
             rest.append((length, int(have[length])))
             have[length] = 0
@@ -147,7 +174,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
     rows. Other columns of ``docs`` are not looked at."""
     spark = docs.sparkSession
     common.tune(spark)
-    buckets = max(64, common.width(spark))
+    buckets = max(64, common.width(spark), docs.select("doc_id").count() // PER_BUCKET)
     pieces = common.stored(cut_pieces(docs, tokenizer or tokens.default_tokenizer(), capacity, end_id, buckets), "pieces")
     # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

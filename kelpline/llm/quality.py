@@ -25,9 +25,7 @@ _UPPER, _LETTER = (bytes(c for c in range(256) if c not in keep) for keep in (ra
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_kinds long, n_upper long, n_letters long, n_loud long, n_stops long"
 #: Where EM starts, and what it is held to by the weight of a share of all documents: how often a rule that votes says "bad" of
 #: good documents, of documents that are bad in the rule's own way, and of those bad in another way.
-_OF_GOOD, _OF_OWN, _OF_OTHER, _WEIGHT = 0.005, 0.95, 0.02, 0.02
-#: A rule is written so that it seldom fails good documents: this often at most.
-_FALSE_ALARM = 0.02
+_OF_GOOD, _OF_OWN, _OF_OTHER, _WEIGHT = 0.005, 0.95, 0.02, 0.001
 #: Rounds; least change of the prior; share of documents taken as good at first.
 _ROUNDS, _CHANGE, _PRIOR = 200, 1e-9, 0.85
 
@@ -87,7 +85,7 @@ def rules() -> dict[str, Column]:
         "symbols": _vote(_share("n_symbols", "n_words"), 0.2, 0.02),
         "loud": _vote(_share("n_loud", "n_words"), 0.3, 0.05),
         "upper": _vote(_share("n_upper", "n_letters"), 0.3, 0.12, F.col("n_letters") >= 20),
-        "variety": _vote(-_share("n_kinds", "n_words"), -0.3, -0.5, long & (F.col("n_words") < 2000)),
+        "variety": _vote(-F.log(F.greatest("n_kinds", F.lit(1))) / F.log(F.greatest("n_words", F.lit(2))), -0.72, -0.8, long),  # by logarithms, as a text's words repeat more the longer it is
         "stops": _vote(-_share("n_stops", "n_words"), -0.004, -0.02, long),
         "length": F.when((mean > 12) | (mean < 2.5), -1).when((mean >= 3.5) & (mean <= 8), 1).otherwise(0),
     }
@@ -108,7 +106,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         w = counts[:, None] * classes(patterns, share, says)
         before, share = share, (w.sum(0) + 1) / (mass + n_rules + 1)
         says = (w.T @ bad + held * start) / (w.T @ voted + held)
-        says[0] = np.minimum(says[0], _FALSE_ALARM)
         if np.abs(share - before).max() < _CHANGE:
             break
     return share, says
@@ -127,7 +124,8 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Null and empty texts have no words and fail the base rule. Repeated rows count and are
     judged each. An empty table gives no rows. Columns but doc_id and text are not looked
-    at; doc_id may be null."""
+    at; doc_id may be null. A text's features are counted over all of it, in some times its own
+    size."""
     spark = docs.sparkSession
     common.tune(spark)
     seen = common.stored(measured(docs), "quality")

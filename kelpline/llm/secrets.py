@@ -4,7 +4,8 @@ Beside three base patterns, long runs of key characters are candidates. Two firs
 Markov chains over characters, one of random strings and one of ordinary identifiers,
 give a log-likelihood ratio; a candidate whose ratio per character passes the threshold
 is added. Both chains are trained from labelled samples: hashed random strings in usual
-alphabets, and identifiers put together from the words of a bounded sample of documents.
+alphabets, and identifiers put together from short words that stand alone in a bounded sample
+of documents.
 The threshold comes from samples that the chains were not trained on.
 """
 
@@ -22,8 +23,12 @@ from kelpline.llm import common, spans
 KINDS = ["assign", "access", "hex", "random"]
 #: Bound of the sample, in documents; random strings; least length of a candidate.
 SAMPLE, STRINGS, LEAST = 400, 6000, 20
+#: Rows of words that identifiers are put together from, up to 60 from each.
+ROWS = 200
 #: Shares of the held strings below the threshold: of ordinary ones this one at least, of random ones about this one at most.
 ORDINARY, RANDOM = 0.999, 0.02
+#: Where between these two the threshold is.
+BETWEEN = 0.75
 
 # Java forms of the contract's patterns; runs too short to count are passed over where that can't change another match.
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -75,7 +80,11 @@ def samples(docs: DataFrame) -> DataFrame:
 
     n = docs.select("doc_id").count()
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, SAMPLE / max(n, 1)))))
-    words = drawn.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,30}"), F.lit(0)).alias("w"))
+    # short words that stand alone: what is random, or a piece of a random string, is none
+    alone = "(?<![A-Za-z0-9+/_=-])[A-Z]?[a-z]{1,14}(?![A-Za-z0-9+/_=-])"
+    often = drawn.select(F.explode(F.regexp_extract_all("text", F.lit(alone), F.lit(0))).alias("w")).distinct()
+    shuffled = F.array_sort(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "w")))
+    words = often.groupBy(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(ROWS)).alias("g")).agg(shuffled.alias("s")).select(F.transform("s", lambda x: x["w"]).alias("w"))
     parts = spark.range(0, 200, 1, 1).select(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.element_at(F.array(*map(F.lit, _PARTS)), F.pmod(F.xxhash64("id", i), F.lit(len(_PARTS))).cast("int") + 1)).alias("w"))
     ordinary = words.unionAll(parts).select(F.lit(0).alias("label"), F.explode(identifiers(F.col("w"))).alias("s"))
     return random.unionAll(ordinary).filter(F.length("s") >= 4).withColumn("held", F.pmod(F.xxhash64("s"), F.lit(3)) == 0)
@@ -108,8 +117,8 @@ class Chains:
         share = lambda label, p: F.percentile_approx(F.when(F.col("label") == label, F.col("score")), F.lit(p))
         r = held.agg(share(0, ORDINARY).alias("ordinary"), share(1, RANDOM).alias("random")).first()
         ordinary, random = (0.0 if x is None else x for x in (r["ordinary"], r["random"]))
-        # between the two; where they mingle, on the side that leaves ordinary text alone
-        chains.least = max(ordinary, (ordinary + random) / 2)
+        # between the two, nearer to random strings, so that words of other texts are left alone too
+        chains.least = max(ordinary, ordinary + BETWEEN * (random - ordinary))
         return chains
 
 

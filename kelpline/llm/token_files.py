@@ -34,7 +34,9 @@ from pyspark.sql.window import Window
 
 from kelpline.llm import common, tokens
 
-END_ID, DOCS_PER_SHARD = 1, 4096
+END_ID = 1
+#: Documents of a range, which one task writes, and ids of a shard, as a task holds no more of them (but for a longer document).
+DOCS_PER_SHARD, IDS_PER_SHARD = 4096, 8 << 20
 MAGIC, _GAMMA, _LEVELS = b"KLPTOK01", 2, 24
 
 
@@ -89,7 +91,7 @@ def _fingerprints(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 def pack_shard(shard: int, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, id_bytes: int, seed: int = 1) -> bytes:
-    """The bytes of a shard file. doc_ids ascend, nulls first; a repeated doc_id names its first document."""
+    """The bytes of a shard file. doc_ids ascend, nulls first; a repeated doc_id names its first document in the shard."""
     nulls = sum(d is None for d in doc_ids)
     keys, first = np.unique(np.array(doc_ids[nulls:], np.int64), return_index=True)
     index = PerfectHash.build(keys, seed)
@@ -140,9 +142,10 @@ class Shard:
         return self.ids[self.starts[document] : self.starts[document + 1]].astype("<u4")
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD, ids_per_shard: int = IDS_PER_SHARD) -> DataFrame:
     """Write the documents (doc_id, text) as shards into ``path`` and give the manifest, which
-    is kept beside them: shard, file, n_docs, n_ids and doc_ids (as written)."""
+    is kept beside them: shard, file, n_docs, n_ids and doc_ids (as written). A range of long
+    documents, or of a doc_id that very many rows share, makes several shards."""
     spark = docs.sparkSession
     common.tune(spark)
     tokenizer = tokenizer or tokens.default_tokenizer()
@@ -153,32 +156,44 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
         id_bytes = 2 if max(len(enc.ends), end_id + 1) <= 1 << 16 else 4
-        shard, doc_ids, parts, lengths = None, [], [], []
+        files, root = common.filesystem(path)
+        at, held, doc_ids, parts, lengths = None, 0, [], [], []
+
+        def written() -> pa.RecordBatch:
+            nonlocal at, held, doc_ids, parts, lengths
+            ids = np.concatenate(parts)
+            data = pack_shard(at, doc_ids, ids, np.concatenate(lengths), id_bytes)
+            name = f"shard-{at:012d}.tok"
+            files.create_dir(root, recursive=True)
+            attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
+            with files.open_output_stream(attempt) as out:
+                out.write(data)
+            files.move(attempt, f"{root}/{name}")
+            row = ((at, pa.int64()), (name, pa.string()), (len(doc_ids), pa.int64()), (len(ids), pa.int64()), (doc_ids, pa.list_(pa.int64())))
+            at, held, doc_ids, parts, lengths = at + 1, 0, [], [], []
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in row], names=["shard", "file", "n_docs", "n_ids", "doc_ids"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shard = batch.column(0)[0].as_py()
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            doc_ids += batch.column(1).to_pylist()
+            at = batch.column(0)[0].as_py() << 20 if at is None else at
+            keys, texts = batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in common.slices([len(t or b"") for t in texts], 4 << 20):
                 ids, counts = enc.encode(texts[a:b])
-                parts.append(np.insert(ids, np.cumsum(counts), end_id).astype(f"<u{id_bytes}"))
-                lengths.append(counts + 1)
-        if shard is None:
-            return
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype(f"<u{id_bytes}")
+                ends = np.cumsum(counts + 1)
+                for s, e in common.slices((counts + 1).tolist(), ids_per_shard):
+                    if held and held + int(ends[e - 1] - (ends[s - 1] if s else 0)) > ids_per_shard:
+                        yield written()
+                    doc_ids += keys[a + s : a + e]
+                    parts.append(ids[ends[s - 1] if s else 0 : ends[e - 1]])
+                    lengths.append(counts[s:e] + 1)
+                    held += len(parts[-1])
         enc.forget()
-        ids = np.concatenate(parts)
-        data = pack_shard(shard, doc_ids, ids, np.concatenate(lengths), id_bytes)
-        name = f"shard-{shard:07d}.tok"
-        files, root = common.filesystem(path)
-        files.create_dir(root, recursive=True)
-        attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
-        with files.open_output_stream(attempt) as out:
-            out.write(data)
-        files.move(attempt, f"{root}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (name, pa.string()), (len(doc_ids), pa.int64()), (len(ids), pa.int64()), (doc_ids, pa.list_(pa.int64())))], names=["shard", "file", "n_docs", "n_ids", "doc_ids"])
-
-    common.mapped(ordered, run, "shard int, file string, n_docs long, n_ids long, doc_ids array<long>").write.parquet(f"{path}/manifest")
+        if doc_ids:
+            yield written()
+
+    common.mapped(ordered, run, "shard long, file string, n_docs long, n_ids long, doc_ids array<long>").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -210,12 +225,13 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     return common.mapped(plan, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_round_trip(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
+def token_round_trip(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, docs_per_shard: int = DOCS_PER_SHARD, ids_per_shard: int = IDS_PER_SHARD) -> DataFrame:
     """Write and read back. Null and empty texts hold the end id alone. Null doc_ids come
     first and repeated doc_ids follow one another, by text; all keep their rows. An empty
-    table writes no shard and gives no rows. Other columns are not looked at."""
+    table writes no shard and gives no rows. Other columns are not looked at. A task holds the
+    ids of one shard, and a document longer than that by itself."""
     path = path or common.scratch_path(docs.sparkSession, "tokens")
-    return read_shards(write_shards(docs, path, tokenizer, end_id, docs_per_shard), path)
+    return read_shards(write_shards(docs, path, tokenizer, end_id, docs_per_shard, ids_per_shard), path)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

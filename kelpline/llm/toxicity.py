@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import common
 
-#: Bound of the training sample, in labelled documents: toxic ones, and others for each of those.
-SAMPLE, OTHERS = 2000, 2
+#: Bounds of the training sample, in labelled documents: toxic ones, others for each of those, and bytes of a text.
+SAMPLE, OTHERS, TEXT_BYTES = 2000, 2, 32 << 10
 #: A term occurs in toxic documents after and before so many different words (and as many as a hundredth of those documents),
-#: and in so much greater a share of them than of others; longest beginning of a word; greatest number of terms.
-CONTEXTS, RATIO, LONGEST, TERMS = 8, 10.0, 10, 2000
+#: and in so much greater a share of them than of others; longest beginning of a word. All such terms are taken.
+CONTEXTS, RATIO, LONGEST = 8, 10.0, 10
 #: Edits that a term of so many characters may have; words on each side that count as context.
 EDITS, AROUND = ((9, 2), (5, 1), (0, 0)), 5
 #: What a misspelled hit counts beside an exact one. Terms that so great a share of other documents come near to match exactly only.
@@ -168,7 +168,7 @@ def learn_terms(rows: list[tuple[str, int]]) -> dict[str, float]:
                     break
                 stem = best.rstrip("*")
         chosen[p] = good[p]
-    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0])))
 
 
 def evidence(text: str, lexicon: Lexicon) -> np.ndarray:
@@ -230,13 +230,16 @@ class Scorer:
 
 def training(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> list[tuple[str, int]]:
     """Up to ``sample`` toxic texts and OTHERS times as many others, by a hash of doc_id; a
-    document with several labels is toxic if one says so. First the ids, then their texts."""
+    document with several labels is toxic if one says so, and of one with several texts the
+    least counts. Texts longer than TEXT_BYTES are left out. First the ids, then their texts."""
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     marks = labels.filter(train & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = [r for c, n in ((0, OTHERS * sample), (1, sample)) for r in marks.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(n).collect()]
     table = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "doc_id long, toxic int")
-    # at most (1 + OTHERS) * sample ids, and as many texts or, with repeated doc_ids, twice as many
-    return sorted((r["text"] or "", r["toxic"]) for r in docs.select("doc_id", "text").join(F.broadcast(table), "doc_id").limit(2 * (1 + OTHERS) * sample).collect())
+    # at most (1 + OTHERS) * sample ids, and as many texts
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TEXT_BYTES)
+    once = texts.join(F.broadcast(table), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return sorted((r["text"], r["toxic"]) for r in once.collect())
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
@@ -276,7 +279,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: fl
     5, isn't 0; other label values than 0 and 1 are left out. Null, empty and wordless texts
     have the score of a text without hits. With no labels, or those of one class only, the
     lexicon is empty. A null doc_id is not held out. Repeated rows are scored each; an empty
-    table gives no rows; other columns are not looked at."""
+    table gives no rows; other columns are not looked at. A text is worked on whole, in some
+    times its own size."""
     common.tune(docs.sparkSession)
     out = scored(docs.select("doc_id", "text"), learn(docs, labels, sample), "score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -126,6 +126,8 @@ def test_token_files(spark):
     ids = [x + [1] for x in encoded([t for _, t in rows])]
     starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
     assert sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == [(s, i, len(x), crc(x)) for s, (i, _), x in zip(starts, rows, ids, strict=True)]
+    small = token_files.token_round_trip(table(spark, HARD), docs_per_shard=100, ids_per_shard=5000).collect()  # several shards of a range
+    assert sorted(map(tuple, small), key=repr) == sorted(map(tuple, got), key=repr)
     assert token_files.token_round_trip(table(spark, [])).count() == 0
 
 
@@ -312,6 +314,39 @@ def test_secrets(spark):
     assert secrets.secret_scan(table(spark, [])).count() == 0
 
 
+def test_secret_chains(spark):
+    """Added spans against a plain search that scores with the same chains."""
+    rnd = random.Random(7)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    rows = []
+    for k in range(120):
+        parts = []
+        for _ in range(rnd.randrange(6)):
+            n = rnd.choice([19, 20, 24, 40, 90])
+            parts.append(rnd.choice(["".join(rnd.choice(chars) for _ in range(n)), "get_user_name_from_table_row"[: n + 5], "token=" + "x9Kq" * (n // 4), "f" * n, "value of the é😀 item"]))
+        rows.append((k, rnd.choice([" ", ", ", "."]).join(parts)))
+    docs = table(spark, rows)
+    chains = secrets.Chains.fit(docs.select("doc_id", "text"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(docs).collect()}
+    added, kept = 0, 0
+    for i, t in rows:
+        base = secret_base(t)
+        spans_ = [(s, k, e, name) for s, k, e, name in base]
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+            if any(s < m.end() and m.start() < e for s, _, e, _ in base):
+                continue
+            code = [0, *(secrets.ALPHABET.index(c) + 1 for c in m.group()), 0]
+            score = sum(float(f"{chains.ratios[a * 68 + b]:.5f}") for a, b in itertools.pairwise(code)) / (len(code) - 1)
+            added += 1
+            if abs(score - chains.least) < 1e-9:
+                continue
+            if score >= chains.least:
+                kept += 1
+                spans_.append((m.start(), 3, m.end(), "random"))
+        assert got[i] == ",".join(f"{name}:{s}:{e}" for s, _, e, name in sorted(spans_))
+    assert added > kept > 40
+
+
 # ---- 7 ----
 def test_quality(spark):
     rows = HARD + [(20 + k, " ".join(f"w{(k * 7 + j) % 23}" for j in range(5, 60)) + "\nline one\nline one\n\n x") for k in range(20)] + [(60, "##### $$ | " * 30), (61, "GO!! NOW!! " * 5 + " ".join(f"A{k}!!" for k in range(60)))]
@@ -335,6 +370,42 @@ def test_quality(spark):
     assert quality.judge(table(spark, [])).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """Votes and verdicts against a plain version, with the model fitted to the same votes."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9)))
+    rows = []
+    for k in range(300):
+        ws = [word() + ("." if rnd.random() < 0.1 else "") for _ in range(rnd.randrange(5, 120))]
+        kind = k % 12
+        if kind == 0:
+            ws = [w + rnd.choice(["#", "$", "|"]) * 2 for w in ws]
+        elif kind == 1:
+            ws = [w.upper() for w in ws]
+        elif kind == 2:
+            ws = [w + "!" for w in ws]
+        elif kind == 3:
+            ws = [ws[j % 4] for j in range(len(ws))]
+        rows.append((k, " ".join(ws)))
+    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+
+    def votes(t):
+        n, chars, symbols, dup, rep, lines, kinds, upper, letters, loud, stops = quality.features(t.encode())
+        vote = lambda v, bad, good, when=True: 0 if not when else -1 if v >= bad else 1 if v <= good else 0
+        mean = chars / max(n, 1)
+        return (
+            vote(rep / max(n, 1), 0.5, 0.05, n >= 30), vote(dup / max(lines, 1), 0.5, 0.0, lines >= 4), vote(symbols / max(n, 1), 0.2, 0.02), vote(loud / max(n, 1), 0.3, 0.05), vote(upper / max(letters, 1), 0.3, 0.12, letters >= 20),
+            vote(-np.log(max(kinds, 1)) / np.log(max(n, 2)), -0.72, -0.8, n >= 30), vote(-stops / max(n, 1), -0.004, -0.02, n >= 30), -1 if mean > 12 or mean < 2.5 else 1 if 3.5 <= mean <= 8 else 0,
+        )
+
+    every = np.array([votes(t) for _, t in rows])
+    patterns, inverse, counts = np.unique(every, axis=0, return_inverse=True, return_counts=True)
+    p = quality.classes(patterns, *quality.fit(patterns, counts.astype(float)))[inverse.ravel(), 0]
+    for (i, _), x in zip(rows, p.tolist(), strict=True):
+        assert abs(got[i]["quality"] - x) < 1e-6 and got[i]["kept"] == (not got[i]["base_failed"] and got[i]["quality"] >= 0.5)
+    assert 20 < sum(not r["kept"] for r in got.values()) < 150
+
+
 def test_weak_supervision():
     """Three rules of known trust: the fit ranks patterns by what made them."""
     rnd = np.random.default_rng(4)

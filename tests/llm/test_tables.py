@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from kelpline.llm import common, decontaminate, queries
+from kelpline.llm import common, decontaminate, language, quality, queries, toxicity
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -45,3 +45,32 @@ def test_pipeline_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, DIR)
         assert sorted(r["doc_id"] for r in d.collect()) == kept
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_held_out(spark):
+    """Documents that the model didn't learn from, at sf0.01."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 150 and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.99 * len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_held_out(spark):
+    """Labels that the model didn't learn from, at sf0.1: nine in ten toxic documents are found, and few others taken for toxic."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = common.documents(spark, "/root/testdata/sf0.1").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    bad = [r["predicted"] for r in rows if r["toxic"] == 1]
+    good = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert len(bad) > 50 and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.01 * len(good)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_quality_on_labels(spark):
+    """Labels are never used; of good documents hardly any is lost, of bad ones that pass the base rules nine in ten are found."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = quality.judge(common.documents(spark, "/root/testdata/sf0.1")).select("doc_id", "kept", "base_failed")
+    rows = judged.filter("not base_failed").join(labels, "doc_id").collect()
+    bad, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(bad) > 100 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.99 * len(good)
