@@ -12,25 +12,32 @@ from pyspark.sql import functions as F
 SIDE, KEPT = 32, 8
 
 
+def _kernel(n: int, side: int, lobes: int = 3) -> np.ndarray:
+    """Weights (side x n) of a Lanczos resampling, in steps of 2 ** -22; when an image shrinks the
+    kernel is stretched to take in all pixels."""
+    scale = max(n / side, 1.0)
+    centre = (np.arange(side) + 0.5) * n / side
+    low = np.maximum((centre - lobes * scale + 0.5).astype(int), 0)[:, None]
+    high = np.minimum((centre + lobes * scale + 0.5).astype(int), n)[:, None]
+    at = np.arange(n)[None, :]
+    x = (at - centre[:, None] + 0.5) / scale
+    w = np.where((at >= low) & (at < high) & (np.abs(x) < lobes), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return np.round(w / w.sum(1, keepdims=True) * (1 << 22)).astype(np.int64)
+
+
 def _resized(gray: np.ndarray, side: int) -> np.ndarray:
-    """Mean over areas, or nearest pixels where the image is smaller."""
-    for axis in (0, 1):
-        n = gray.shape[axis]
-        cuts = np.minimum((np.arange(side) * n) // side, n - 1)
-        total = np.add.reduceat(gray, cuts, axis=axis) if n >= side else np.take(gray, cuts, axis=axis)
-        if n >= side:
-            width = np.diff(np.append(cuts, n))
-            total = total / (width[:, None] if axis == 0 else width)
-        gray = total
-    return gray
+    """Of whole numbers from 0 to 255: first the columns, then the rows, each rounded to whole numbers."""
+    gray = np.clip((gray.astype(np.int64) @ _kernel(gray.shape[1], side).T + (1 << 21)) >> 22, 0, 255)
+    return np.clip((_kernel(gray.shape[0], side) @ gray + (1 << 21)) >> 22, 0, 255)
 
 
 def phash(width: int, height: int, channels: int, data: bytes) -> int | None:
     """As a signed number; null for images that couldn't be decoded. Bytes are blue, green, red."""
     if width <= 0 or height <= 0 or len(data) < width * height * channels:
         return None
-    pixels = np.frombuffer(data, np.uint8, width * height * channels).reshape(height, width, channels).astype(float)
-    gray = pixels[:, :, 0] if channels < 3 else pixels[:, :, :3] @ np.array([0.114, 0.587, 0.299])
+    pixels = np.frombuffer(data, np.uint8, width * height * channels).reshape(height, width, channels).astype(np.int64)
+    # luma in 16-bit fixed point
+    gray = pixels[:, :, 0] if channels < 3 else (pixels[:, :, 2] * 19595 + pixels[:, :, 1] * 38470 + pixels[:, :, 0] * 7471 + (1 << 15)) >> 16
     k = np.arange(SIDE)
     dct = np.cos(np.pi / SIDE * (k[None, :] + 0.5) * k[:KEPT, None])
     low = dct @ _resized(gray, SIDE) @ dct.T

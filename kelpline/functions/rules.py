@@ -53,6 +53,18 @@ def due(now: Column, send_time: Column, last_sent: Column, today: Column, within
     return (F.abs(now - schedule_minutes(send_time)) <= within) & ~last_sent.eqNullSafe(today)
 
 
+def next_daily(ts: Column, hour: int, minute: int = 0) -> Column:
+    """When a job that runs once a day at that time is due next, after ``ts``."""
+    today = F.date_trunc("day", ts) + F.make_dt_interval(F.lit(0), F.lit(hour), F.lit(minute))
+    return F.when(today > ts, today).otherwise(today + F.make_dt_interval(F.lit(1)))
+
+
+def next_tick(ts: Column, minutes: int) -> Column:
+    """When a job that runs every few minutes, counted from the epoch, is due next, after ``ts``."""
+    step = minutes * 60
+    return F.timestamp_seconds((F.floor(F.unix_seconds(ts) / step) + 1) * step)
+
+
 def uptime(seconds: Column) -> Column:
     """Days, hours and minutes that are not zero, and seconds."""
     n = seconds.cast("long")

@@ -170,3 +170,11 @@ def retry_delays(t):
  when 95 then '⛈ Гроза' when 96 then '⛈ Гроза с градом' when 99 then '⛈ Сильная гроза с градом' else '?' end as name, case when p_size%11>=7 then '🟢' when p_size%11>=4 then '🟡' else '🔴' end as mark from part""")
 def weather_names(t):
     return t("part").select("p_partkey", rules.weather_name((F.col("p_partkey") % 100).cast("int")).alias("name"), rules.score_mark(F.col("p_size") % 11).alias("mark"))
+
+
+@query("""select event_id, epoch(case when date_trunc('day',ts)+interval 7 hour>ts then date_trunc('day',ts)+interval 7 hour else date_trunc('day',ts)+interval 31 hour end)::bigint as daily,
+ cast((cast(floor(epoch(ts)) as bigint)//300+1)*300 as bigint) as tick from events""")
+def job_times(t):
+    """When a daily job at seven and one of every five minutes are due after each event."""
+    ts = F.col("ts").cast("timestamp")
+    return t("events").select("event_id", F.unix_seconds(rules.next_daily(ts, 7)).alias("daily"), F.unix_seconds(rules.next_tick(ts, 5)).alias("tick"))

@@ -94,6 +94,11 @@ def sessions(df: DataFrame, key: str, order: str, event: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, session int, opened long, closed long", "opened long, n int", "append", GroupStateTimeout.NoTimeout)
 
 
+def every(df: DataFrame, minutes: int, process, checkpoint: str) -> StreamingQuery:
+    """``process(batch, batch_id)`` over what has come, every few minutes; a missed time is made up for once."""
+    return df.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes").start()
+
+
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and give its result as a table, written to files by the
     executors: batch by batch in append mode, else the whole result of the last batch."""

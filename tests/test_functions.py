@@ -1,6 +1,9 @@
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from kelpline.functions import rules, text
+from kelpline.functions import phash, rules, text
 
 
 def one(spark, column):
@@ -54,3 +57,27 @@ def test_mention(spark):
     e = F.array(F.struct(L("mention").alias("type"), L(0).alias("offset"), L(6).alias("length")))
     assert one(spark, text.mentioned(L("@MyBot hi"), e, "mybot"))
     assert not one(spark, text.mentioned(L("@other @mybot"), e, "mybot"))
+
+
+def test_resampling():
+    """Rows and columns by a plain Lanczos kernel in fixed point; enlarged pictures have the same hash."""
+    rng = np.random.default_rng(1)
+    kernel = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * x / 3) if abs(x) < 3 else 0.0
+
+    def along(row):
+        n, out = len(row), []
+        for i in range(32):
+            scale, centre = max(n / 32, 1), (i + 0.5) * n / 32
+            low, high = max(int(centre - 3 * scale + 0.5), 0), min(int(centre + 3 * scale + 0.5), n)
+            w = [kernel((x - centre + 0.5) / scale) for x in range(low, high)]
+            out.append(min(255, max(0, (sum(int(v) * round(a / sum(w) * (1 << 22)) for v, a in zip(row[low:high], w, strict=True)) + (1 << 21)) >> 22)))
+        return out
+
+    for shape in ((20, 50), (70, 64), (33, 31)):
+        gray = rng.integers(0, 256, shape)
+        rows = [along(list(r)) for r in gray]
+        want = np.array([along([r[x] for r in rows]) for x in range(32)]).T
+        assert np.array_equal(phash._resized(gray, 32), want)
+    big = rng.integers(0, 256, (64, 64)).repeat(4, 0).repeat(4, 1).astype(np.uint8)
+    assert phash.phash(256, 256, 1, big.tobytes()) == phash.phash(128, 128, 1, big[::2, ::2].tobytes())
+    assert phash.phash(-1, -1, 3, b"") is None
