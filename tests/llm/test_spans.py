@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,54 @@ def test_long_texts(spark, scan):
     got = {r["doc_id"]: r["spans"] for r in scan(df).collect()}
     assert time.time() - began < 60
     assert got[2].count(":") >= 2 * 10_000 and re.fullmatch(r"([a-z_0-9]+:\d+:\d+,?)*", got[2])
+
+
+def test_added_spans_plainly(spark):
+    """All spans against a plain search: the same patterns, features written anew, and the same trees."""
+    rnd = random.Random(16)
+    n = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    made = [
+        lambda: f"call ({n(3)}) {n(3)}-{n(4)}", lambda: f"ssn {n(3)}-{n(2)}-{n(4)}", lambda: "anna (at) example (dot) org", lambda: "peter at garden.org", lambda: f"iban DE{n(2)} {n(4)} {n(4)} {n(4)} {n(4)} {n(2)}", lambda: f"2001:db8:{n(4)}:{n(4)}:{n(4)}::{n(2)}",
+        lambda: f"in 19{n(2)} 20{n(2)}", lambda: f"total {n(3)} {n(3)} {n(3)}", lambda: "a@b.example", lambda: f"+49 {n(3)} {n(6)}", lambda: f"192.168.{rnd.randrange(256)}.1", lambda: "the é😀 word", lambda: "Telefon", lambda: f"$ {n(3)}.{n(3)}.{n(3)}", lambda: f"{n(4)}-{n(4)}-{n(4)}-{n(4)}",
+    ]
+    rows = [(i, rnd.choice([" ", ", ", ". ", " and "]).join(rnd.choice(made)() for _ in range(rnd.randrange(7)))) for i in range(250)]
+    model = private.fit(spark)
+    got = {r["doc_id"]: r["spans"] for r in private.private_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def luhn(t):
+        d = re.sub("[^0-9]", "", t)
+        return 13 <= len(d) <= 19 and sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def features(kind, t, before, after):
+        before, digits = before.lower(), re.sub("[^0-9]", "", t)
+        word = lambda words: int(bool(re.search(rf"(?:^|[^a-z])(?:{words})[^a-z]*(?:[a-z]+[^a-z]+)?$", before)))
+        tail = re.search("[0-9]+$", t)
+        return {
+            "kind": kind, "digits": len(digits), "length": len(t), "groups": len(re.split("[^0-9]+", t)), "brackets": int(bool(re.search(r"[\[(]", t))), "hyphens": t.count("-"), "dots": t.count("."),
+            "marked": int(bool(re.search(r"(?i)@|[\[(](?:at|dot)[\])]", t))), "year": int(bool(re.search(r"(?:^|[^0-9])(?:1[89]|20)[0-9]{2}(?:[^0-9]|$)", t))), "tail": len(tail.group()) if tail else 0,
+            "letters": len(re.sub("[^A-Za-z]", "", t)), "phone_word": word(private._PHONE_WORDS), "mail_word": word(private._MAIL_WORDS), "id_word": word(private._ID_WORDS), "bank_word": word(private._BANK_WORDS),
+            "glued": int(bool(re.match("[A-Za-z0-9.,/%-]", after))), "money": int(bool(re.search(r"[$€£#=/*]\s*$", before))),
+        }
+
+    for i, t in rows:
+        base = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        base += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+        base += [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if luhn(m.group())]
+        base += [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        scored = []
+        for k, (pattern, _) in enumerate(private._GENERATORS):
+            found = list(re.finditer(pattern, t))
+            for j, m in enumerate(found):
+                if any(s < m.end() and m.start() < e for _, s, e in base):
+                    continue
+                start = max(found[j - 2].end() if j > 1 else 0, m.start() - 24)
+                f = features(k, m.group(), t[start : m.start()], t[m.end() : m.end() + 2])
+                margin = model.margin(np.array([[f[name] for name in model.names]], float))[0]
+                p = 1 / (1 + np.exp(-(margin * model.slope + model.shift)))
+                assert abs(p - private.LEAST) > 1e-9
+                if p >= private.LEAST:
+                    scored.append((-p, m.start(), k, m.end()))
+        added = [x for x in scored if not any(y[1] < x[3] and x[1] < y[3] and y[:3] < x[:3] for y in scored)]
+        names = private.BASE + private.ADDED
+        want = [*base, *((len(private.BASE) + k, s, e) for _, s, k, e in sorted(added, key=lambda x: (x[2], x[1])))]
+        assert got[i] == ",".join(f"{names[k]}:{s}:{e}" for k, s, e in want)
