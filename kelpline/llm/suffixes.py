@@ -37,7 +37,7 @@ from kelpline.llm import common
 WINDOW, ANCHOR = 50, 24
 CHUNK, BLOCK = 4 << 20, 1 << 18
 #: Bytes that a task of the filter and of the sort gets, about; chunks and suffixes of the sample that divides the ranges.
-HASHES, ENTRIES, SAMPLE = 16 << 20, 24 << 20, (16, 256)
+HASHES, ENTRIES, SAMPLE = 16 << 20, 12 << 20, (16, 256)
 _SIDE = WINDOW - ANCHOR  # bytes on each side of an anchor that its windows can reach
 _CONTEXT = _SIDE + WINDOW
 _ENTRY = _CONTEXT + 2 + 8
@@ -196,8 +196,8 @@ class Passes:
         self.ids = c.doc_ids[c.doc[self.at]]
         # distinct suffixes with their contexts, some at a time, so that a text of one byte needs little
         parts, of, n = [], np.zeros(len(self.at), np.int64), 0
-        for s in range(0, len(self.at), 1 << 16):
-            at = self.at[s : s + (1 << 16)]
+        for s in range(0, len(self.at), 1 << 14):
+            at = self.at[s : s + (1 << 14)]
             rows = np.concatenate([c.contexts(at), c.low[at][:, None], c.high[at][:, None]], 1)
             r = Radix(len(rows)).by(digits(rows))
             of[s : s + len(at)] = r.groups() + n
