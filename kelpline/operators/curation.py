@@ -81,16 +81,17 @@ def top_detection(boxes: DataFrame, image: str, cls: str, confidence: str, line:
 def label_errors(lines: DataFrame, file: str, line_no: str, text: str, classes: int) -> DataFrame:
     """(file, line, error) of label lines: five fields, a class in range, four numbers in [0, 1].
     Blank lines are skipped."""
-    parts = F.split(F.trim(text), r"\s+")
-    kind = F.try_element_at(parts, F.lit(1)).try_cast("int")
-    numbers = F.transform(F.slice(parts, 2, 4), lambda p: p.try_cast("double"))
+    rows = lines.filter(F.trim(text) != "").withColumn("_parts", F.split(F.trim(text), r"\s+"))
+    parts = F.col("_parts")
+    rows = rows.withColumn("_kind", F.try_element_at(parts, F.lit(1)).try_cast("int")).withColumn("_numbers", F.slice(parts, 2, 4).try_cast("array<double>"))
+    kind, numbers = F.col("_kind"), F.col("_numbers")
     bad = F.exists(numbers, lambda x: x.isNull()) | (F.size(numbers) < 4)
     found = (
         F.when(F.size(parts) != 5, F.array(F.lit("fields")))
         .when(kind.isNull(), F.array(F.lit("class not a number")))
         .otherwise(F.array_compact(F.array(F.when(~kind.between(0, classes - 1), "class out of range"), F.when(bad, "not a number"), F.when(~bad & F.exists(numbers, lambda x: ~x.between(0.0, 1.0)), "out of [0, 1]"))))
     )
-    return lines.filter(F.trim(text) != "").select(file, line_no, F.explode(found).alias("error"))
+    return rows.select(file, line_no, F.explode(found).alias("error"))
 
 
 def without_label(images: DataFrame, labels: DataFrame, stem: str) -> DataFrame:

@@ -130,9 +130,9 @@ def test_split_sizes(spark):
 
 
 def test_labels(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("0 0.5 0.5 1.0 1.0\n9 0.5 0.5 1 1\nx 1 1 1 1\n0 1 1\n0 0.5 0.5 2 1\n\n")
+    (tmp_path / "a.txt").write_text("0 0.5 0.5 1.0 1.0\n9 0.5 0.5 1 1\nx 1 1 1 1\n0 1 1\n0 0.5 0.5 2 1\n\n0 a 0.5 1 1\n")
     e = curation.label_errors(readers.label_lines(spark, str(tmp_path)), "stem", "line", "value", 5)
-    assert sorted((r["line"], r["error"]) for r in e.collect()) == [(1, "class out of range"), (2, "class not a number"), (3, "fields"), (4, "out of [0, 1]")]
+    assert sorted((r["line"], r["error"]) for r in e.collect()) == [(1, "class out of range"), (2, "class not a number"), (3, "fields"), (4, "out of [0, 1]"), (6, "not a number")]
 
 
 def test_matrix_drops_unknown(spark):
