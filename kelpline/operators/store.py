@@ -61,9 +61,9 @@ def active_session(sessions: DataFrame) -> DataFrame:
     return active.groupBy("chat_id").agg(row.alias("_row")).select("_row.*")
 
 
-def session_expenses(expenses: DataFrame, session: Column) -> DataFrame:
-    """A session's expenses in the order of their time."""
-    return expenses.filter(session).orderBy("created_at", "id")
+def session_expenses(expenses: DataFrame) -> DataFrame:
+    """Expenses with their place in the order of time, by session."""
+    return expenses.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "id")))
 
 
 def leaderboard(df: DataFrame, person: str, count: str, weight: str, species: str, key: Column) -> DataFrame:

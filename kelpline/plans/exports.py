@@ -291,15 +291,16 @@ def summary_sink(t):
     return e.sparkSession.read.schema("rows long, last long, errors long").json(path)
 
 
-@query("""select p_brand||'-'||p_partkey as stem, cast(i as int) as line, (p_partkey%5)||' 0.5 0.5 0.'||(i+1)||' 0.2' as value from (select *, unnest(range(0, p_size%3)) as i from part where p_partkey%40=0)
-union all select p_brand||'-'||p_partkey, cast(p_size%3 as int), '' from part where p_partkey%40=0 and p_size%3>0""")
+@query("""select s_name as stem, cast(i as int) as line, (s_suppkey%5)||' 0.5 0.5 0.'||(i+1)||' 0.2' as value from (select *, unnest(range(0, s_nationkey%3)) as i from supplier)
+union all select s_name, cast(s_nationkey%3 as int), '' from supplier where s_nationkey%3>0""")
 def label_file_sink(t):
-    """A label file for each picture of every fortieth part, as many files are many. Empty files of pictures without objects have no line."""
-    p = t("part").filter("p_partkey % 40 = 0")
-    lines = F.when(F.col("p_size") % 3 > 0, F.transform(F.sequence(F.lit(0), F.col("p_size") % 3 - 1), lambda i: F.concat(F.col("p_partkey") % 5, F.lit(" 0.5 0.5 0."), i + 1, F.lit(" 0.2\n")))).otherwise(F.array().cast("array<string>"))
-    path = _folder(p, "labels")
-    sinks.label_files(p.select(F.when(F.col("p_partkey") % 3 == 0, "val").otherwise("train").alias("split"), F.concat_ws("-", "p_brand", "p_partkey").alias("stem"), F.array_join(lines, "").alias("text")), path)
-    return readers.label_lines(p.sparkSession, f"{path}/*")
+    """A label file for the picture of each supplier. Empty files of pictures without objects have no line."""
+    s = t("supplier")
+    n = F.col("s_nationkey") % 3
+    lines = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.col("s_suppkey") % 5, F.lit(" 0.5 0.5 0."), i + 1, F.lit(" 0.2\n")))).otherwise(F.array().cast("array<string>"))
+    path = _folder(s, "labels")
+    sinks.label_files(s.select(F.when(F.col("s_suppkey") % 3 == 0, "val").otherwise("train").alias("split"), F.col("s_name").alias("stem"), F.array_join(lines, "").alias("text")), path)
+    return readers.label_lines(s.sparkSession, f"{path}/*")
 
 
 @query("select n_name as filename, 'first' as source, 'cc0' as license from nation union all select r_name, 'second', 'cc-by' from region")
@@ -314,7 +315,7 @@ def provenance_sink(t):
 
 # ---------- export ----------
 _REF = "case when event_id%4<2 then 'photos/p'||(event_id%97)||'.jpg' when event_id%4=2 then 'photos/p'||(event_id%97)||'_thumb.jpg' end"
-_EXPORT = f"""x as (select user_id%7+1 as page, event_id, row_number() over (partition by user_id%7 order by event_id)-1 as position, {_REF} as href,
+_EXPORT = f"""x as (select cast(event_id//1000+1 as int) as page, event_id, row_number() over (partition by event_id//1000 order by event_id)-1 as position, {_REF} as href,
  case when event_id%3=0 then (case when event_id%15=0 then '' else event_type||'&'||user_id end) end as from_name, event_id%3=0 as has_name,
  strftime(ts + interval 3 hour, '%d.%m.%Y %H:%M:%S')||' UTC+03:00' as date, case when event_id%5<2 then 'n '||event_id||' <'||event_type||'>' else '' end as caption, epoch(date_trunc('second', ts)) as stamp from events),
  named as (select *, sum(case when has_name then 1 else 0 end) over (partition by page order by position rows unbounded preceding) as run from x),
@@ -323,7 +324,7 @@ _EXPORT = f"""x as (select user_id%7+1 as page, event_id, row_number() over (par
 
 
 def _export(t: Tables) -> DataFrame:
-    """The event log as pages of an exported chat: page, html."""
+    """The event log as pages of an exported chat, of a thousand messages each: page, html."""
     e, k = t("events"), F.col("event_id")
     photo = F.concat(F.lit("photos/p"), k % 97)
     href = F.when(k % 4 < 2, F.concat(photo, F.lit(".jpg"))).when(k % 4 == 2, F.concat(photo, F.lit("_thumb.jpg")))
@@ -335,7 +336,7 @@ def _export(t: Tables) -> DataFrame:
         F.lit('<div class="message default clearfix" id="message'), k, F.lit('"><div class="body"><div class="pull_right date details" title="'), date, F.lit('">12:00</div>\n'),
         F.when(k % 3 == 0, div("from_name", name)).otherwise(""), F.when(href.isNotNull(), F.concat(F.lit('<a class="photo_wrap clearfix" href="'), href, F.lit('"></a>'))).otherwise(""), div("text", caption), F.lit("</div></div>"),
     )
-    pages = e.groupBy((F.col("user_id") % 7 + 1).cast("int").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, message.alias("m")))), lambda x: x["m"]), '\n<div class="message service">x</div>\n').alias("html"))
+    pages = e.groupBy((F.floor(k / 1000) + 1).cast("int").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, message.alias("m")))), lambda x: x["m"]), '\n<div class="message service">x</div>\n').alias("html"))
     return pages.select("page", F.concat(F.lit("<html><body>"), "html", F.lit("</body></html>")).alias("html"))
 
 
@@ -385,9 +386,7 @@ def active_sessions(t):
     return store.active_session(c).select("chat_id", "session_id")
 
 
-@query("select o_orderkey as id, cast(row_number() over (order by o_orderdate, o_orderkey)-1 as bigint) as place from orders where o_orderkey%50=7")
+@query("select o_orderkey%50 as session_id, o_orderkey as id, cast(row_number() over (partition by o_orderkey%50 order by o_orderdate, o_orderkey) as int) as place from orders")
 def expenses_in_order(t):
-    """A session's expenses by time; places show the order."""
-    e = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
-    ordered = store.session_expenses(e, F.col("id") % 50 == 7)
-    return ordered.sparkSession.createDataFrame([(r["id"], i) for i, r in enumerate(ordered.toLocalIterator())], "id long, place long")
+    e = t("orders").select((F.col("o_orderkey") % 50).alias("session_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    return store.session_expenses(e).select("session_id", "id", "place")

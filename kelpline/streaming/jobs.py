@@ -43,12 +43,15 @@ def record_and_process(df: DataFrame, history: str, checkpoint: str, process, ti
     return df.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_of_key(df: DataFrame, keys: list[str], time: str, delay: str = "7 days") -> DataFrame:
-    """The first row of each key within the watermark's reach; state goes when it is past."""
+def first_of_key(df: DataFrame, keys: list[str], time: str, delay: str | None = "7 days") -> DataFrame:
+    """The first row of each key within the watermark's reach; state goes when it is past. Without
+    a delay the first row ever, and the state keeps every key."""
+    if delay is None:
+        return df.dropDuplicates(keys)
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def first_valid(df: DataFrame, keys: list[str], valid: Column, time: str, delay: str = "7 days") -> DataFrame:
+def first_valid(df: DataFrame, keys: list[str], valid: Column, time: str, delay: str | None = "7 days") -> DataFrame:
     """Like ``first_of_key`` among valid rows only: a rejected one doesn't bar another try."""
     return first_of_key(df.filter(valid), keys, time, delay)
 
