@@ -157,6 +157,10 @@ def fit(spark: SparkSession) -> Boosted:
     return Boosted.fit(list(f), x[~held], y[~held]).calibrate(x[held], y[held])
 
 
+def _of_kind(k: int):
+    return lambda x: x["kind"] == k
+
+
 def find(docs: DataFrame, least: float = LEAST, column: str = "spans") -> DataFrame:
     """``docs`` with a column of all spans, and ``base_<column>`` with the base ones only, by
     kind and start."""
@@ -167,16 +171,19 @@ def find(docs: DataFrame, least: float = LEAST, column: str = "spans") -> DataFr
     base = [F.col(f"_base.{k}") for k in BASE]
     found = found.withColumn("_found", F.struct(*[spans.apart(F.col(f"_found.g{i}"), base).alias(f"g{i}") for i in kinds]))
 
-    def scored(c: Column) -> Column:
-        each = F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s.alias("s"), model.probability(features(s)).alias("p")))
-        return F.when(F.size(c) > 0, F.filter(each, lambda x: x["p"] >= least))
+    def probability(s: Column) -> Column:
+        # the trees ask for a feature many times: each is computed once
+        return spans.with_(F.struct(*[c.alias(k) for k, c in features(s).items()]), lambda f: model.probability({k: f[k] for k in model.names}))
 
-    found = found.withColumn("_scored", F.struct(*[scored(F.col(f"_found.g{i}")).alias(f"g{i}") for i in kinds]))
+    every = F.concat(*[F.col(f"_found.g{i}") for i in kinds])
+    each = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s.alias("s"), probability(s).alias("p")))
+    found = found.withColumn("_likely", F.filter(each, lambda x: x["p"] >= least))
+    found = found.withColumn("_scored", F.struct(*[F.filter("_likely", _of_kind(len(BASE) + i)).alias(f"g{i}") for i in kinds]))
     # of two that overlap the likelier one stays, of equals the one that is first
     better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
     left = [spans.best(F.col(f"_scored.g{i}"), [F.col(f"_scored.g{j}") for j in kinds if j != i], better) for i in kinds]
     added = [F.coalesce(F.transform(x, lambda c: c["s"]), spans.none()) for x in left]
-    return found.withColumn(f"base_{column}", F.concat(*base)).withColumn(column, F.concat(*base, *added)).drop("_base", "_found", "_scored")
+    return found.withColumn(f"base_{column}", F.concat(*base)).withColumn(column, F.concat(*base, *added)).drop("_base", "_found", "_likely", "_scored")
 
 
 def private_data(docs: DataFrame, least: float = LEAST) -> DataFrame:
