@@ -44,5 +44,48 @@ select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit,0) as n_hit, c
 from w left join hit using (doc_id) left join it using (doc_id)
 """
 
-#: The others need a tokenizer, XXH64, or a trained model, and are tested against plain versions.
-ORACLE: dict[str, str] = {"op1_suffix_array_dedup": _OP1, "op9_benchmark_decontamination": _OP9}
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of operator 7 that don't come from its model."""
+    return quality.op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of operator 5."""
+    return private.op5_private_data(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in private.BASE])
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of operator 10."""
+    return secrets.op10_secret_scan(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in secrets.KINDS[:3]])
+
+
+_QUALITY = r"""
+with w as (select row_number() over () as r, doc_id, coalesce(text,'') as t, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select r, i, list_slice(ws, i, i+4) as g from (select r, ws, unnest(range(1, len(ws)-3)) as i from w where len(ws)>=5)),
+h as (select r, count(distinct p) as n_repeat_words from (select r, unnest(range(i, i+5)) as p from (select *, count(*) over (partition by r, g) as c from g) where c>1) group by 1),
+l as (select r, count(*)-count(distinct line) as n_dup_lines from (select r, unnest(string_split(t, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws,'')) as bigint) as word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(n_dup_lines,0) as n_dup_lines,
+ coalesce(n_repeat_words,0) as n_repeat_words, len(ws)<10 or 100*coalesce(n_repeat_words,0)>20*len(ws) as base_failed from w left join h using (r) left join l using (r)
+"""
+
+_DIGITS = "regexp_replace(m,'[^0-9]','','g')"
+_PRIVATE = rf"""
+with d as (select doc_id, coalesce(text,'') as t from documents)
+select doc_id, cast(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as bigint) as n_email,
+ cast(len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda m: list_max(list_transform(string_split(m,'.'), lambda p: try_cast(p as double)))<=255)) as bigint) as n_ip,
+ cast(len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda m: reverse({_DIGITS})), lambda x: length(x) between 13 and 19
+  and list_sum(list_transform(range(1, length(x)+1), lambda i: case when i%2=1 then cast(x[i] as int) when cast(x[i] as int)>4 then 2*cast(x[i] as int)-9 else 2*cast(x[i] as int) end))%10=0)) as bigint) as n_card,
+ cast(len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda m: length({_DIGITS}) between 9 and 15)) as bigint) as n_phone from d
+"""
+
+_SECRET = r"""
+with d as (select doc_id, coalesce(text,'') as t from documents)
+select doc_id, cast(len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda m: length(m)>=6)) as bigint) as n_assign,
+ cast(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda m: length(m)>=20)) as bigint) as n_access, cast(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda m: length(m)>=24)) as bigint) as n_hex from d
+"""
+
+QUERIES |= {f.__name__: f for f in (quality_base, private_counts, secret_counts)}
+#: The others need a tokenizer, XXH64, or a trained model, and are tested against plain versions; of some the columns that need none are queries of their own.
+ORACLE: dict[str, str] = {"op1_suffix_array_dedup": _OP1, "op9_benchmark_decontamination": _OP9, "quality_base": _QUALITY, "private_counts": _PRIVATE, "secret_counts": _SECRET}
