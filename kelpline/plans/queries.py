@@ -540,11 +540,11 @@ def set_union(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()
 
 
-@query("""with b as (select doc_id, source as url, 1 as s from documents where doc_id%2=0 union all select doc_id, lang, 2 from documents)
+@query("""with b as (select doc_id, source as url, 1 as s from documents union all select doc_id, lang, 2 from documents)
 select url, doc_id from (select url, doc_id, s, row_number() over (partition by url order by s, doc_id) as r from b) where r=1 order by s, doc_id limit 22""")
 def filled_results(t):
     d = t("documents")
-    return curation.filled_up(d.filter("doc_id % 2 = 0").select(F.col("source").alias("url"), "doc_id"), d.select(F.col("lang").alias("url"), "doc_id"), "url", "doc_id", 22)
+    return curation.filled_up(d.select(F.col("source").alias("url"), "doc_id"), d.select(F.col("lang").alias("url"), "doc_id"), "url", "doc_id", 22)
 
 
 _LICENCE = "list_extract(['CC_BY_4_0','cc-by','CC-BY-4.0','cc-by-nc','Public Domain','cc0',null,'all rights reserved','CC BY 4.0 '], cast(p_partkey%9 as int)+1)"
@@ -694,10 +694,10 @@ def search_cascade(t):
     return search.cascade(stages)
 
 
-@query("""select doc_id, substr(text,1,200) as text from documents d where not exists (select 1 from (select text from documents where doc_id%2=0) r where substr(r.text,1,100)=substr(d.text,1,100)) order by n_chars desc, doc_id limit 8""")
+@query("""select doc_id, substr(text,1,200) as text from documents d where not exists (select 1 from benchmark r where substr(r.text,1,100)=substr(d.text,1,100)) order by n_chars desc, doc_id limit 8""")
 def rag_context(t):
     d = t("documents").select("doc_id", "text", "n_chars")
-    return search.context(d, d.filter("doc_id % 2 = 0").select("text"), "text", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "text")
+    return search.context(d, t("benchmark").select("text"), "text", [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "text")
 
 
 @query("""select doc_id, substr(text,1,200) as text from documents d where not exists (select 1 from conversations r where substr(r.text,1,100)=substr(d.text,1,100)) order by n_chars desc, doc_id limit 8""")
