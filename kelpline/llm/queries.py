@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import decontaminate, language, packing, private, quality, secrets, simhash, suffixes, token_files, toxicity
+from kelpline.llm import decontaminate, language, minhash, packing, private, quality, ranked_search, secrets, simhash, suffixes, token_files, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffixes.op1_suffix_array_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 _OP1 = r"""
 with d as (select doc_id, hex(encode(coalesce(text,''))) as h, octet_length(encode(coalesce(text,''))) as n from documents),
@@ -44,6 +47,51 @@ select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit,0) as n_hit, c
 from w left join hit using (doc_id) left join it using (doc_id)
 """
 
+_LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents),
+s as materialized (select distinct r, hash(s) as s from (select r, unnest(case when len(ws)=1 then [ws[1]] else list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1]) end) as s from w where len(ws)>0)),
+n as (select r, count(*) as n from s group by 1),
+sized as materialized (select s.r, s.s, n.n from s join n using (r)),
+links as materialized (select a.r as a, b.r as b from sized a join sized b on a.s=b.s and a.r<b.r and 5*least(a.n,b.n)>=4*greatest(a.n,b.n) group by a.r, b.r, a.n, b.n having 100*count(*)>=80*(a.n+b.n-count(*))),
+pairs as materialized (select a, b from links union all select b, a from links),
+reach(a, b) as (select r, r from n union select reach.a, pairs.b from reach join pairs on reach.b=pairs.a),
+comp as (select reach.a as r, min(w.doc_id) as c from reach join w on w.r=reach.b group by 1)
+select doc_id, coalesce(n,0) as n_shingles, case when n is null then doc_id else c end as component_id, doc_id is not distinct from (case when n is null then doc_id else c end) as kept from w left join n using (r) left join comp using (r)
+"""
+
+
+def _coded(codebook: str) -> str:
+    """Of each part its squared distance to the nearest entry, times 256, plus that entry."""
+    return f"(select r, p, min(d*256+i) as best from (select x.r, x.p, c.i, sum((x.v-c.v)*(x.v-c.v))::bigint as d from x join {codebook} c on x.p=c.p and x.j=c.j group by all) group by 1, 2)"
+
+
+_ROUNDS = ",\n".join(
+    f"a{k} as materialized {_coded(f'c{k}')},\n"
+    f"m{k} as (select x.p, a.best%256 as i, x.j, sum(x.v)::bigint as s, count(*) as n from x join a{k} a using (r, p) group by all),\n"
+    f"c{k + 1} as materialized (select c.p, c.i, c.j, coalesce((m.s-(m.s%m.n+m.n)%m.n)//m.n, c.v) as v from c{k} c left join m{k} m using (p, i, j))"
+    for k in range(4)
+)
+_OP12 = rf"""
+with v as (select row_number() over (order by vec_id, embedding) as r, vec_id, label, embedding as e from embeddings where embedding is not null and len(embedding)>0 and len(embedding)%4=0 and len(list_filter(embedding, lambda y: y is null or not isfinite(y)))=0),
+x as materialized (select r, k*4//n as p, k%(n//4) as j, floor(1024*y::double)::bigint as v from (select r, len(e) as n, unnest(range(len(e))) as k, unnest(e) as y from v)),
+c0 as materialized (select p, r-1 as i, j, v from x where r<=256),
+{_ROUNDS},
+a4 as materialized {_coded("c4")},
+o as (select r, string_agg(printf('%02x', best%256), '' order by p) as code, sum(best//256)::bigint as error from a4 group by 1)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(v::varchar, ',' order by p, i, j)) from c4) as codebooks_sha256 from o join v using (r)
+"""
+
+_OP13 = rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+s as (select count(*) filter (len(ts)>0) as n_docs, sum(len(ts))::bigint as n_terms from d),
+q as materialized (select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+p as materialized (select r, n, t, count(*) as tf from (select r, len(ts) as n, unnest(ts) as t from d) where t in (select t from q) group by all),
+w as materialized (select t, floor(1000*ln((2*n_docs+2)/(2*count(*)+1)))::bigint as w from p, s group by t, n_docs),
+g as (select item_id, r, sum(w*((1000000000*tf)//(1000*tf+20*(50+(50*n*n_docs)//n_terms))))::bigint as score from q join p using (t) join w using (t), s group by 1, 2)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from g join d using (r) where score>0 qualify rank<=50
+"""
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +136,4 @@ select doc_id, cast(len(list_filter(regexp_extract_all(t, '(?i:password|passwd|s
 
 QUERIES |= {f.__name__: f for f in (quality_base, private_counts, secret_counts)}
 #: The others need a tokenizer, XXH64, or a trained model, and are tested against plain versions; of some the columns that need none are queries of their own.
-ORACLE: dict[str, str] = {"op1_suffix_array_dedup": _OP1, "op9_benchmark_decontamination": _OP9, "quality_base": _QUALITY, "private_counts": _PRIVATE, "secret_counts": _SECRET}
+ORACLE: dict[str, str] = {"op1_suffix_array_dedup": _OP1, "op9_benchmark_decontamination": _OP9, "op11_minhash_near_dedup": _OP11, "op12_vector_codes": _OP12, "op13_ranked_search": _OP13, "quality_base": _QUALITY, "private_counts": _PRIVATE, "secret_counts": _SECRET}
