@@ -61,8 +61,9 @@ def blocks(whole: DataFrame, key: str, label: str) -> DataFrame:
 def first_entries(whole: DataFrame, key: str) -> np.ndarray:
     """Codebooks (part, entry, position) of the 256 least keys, ascending; null keys are last, and of equal keys the least vectors come first."""
     rows = whole.select(key, "_whole").orderBy(F.col(key).asc_nulls_last(), "_whole").limit(ENTRIES).collect()
-    whole_rows = np.array([r["_whole"] for r in rows], np.int64)
-    return np.ascontiguousarray(whole_rows.reshape(len(rows), PARTS, -1).transpose(1, 0, 2))
+    if not rows:
+        return np.zeros((PARTS, 0, 0), np.int64)
+    return np.ascontiguousarray(np.array([r["_whole"] for r in rows], np.int64).reshape(len(rows), PARTS, -1).transpose(1, 0, 2))
 
 
 def nearest(lines: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +154,7 @@ def vector_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     whole = whole_components(named)
     codebooks = first_entries(whole, "vec_id")
     if not codebooks.size:
-        return spark.createDataFrame([], "vec_id long, label long, code string, error long"), np.zeros((PARTS, 0, 0), np.int64)
+        return spark.createDataFrame([], "vec_id long, label long, code string, error long"), codebooks
     coded = common.stored(blocks(whole, "vec_id", "label"), "vectors")
     codebooks = learn(coded, codebooks)
     return assigned(coded, codebooks), codebooks
