@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,9 +15,21 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BUCKETS = 64
 
 
+def _marked() -> dict[str, str]:
+    """Lower-case Latin letters that are one of a-z with a single mark, and the long s, by that letter."""
+    letters = [chr(c) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(a, b)]
+    parts = {c: unicodedata.normalize("NFKD" if c in "ſẛ" else "NFD", c) for c in letters if c == c.lower()}
+    return {c: d[0] for c, d in parts.items() if "a" <= d[0] <= "z" and (len(d) == 2 or c in "ſẛ")}
+
+
+_MARKED = _marked()
+_LOOSE = "".join(map(chr, range(0x300, 0x370)))
+
+
 def folded_text(c: Column) -> Column:
-    """In lower case. Latin letters lose their marks, as in café; others keep them."""
-    return F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """In lower case. Latin letters with one mark lose it, as in café, also where the mark is a
+    character of its own; letters with two and of other scripts keep them."""
+    return F.translate(F.lower(c), "".join(_MARKED) + _LOOSE, "".join(_MARKED.values()))
 
 
 def tokens_of(c: Column) -> Column:

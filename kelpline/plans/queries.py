@@ -634,7 +634,7 @@ def accuracy_by_class(t):
 
 
 # ---------- search ----------
-_MARKS = "translate(lower(text),'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ','aaaaaaceeeeiiiinooooouuuuyy')"
+_MARKS = "strip_accents(lower(text))"  # the tables' texts are Latin
 _TOK = rf"tk as (select doc_id, list_filter(string_split_regex({_MARKS},'[^\p{{L}}\p{{N}}]+'), lambda x: x<>'') as t from documents), ix as (select doc_id, len(t) as length, unnest(t) as token, generate_subscripts(t,1)-1 as position from tk)"
 
 

@@ -2,8 +2,8 @@
 
 import kelpline.plans.exports
 import kelpline.plans.predicates  # noqa: F401  (both register themselves)
-from kelpline.plans import streams
+from kelpline.plans import indexes, streams
 from kelpline.plans.queries import ORACLE, QUERIES
 
-QUERIES |= streams.QUERIES
-ORACLE |= streams.ORACLE
+QUERIES |= streams.QUERIES | indexes.QUERIES
+ORACLE |= streams.ORACLE | indexes.ORACLE
