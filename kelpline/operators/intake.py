@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kelpline.functions.rules import size_bucket
 from kelpline.functions.text import is_photo_ref, is_thumb
+from kelpline.operators import scan
 
 
 def photo_refs(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -22,12 +23,10 @@ def ref_counts(refs: DataFrame) -> DataFrame:
 
 def carried_sender(messages: DataFrame, by: list[str], order: list[str], sender: str = "from_name", begins: Column | None = None) -> DataFrame:
     """``sender_name``: the name of the last message that has a name element, within a file. A
-    name element that is empty makes it null, so it isn't the last non-null name."""
+    name element that is empty makes it null, so it isn't the last non-null name. A file of any
+    length is dealt to all tasks."""
     begins = F.col(sender).isNotNull() if begins is None else begins
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = messages.withColumn("_run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    head = F.max(F.when(begins, F.nullif(F.col(sender), F.lit("")))).over(Window.partitionBy(*by, "_run"))
-    return run.withColumn("sender_name", F.when(F.col("_run") > 0, head)).drop("_run")
+    return scan.last_marked(messages, by, order, begins, F.nullif(F.col(sender), F.lit("")), "sender_name")
 
 
 def first_seen(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -71,24 +70,20 @@ def audit_summary(audit: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: Column, text: Column, glue: str = "\n") -> DataFrame:
-    """Neighbouring rows of one value as one: by, value, first order, rows, joined text."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.lag(value).over(w)
-    marked = df.withColumn("_value", value).withColumn("_text", text).withColumn("_new", (~before.eqNullSafe(value) | (F.row_number().over(w) == 1)).cast("int"))
-    marked = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Neighbouring rows of one value as one: by, run, value, n, joined text. Runs are numbered by a
+    scan over ranges; only the rows of one run meet, as their text is one."""
+    marked = scan.run_numbers(df.select(*by, *[c for c in order if c not in by], value.alias("_run_value"), text.alias("_text")), by, order, F.col("_run_value"), "run")
     place = F.struct(*order)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("o"), F.col("_text").alias("t")))), lambda x: x["t"]), glue)
-    return marked.groupBy(*by, "run").agg(F.first("_value").alias("value"), F.count("*").alias("n"), joined.alias("text"))
+    return marked.groupBy(*by, "run").agg(F.first("_run_value").alias("value"), F.count("*").alias("n"), joined.alias("text"))
 
 
 def last_runs(run_rows: DataFrame, by: list[str], most: int = 30) -> DataFrame:
+    """The last runs of a key. Spark keeps no more than ``most`` of a key in each task before they meet."""
     w = Window.partitionBy(*by).orderBy(F.col("run").desc())
     return run_rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).drop("_k")
 
 
 def streaks(df: DataFrame, by: list[str], order: list[str], failed: Column) -> DataFrame:
-    """``errors``: failures in a row up to each row; a success sets it to zero."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("_failed", failed.cast("int")).withColumn("_run", F.sum(1 - F.col("_failed")).over(w))
-    inside = Window.partitionBy(*by, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return run.withColumn("errors", F.sum("_failed").over(inside)).drop("_failed", "_run")
+    """``errors``: failures in a row up to each row; a success sets it to zero, and so does a row of unknown outcome."""
+    return scan.since(df, by, order, ~F.coalesce(failed, F.lit(False)), "errors")
