@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kelpline.sources.scratch import scratch_path, scratch_root, stored
 
-__all__ = ["documents", "filesystem", "give_back", "mapped", "ranges", "scratch_path", "scratch_root", "slices", "stored", "tune", "width"]
+__all__ = ["as_row", "documents", "filesystem", "from_row", "give_back", "mapped", "ranges", "scratch_path", "scratch_root", "slices", "stored", "tune", "unused", "width"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,23 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, or a longer one that no column has in any case of letters."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
+def as_row(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``_row``: working columns beside it clash with none."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def from_row(columns: list[str], **other: Column) -> list[Column]:
+    """The columns out of ``_row``, some of them replaced."""
+    return [(other[c] if c in other else F.col("_row").getField(c)).alias(c) for c in columns]
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim

@@ -273,7 +273,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     """``docs`` without the merged spans of hit words; all rows and columns stay, n_chars
     follows the text if there is one."""
     common.tune(docs.sparkSession)
-    clash = {c: f"_kept_{c}" for c in ("n_words", "hits", "items") if c in docs.columns}
+    clash = {c: common.unused(docs.columns, f"_kept_{c}") for c in ("n_words", "hits", "items") if c in docs.columns}
     left = find(docs.withColumnsRenamed(clash), benchmark, window, block_bytes, cutting=True)
     left = left.withColumnsRenamed({v: k for k, v in clash.items()})
     if "n_chars" in docs.columns:

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kelpline.llm import common
 
-#: Bounds of the training sample: documents of a language and of all, bytes of one, and languages, the most frequent ones.
-SAMPLE, EVERY, TEXT_BYTES, LANGUAGES = 500, 8000, 32 << 10, 400
+#: Bounds of the training sample: texts of a language, and of all languages together; length of one.
+SAMPLE, EVERY, TEXT_BYTES = 500, 8000, 32 << 10
 LONGEST, UNKNOWN = 5, "und"
 #: Words whose scores a worker keeps.
 _CACHE = 400_000
@@ -97,17 +98,22 @@ class Model:
 
 
 def training(docs: DataFrame, train: Column, sample: int = SAMPLE) -> list[tuple[str, str]]:
-    """Up to about ``sample`` texts of each language, drawn by a hash of doc_id from the rows
-    where ``train`` holds; with many languages fewer of each, and none longer than TEXT_BYTES.
-    The driver holds no more."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= TEXT_BYTES))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
+    """Up to ``sample`` different texts of each language, those of least hash of doc_id and text, from the
+    rows where ``train`` holds; with many languages fewer of each, but one at least. Texts of up to
+    TEXT_BYTES come first; of a longer one its beginning is learned. However often rows repeat, the
+    driver holds no more: first the hashes are drawn, then the texts that have them."""
+    long = (F.octet_length("text") > TEXT_BYTES).cast("int")
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", F.struct(long.alias("long"), F.xxhash64("doc_id", "text", F.lit("language")).alias("hash")).alias("mark"), "text")
+    once = rows.select("lang", "mark").distinct()
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return []
-    each = min(sample, EVERY // len(sizes))
-    rate = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)) * (1 << 20)
-    return sorted((r["text"], r["lang"]) for r in rows.filter(drawn).select("text", "lang").collect())
+    each = max(1, min(sample, EVERY // languages))
+    drawn = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("k") <= each).select("lang", "mark")
+    drawn = docs.sparkSession.createDataFrame(drawn.collect(), drawn.schema)  # at most EVERY rows, or one per language
+    texts = rows.select("lang", "mark", F.left("text", F.lit(TEXT_BYTES)).alias("text")).join(F.broadcast(drawn), ["lang", "mark"])
+    return sorted((r["text"], r["lang"]) for r in texts.groupBy("lang", "mark").agg(F.min("text").alias("text")).collect())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,9 @@ Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the
 driver. There the plan is made: for each length, longest first, the gap that it
 leaves is looked up in an index of the single, pair and triple sums of the lengths still
 available, and the combination is consumed as often as the counts allow; what has
-no exact complement goes by best fit. The plan says, for each run of ranks within a
+no exact complement goes by best fit. Pairs are listed by their sum; a triple is a length and
+a listed pair, as the sums of three of 2048 lengths have over a thousand million
+combinations. The plan says, for each run of ranks within a
 length, which sequences take those pieces and at which offset. Pieces get their rank
 within their length without meeting in one task: counts by (length, bucket), then
 ranks inside a bucket.
@@ -105,10 +107,17 @@ class Sums:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths with how many sequences follow each. For each length, longest first, the
-    gap that it leaves is looked up among the sums of one, two and three lengths that are left, and
-    a combination is consumed as often as the counts allow; what has no exact complement goes by
-    best fit, longest first."""
+    """Patterns of lengths with how many sequences follow each: of the plans whose complements
+    have up to three, two, one and no lengths the one of the fewest sequences. Exact complements use
+    up short lengths that best fit would need later, so where sums are scarce fewer of them are
+    better; the last of the plans is best fit alone, so no plan is worse than that."""
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(m for _, m in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """For each length, longest first, the gap that it leaves is looked up among the sums of one to
+    ``most`` lengths that are left, and a combination is consumed as often as the counts allow;
+    what has no exact complement goes by best fit, longest first."""
     sums = Sums(counts, capacity)
     have = sums.have
     out: list[tuple[tuple[int, ...], int]] = []
@@ -124,7 +133,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         gap = capacity - length
         while have[length] and not gap:
             take((length,))
-        for found in (lambda: sums.one(gap), lambda: sums.two(gap, (length,)), lambda: sums.three(gap, (length,))):
+        for found in (lambda: sums.one(gap), lambda: sums.two(gap, (length,)), lambda: sums.three(gap, (length,)))[:most]:
             while have[length] and gap and (others := found()) and sums.there((length, *others)):
                 take((length, *others))
         if have[length]:

@@ -122,36 +122,44 @@ class Chains:
         return chains
 
 
-def find(docs: DataFrame, column: str = "spans") -> DataFrame:
-    """``docs`` with a column of all spans, and ``base_<column>`` with the base ones only, by
-    start and kind."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """``_row``, ``base`` and ``every``: the row, and its base and all spans by start and kind."""
     chains = Chains.fit(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.withColumn("_base", F.struct(*[c.alias(k) for k, c in base_spans(text).items()]))
-    every = [F.col(f"_base.{k}") for k in KINDS[:3]]
-    base = base.withColumn(f"base_{column}", spans.by_start(F.concat(*every)))
-    found = spans.matches(text, _RANDOM % LEAST, 3, text.rlike("[A-Za-z0-9+/_=-]{%d}" % LEAST))
-    base = base.withColumn("_found", spans.apart(found, every))
-    added = F.when(F.size("_found") > 0, F.filter("_found", lambda s: chains.score(s["text"]) >= chains.least)).otherwise(spans.none())
-    base = base.withColumn("_added", added)
-    every = F.when(F.size("_added") > 0, spans.by_start(F.concat(f"base_{column}", "_added"))).otherwise(F.col(f"base_{column}"))
-    return base.withColumn(column, every).drop("_base", "_found", "_added")
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    found = common.as_row(docs).withColumn("kinds", F.struct(*[c.alias(k) for k, c in base_spans(text).items()]))
+    each = [F.col(f"kinds.{k}") for k in KINDS[:3]]
+    found = found.withColumn("base", spans.by_start(F.concat(*each)))
+    runs = spans.matches(text, _RANDOM % LEAST, 3, text.rlike("[A-Za-z0-9+/_=-]{%d}" % LEAST))
+    found = found.withColumn("runs", spans.apart(runs, each))
+    found = found.withColumn("added", F.when(F.size("runs") > 0, F.filter("runs", lambda s: chains.score(s["text"]) >= chains.least)).otherwise(spans.none()))
+    return found.select("_row", "base", F.when(F.size("added") > 0, spans.by_start(F.concat("base", "added"))).otherwise(F.col("base")).alias("every"))
+
+
+def find(docs: DataFrame, column: str = "spans") -> DataFrame:
+    """``docs`` with a column of all spans, and ``base_<column>`` with the base ones only, by start and
+    kind. Columns of these names are replaced; others stay, whatever their names and types."""
+    kept = [c for c in docs.columns if c not in (column, f"base_{column}")]
+    return _spans(docs).select(*common.from_row(kept), F.col("base").alias(f"base_{column}"), F.col("every").alias(column))
 
 
 def redact(docs: DataFrame, by: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced; all rows and columns stay, n_chars follows the text
-    if there is one. Null texts stay null."""
-    cut = find(docs, "_secrets").withColumn("text", spans.replaced(F.col("text"), F.col("_secrets"), by))
+    if there is one. Null texts stay null, repeated rows are cut each, overlapping spans are
+    replaced as one, a long text is cut whole, and an empty table stays empty."""
+    cut = _spans(docs).withColumn("text", spans.replaced(F.col("_row.text"), F.col("every"), by))
+    other = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        other["n_chars"] = F.when(F.size("every") > 0, F.length("text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*common.from_row(docs.columns, **other))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row.
 
-    Null texts count as empty and have no spans. Repeated rows are searched each; an empty
-    table gives no rows; columns but doc_id and text are not looked at."""
+    Null texts count as empty and have no spans. Repeated rows are searched each; of spans that
+    start together the kind that is listed first comes first; long texts are searched whole, in
+    time that grows little faster than they do. An empty table gives no rows; columns but doc_id
+    and text are not looked at."""
     found = find(docs.select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])], F.sha2(spans.joined(F.col("base_spans"), KINDS), 256).alias("base_sha256"), spans.joined(F.col("spans"), KINDS).alias("spans"))

@@ -64,13 +64,43 @@ class Boosted:
         self.slope, self.shift = float(w[0]), float(w[1])
         return self
 
-    def probability(self, features: dict[str, Column]) -> Column:
-        def column(tree) -> Column:
-            if not isinstance(tree, tuple):
-                return F.lit(tree)
-            return F.when(features[self.names[tree[0]]] <= tree[1], column(tree[2])).otherwise(column(tree[3]))
-
-        margin = F.lit(self.base)
-        for t in self.trees:
-            margin = margin + column(t)
+    def table(self) -> Column:
+        """The trees as one array literal. Each is a full tree of the greatest depth: node i has the
+        children 2i and 2i + 1, the number of a feature and its cut; a leaf above that depth stands
+        for all below it."""
+        depth = max(map(self._depth, self.trees), default=0)
+
+        def fill(tree, i: int, level: int, node: dict, leaf: dict) -> None:
+            if level == depth:
+                leaf[i] = tree
+                return
+            feature, cut, low, high = tree if isinstance(tree, tuple) else (0, 0.0, tree, tree)
+            node[i] = (feature + 1, cut)
+            fill(low, 2 * i, level + 1, node, leaf)
+            fill(high, 2 * i + 1, level + 1, node, leaf)
+
+        rows = []
+        for tree in self.trees:
+            node, leaf = {}, {}
+            fill(tree, 1, 0, node, leaf)
+            numbers = [",".join(str(node[i][0]) for i in sorted(node)), ",".join(f"{node[i][1]!r}D" for i in sorted(node)), ",".join(f"{leaf[i]!r}D" for i in sorted(leaf))]
+            rows.append("named_struct('feature',array({}),'cut',array({}),'leaf',array({}))".format(*numbers))
+        return F.expr(f"array({','.join(rows)})")
+
+    @classmethod
+    def _depth(cls, tree) -> int:
+        return 1 + max(cls._depth(t) for t in tree[2:]) if isinstance(tree, tuple) else 0
+
+    def probability(self, features: Column) -> Column:
+        """Of an array of the features, in the order of ``names``. The trees are data, so the
+        expression has the same few nodes whatever they are."""
+        depth = max(map(self._depth, self.trees), default=0)
+        if not depth:
+            return F.lit(1 / (1 + float(np.exp(-((self.base + sum(self.trees)) * self.slope + self.shift)))))
+
+        def leaf(t: Column) -> Column:
+            step = lambda i, _: 2 * i + (F.element_at(features, F.element_at(t["feature"], i)) > F.element_at(t["cut"], i)).cast("int")
+            return F.element_at(t["leaf"], F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), step) - F.lit((1 << depth) - 1))
+
+        margin = F.aggregate(self.table(), F.lit(self.base), lambda a, t: a + leaf(t))
         return 1 / (1 + F.exp(-(margin * self.slope + self.shift)))

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kelpline.llm import common, decontaminate, language, packing, private, quality, secrets, simhash, suffixes, token_files, tokens, toxicity
 
@@ -177,6 +178,34 @@ def test_plan_is_near_the_bound():
     assert sum(m for _, m in patterns) <= 1.01 * max(-(-total // 2048), half) + 1
 
 
+def best_fit_decreasing(counts, capacity):
+    """How many sequences plain best fit takes, longest first."""
+    gaps, n = Counter(), 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            gap = min((g for g in gaps if g >= length and gaps[g]), default=None)
+            if gap is None:
+                gap, n = capacity, n + 1
+            else:
+                gaps[gap] -= 1
+            gaps[gap - length] += 1
+    return n
+
+
+@pytest.mark.parametrize("draw", [lambda r: r.randrange(1, 2049), lambda r: max(1, min(2048, int(r.gauss(700, 120)))), lambda r: r.randrange(600, 1000), lambda r: r.randrange(500, 901), lambda r: r.randrange(20, 300)])
+def test_plan_is_never_worse_than_best_fit(draw):
+    rnd = random.Random(6)
+    counts = Counter(draw(rnd) for _ in range(5000))
+    patterns = packing.plan(dict(counts), 2048)
+    used = Counter()
+    for p, m in patterns:
+        assert sum(p) <= 2048 and m > 0
+        for x in p:
+            used[x] += m
+    assert used == counts
+    assert sum(m for _, m in patterns) <= best_fit_decreasing(counts, 2048)
+
+
 # ---- 4 ----
 def fingerprint(t):
     ws = re.findall("[^\x20\x09-\x0d]+", lower(t))
@@ -471,6 +500,17 @@ def test_language(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_repeated_ids(spark):
+    """All rows of few ids are learned from alike, an id that most rows share brings a bounded sample, and no language is left out."""
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 4 != 2][:8]
+    few = spark.createDataFrame([(ids[k % 8], f"hello world {k}", "en") for k in range(4000)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.identify(few).select("lang_pred").distinct().collect()} == {"en"}
+    hot = spark.range(100_000).selectExpr(f"{ids[0]} as doc_id", "concat('text number ', id % 70000) as text", "'en' as lang").unionByName(few.limit(1).selectExpr("doc_id", "repeat('lange worte ', 9000) as text", "'de' as lang"))
+    drawn = language.training(hot, F.lit(True), 200)
+    assert Counter(lang for _, lang in drawn) == {"en": 200, "de": 1} and max(len(t) for t, _ in drawn) <= language.TEXT_BYTES
+    assert len(set(drawn)) == len(drawn)
+
+
 def distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -127,7 +127,7 @@ def test_added_spans_plainly(spark):
         tail = re.search("[0-9]+$", t)
         return {
             "kind": kind, "digits": len(digits), "length": len(t), "groups": len(re.split("[^0-9]+", t)), "brackets": int(bool(re.search(r"[\[(]", t))), "hyphens": t.count("-"), "dots": t.count("."),
-            "marked": int(bool(re.search(r"(?i)@|[\[(](?:at|dot)[\])]", t))), "year": int(bool(re.search(r"(?:^|[^0-9])(?:1[89]|20)[0-9]{2}(?:[^0-9]|$)", t))), "tail": len(tail.group()) if tail else 0,
+            "marked": int(bool(re.search(r"(?i)@|[\[(](?:at|dot)[\])]", t))), "domain": int(bool(re.search(rf"(?i)(?:\.|dot)[)\]]? ?(?:{private._DOMAINS})$", t))), "lead": int(bool(re.search(r"^\(?0[1-9]", t))), "slash": int("/" in t), "year": int(bool(re.search(r"(?:^|[^0-9])(?:1[89]|20)[0-9]{2}(?:[^0-9]|$)", t))), "tail": len(tail.group()) if tail else 0,
             "letters": len(re.sub("[^A-Za-z]", "", t)), "phone_word": word(private._PHONE_WORDS), "mail_word": word(private._MAIL_WORDS), "id_word": word(private._ID_WORDS), "bank_word": word(private._BANK_WORDS),
             "glued": int(bool(re.match("[A-Za-z0-9.,/%-]", after))), "money": int(bool(re.search(r"[$€£#=/*]\s*$", before))),
         }
