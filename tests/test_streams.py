@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ def test_rejected_doesnt_bar(events):
 
 def test_last_and_daily(events):
     df, path = events
-    last = jobs.run_to_end(jobs.last_of_key(df, "chat", "created_at", "id"), f"{path}/o2", f"{path}/c2", "complete")
+    last = jobs.run_to_end(jobs.last_of_key(df, "chat", "created_at", "id"), f"{path}/o2", f"{path}/c2", "update")
     assert sorted((r["chat"], r["id"]) for r in last.collect()) == [(1, 3), (2, 4)]
     days = jobs.once_a_day(df.select("chat", F.date_format("created_at", "yyyy-MM-dd").alias("day")), "chat", "day")
     assert sorted(map(tuple, jobs.run_to_end(days, f"{path}/o3", f"{path}/c3").collect())) == [(1, "2024-01-01"), (2, "2024-01-02")]
@@ -47,6 +49,33 @@ def test_sessions(events):
     assert [tuple(r) for r in jobs.run_to_end(s, f"{path}/o5", f"{path}/c5").collect()] == [(1, 0, 1, 3)]
 
 
+def test_restart_late_rows_and_expiry(spark, tmp_path):
+    """State goes on after restarts, late rows don't undo later ones, and a key that nothing comes for is forgotten."""
+    land, out = str(tmp_path / "in"), {}
+
+    def batch(k, rows):
+        spark.createDataFrame(rows, "key int, at long, what string").coalesce(1).write.parquet(f"{land}/{k}")
+        df = jobs.files(spark, f"{land}/*", "key int, at long, what string")
+        jobs_of = {
+            "sessions": (jobs.sessions(df, "key", "at", "what"), "append"),
+            "last": (jobs.last_of_key(df, "key", "at", "what"), "update"),
+            "first": (jobs.first_arrival(df, ["key"], ["at"]), "append"),
+            "soon": (jobs.first_arrival(df, ["key"], ["at"], keep="1 second"), "append"),
+        }
+        for name, (job, mode) in jobs_of.items():
+            out[name] = jobs.run_to_end(job, str(tmp_path / name), str(tmp_path / f"{name}_state"), mode)
+
+    batch(0, [(1, 10, "open"), (2, 11, "x"), (1, 12, "x")])
+    time.sleep(1)
+    batch(1, [(1, 5, "x"), (1, 20, "close"), (2, 21, "open")])
+    time.sleep(1)
+    batch(2, [(2, 3, "close"), (1, 30, "open"), (3, 31, "x")])
+    assert sorted(map(tuple, out["sessions"].collect())) == [(1, 0, 10, 20), (2, 0, 21, 3)]
+    assert {(r["key"], r["at"]): r["batch"] for r in out["last"].collect()} == {(1, 12): 0, (2, 11): 0, (1, 20): 1, (2, 21): 1, (1, 30): 2, (3, 31): 2}
+    assert sorted(map(tuple, out["first"].collect())) == [(1, 10), (2, 11), (3, 31)]
+    assert sorted(map(tuple, out["soon"].collect())) == [(1, 5), (1, 10), (1, 30), (2, 3), (2, 11), (2, 21), (3, 31)]
+
+
 def test_routes(spark):
     df = spark.createDataFrame([(1.0, "p", None, "t"), (None, "p", "v", "t"), (None, None, "v", "t"), (None, None, None, "t"), (None, None, None, None)], "latitude double, photo_file_id string, voice_file_id string, message_text string")
     assert {k: v.count() for k, v in jobs.routes(df).items()} == {"location": 1, "photo": 1, "voice": 1, "text": 1}
