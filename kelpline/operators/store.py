@@ -7,6 +7,10 @@ row numbers are the same on each run.
 
 from __future__ import annotations
 
+import heapq
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -195,34 +199,53 @@ def balances(expenses: DataFrame, sessions: DataFrame) -> DataFrame:
     return total.withColumn("balance", (F.col("paid") - F.col("owed")).cast(_MONEY))
 
 
-def settlements(balance: DataFrame, least: float = 0.01) -> DataFrame:
-    """Who pays whom, by session: debtors by debt, each to the creditors in the order of what is
-    still due to them, equal amounts by name. A row holds the people of one session; debtors are
-    taken one after another by a fold over it, so nothing runs in Python."""
-    small, zero, money = F.lit(least).cast(_MONEY), F.lit(0).cast(_MONEY), lambda c: c.cast(_MONEY)
-    sums = lambda a: F.aggregate(a, zero, lambda x, c: money(x + c["due"]))
-    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda c: F.struct(money(-c["due"]).alias("k"), c["name"].alias("name")))), lambda c: F.struct(money(-c["k"]).alias("due"), c["name"].alias("name")))
-    side = lambda sign: F.filter(F.collect_list(F.struct(money(F.col("balance") * sign).alias("due"), "name")), lambda c: c["due"] > small)
-    people = balance.groupBy("session_id").agg(side(1).alias("due"), side(-1).alias("debts"))
+def settled(people: list[tuple[str, Decimal]], least: Decimal) -> list[tuple[str, str, Decimal]]:
+    """(debtor, creditor, amount) of one session's balances: debtors by debt, each to the creditors
+    in the order of what is still due to them, equal amounts by name. Creditors wait in a heap."""
+    due = [(-x, name) for name, x in people if x > least]
+    heapq.heapify(due)
+    moves = []
+    for debt, debtor in sorted((x, name) for name, x in people if -x > least):
+        rest = -debt
+        while due and rest > least:
+            most, creditor = heapq.heappop(due)
+            amount = min(rest, -most)
+            moves.append((debtor, creditor, amount))
+            rest -= amount
+            if -most - amount > least:
+                heapq.heappush(due, (most + amount, creditor))
+    return moves
 
-    def step(acc: Column, debtor: Column) -> Column:
-        due = order(acc["due"])
 
-        def pay(c: Column, i: Column) -> Column:
-            rest = money(debtor["due"] - sums(F.slice(due, 1, i)))
-            return F.when((c["due"] > small) & (rest > small), F.least(rest, c["due"])).otherwise(zero)
+def settlements(balance: DataFrame, least: float = 0.01) -> DataFrame:
+    """Who pays whom, by session (``settled``). The people of one session meet in a task, as who pays next
+    depends on all before; a session of n people takes n log n steps. Rows of one name are one."""
+    bound, money = Decimal(str(least)), pa.decimal128(20, 6)
 
-        paid = F.transform(due, pay)
-        left = F.zip_with(due, paid, lambda c, x: F.struct(money(c["due"] - x).alias("due"), c["name"].alias("name")))
-        new = F.filter(F.zip_with(due, paid, lambda c, x: F.struct(debtor["name"].alias("debtor"), c["name"].alias("creditor"), x.alias("amount"))), lambda x: x["amount"] > zero)
-        return F.struct(left.alias("due"), F.concat(acc["out"], new).alias("out"))
+    def run(table: pa.Table) -> pa.Table:
+        moves = settled(list(zip(table.column("name").to_pylist(), table.column("balance").to_pylist(), strict=True)), bound)
+        columns = list(zip(*moves, strict=True)) or [(), (), ()]
+        session = pa.array([table.column("session_id")[0].as_py()] * len(moves), table.schema.field("session_id").type)
+        return pa.table([session, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], money)], names=["session_id", "debtor", "creditor", "amount"])
 
-    start = F.struct(F.col("due"), F.array().cast(f"array<struct<debtor:string,creditor:string,amount:{_MONEY}>>").alias("out"))
-    moves = people.select("session_id", F.explode(F.aggregate(order(F.col("debts")), start, step, lambda acc: acc["out"])).alias("m"))
-    return moves.select("session_id", "m.debtor", "m.creditor", F.round("m.amount", 2).cast("double").alias("amount"))
+    kind = balance.schema["session_id"].dataType.simpleString()
+    people = balance.groupBy("session_id", "name").agg(F.sum("balance").cast(_MONEY).alias("balance")).filter(F.abs("balance") > F.lit(bound))
+    moves = people.groupBy("session_id").applyInArrow(run, f"session_id {kind}, debtor string, creditor string, amount {_MONEY}")
+    return moves.select("session_id", "debtor", "creditor", F.round("amount", 2).cast("double").alias("amount"))
 
 
 def receipts_once(expenses: DataFrame, keys: list[str], file: str, *arrival: Column) -> DataFrame:
     """The first expense of each photo of a receipt; expenses without a photo all stay."""
     with_file = expenses.filter(F.col(file).isNotNull())
     return earliest(with_file, [*keys, file], *arrival).unionByName(expenses.filter(F.col(file).isNull()))
+
+
+def due_for(events: DataFrame, schedules: DataFrame, minute: Column, at: Column, within: int = 5) -> DataFrame:
+    """Pairs of an event and a schedule whose minutes of the day are within some minutes, both ends included and not
+    across midnight. Minutes are cut into bins as wide as the reach; a schedule goes to the bins
+    that it reaches into, two or three, so the join is on equality of bins."""
+    width = 2 * within + 1
+    e = events.withColumn("_minute", minute).withColumn("_bin", F.floor(F.col("_minute") / width))
+    s = schedules.withColumn("_at", at).filter("_at is not null")
+    s = s.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_at") - within) / width), F.floor((F.col("_at") + within) / width))))
+    return e.join(s, "_bin").filter(F.abs(F.col("_minute") - F.col("_at")) <= within).drop("_bin", "_minute", "_at")

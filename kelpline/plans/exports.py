@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kelpline.functions import phash, rules, text
 from kelpline.operators import intake, store
 from kelpline.plans.queries import Tables, query
-from kelpline.sources import html_export, readers, sinks
+from kelpline.sources import buckets, html_export, readers, sinks
 from kelpline.sources.scratch import scratch_path
 
 
@@ -390,3 +390,19 @@ def active_sessions(t):
 def expenses_in_order(t):
     e = t("orders").select((F.col("o_orderkey") % 50).alias("session_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
     return store.session_expenses(e).select("session_id", "id", "place")
+
+
+@query("""with o as (select c_custkey, c_name, c_acctbal, c_mktsegment from customer),
+u as (select s_suppkey as c_custkey, s_name as c_name, s_acctbal as c_acctbal, case when s_suppkey%2=0 then s_name end as c_mktsegment from supplier),
+m as (select c_custkey, coalesce(u.c_name, o.c_name) as c_name, coalesce(u.c_acctbal, o.c_acctbal) as c_acctbal, coalesce(u.c_mktsegment, o.c_mktsegment) as c_mktsegment from o full join u using (c_custkey))
+select c_custkey, c_name, case when n.c is not null then n.c else c_acctbal end as c_acctbal, c_mktsegment from m left join (select n_nationkey as c_custkey, cast(n_nationkey as double) as c from nation) n using (c_custkey) where c_custkey not in (select r_regionkey from region)""")
+def bucketed_writes(t):
+    """An upsert, an update and a delete of customers in place: only the folders of their keys are written."""
+    people = t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    spark, path = people.sparkSession, scratch_path(people.sparkSession, "bucketed")
+    buckets.create(people, path, ["c_custkey"], 32)
+    came = t("supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("c_mktsegment"))
+    buckets.upsert(spark, path, ["c_custkey"], 32, came, ["c_mktsegment"])
+    buckets.update(spark, path, ["c_custkey"], 32, t("nation").select(F.col("n_nationkey").cast("long").alias("c_custkey"), F.col("n_nationkey").cast("double").alias("c_acctbal")))
+    buckets.delete(spark, path, ["c_custkey"], 32, t("region").select(F.col("r_regionkey").cast("long").alias("c_custkey")))
+    return buckets.read(spark, path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpline.functions import rules, text
-from kelpline.operators import clusters, curation, evaluation, intake, search, store
+from kelpline.operators import clusters, curation, evaluation, intake, membership, search, store
 from kelpline.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,17 +276,18 @@ def _sign_code(first: int, count: int):
     return F.aggregate(F.slice("embedding", first + 1, count), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x >= 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
 
 
-_BITS32 = "list_sum(list_transform(list_zip(a.embedding[1:32],b.embedding[1:32]), lambda z: cast((z[1]>=0)<>(z[2]>=0) as int)))"
+_BITS64 = "list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: cast((z[1]>=0)<>(z[2]>=0) as int)))"
 
 
-@query(f"select a.vec_id as a, b.vec_id as b, cast({_BITS32} as int) as distance from embeddings a join embeddings b on a.vec_id<b.vec_id where {_BITS32}<=5")
+@query(f"select a.vec_id as a, b.vec_id as b, cast({_BITS64} as int) as distance from embeddings a join embeddings b on a.vec_id<b.vec_id where {_BITS64}<=16")
 def near_dup_pairs(t):
-    codes = t("embeddings").select("vec_id", _sign_code(0, 32).alias("code"))
-    return clusters.near_pairs(codes, "vec_id", "code", 5, bits=32)
+    """A smaller radius than near_dup_pairs_64."""
+    codes = t("embeddings").select("vec_id", _sign_code(0, 64).alias("code"))
+    return clusters.near_pairs(codes, "vec_id", "code", 16)
 
 
 @query(f"""
-with recursive p as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id<b.vec_id where {_BITS32}<=5),
+with recursive p as (select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id<b.vec_id where {_BITS64}<=16),
 e as (select a as x, b as y from p union select b, a from p),
 c as (select x as node, x as root from e union select c.node, e.y from c join e on c.root=e.x)
 select node, min(root) as component from c group by 1""")
@@ -434,6 +435,26 @@ def schedule_match(t):
     return e.join(F.broadcast(times), rules.due(rules.minute_of_day(F.col("ts")), F.col("at"), sent, today)).select("event_id", "id")
 
 
+@query("""with s as (select c_custkey, (c_custkey*37)%1440 as m from customer), e as (select event_id, hour(ts)*60+minute(ts) as m from events)
+select c_custkey, count(*) as due, min(event_id) as first_event from e join s on abs(e.m-s.m)<=5 group by 1""")
+def customer_schedules(t):
+    """Every customer has a time of day; all events that are due for it."""
+    at = (F.col("c_custkey") * 37) % 1440
+    times = t("customer").select("c_custkey", F.format_string("%02d:%02d", F.floor(at / 60), at % 60).alias("at"))
+    pairs = store.due_for(t("events").select("event_id", "ts"), times, rules.minute_of_day(F.col("ts")), rules.schedule_minutes(F.col("at")))
+    return pairs.groupBy("c_custkey").agg(F.count("*").alias("due"), F.min("event_id").alias("first_event"))
+
+
+@query("""select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size <= 25)""")
+def unseen_by_filter(t):
+    """Lines of parts that aren't known, the known ones as two landed batches with a filter each."""
+    known = t("part").filter("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"))
+    paths = [scratch_path(known.sparkSession, "filter") for _ in range(2)]
+    for odd, path in enumerate(paths):
+        membership.write_filter(t("part").filter(F.col("p_size").between(13 * odd, 12 + 13 * odd)).select(F.col("p_partkey").alias("l_partkey")), "l_partkey", path)
+    return membership.unseen(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", known, paths).drop("l_partkey")
+
+
 # ---------- curation ----------
 _SPLIT_SQL = """with r as (select doc_id, lang, row_number() over (partition by lang order by md5('42:'||doc_id), doc_id) as r, count(*) over (partition by lang) as n from documents),
  s as (select *, greatest(1, cast(floor(n*0.7::double) as int)) as t, greatest(1, cast(floor(n*0.15::double) as int)) as v0 from r),
