@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from kelpline.functions import phash, rules, text
 from kelpline.operators import intake, store
 from kelpline.plans.queries import Tables, query
-from kelpline.sources import buckets, html_export, readers, sinks
+from kelpline.sources import buckets, html_export, paged, readers, sinks
 from kelpline.sources.scratch import scratch_path
+from kelpline.streaming import jobs
 
 
 def _folder(df: DataFrame, name: str) -> str:
@@ -184,6 +185,43 @@ def paged_occurrences(t):
     return found.select("key", "species", F.regexp_extract(F.col("m.identifier"), "([0-9]+)$", 1).try_cast("long").alias("first_media"))
 
 
+def _page_files(t):
+    """(path, content, off): pages of 50 parts as files that are named by their offset; every fifth says it is the last."""
+    p = t("part").withColumn("off", F.floor(F.col("p_partkey") / 50) * 50)
+    medium = F.struct(F.lit("StillImage").alias("type"), F.concat(F.lit("http://x/"), "p_partkey").alias("identifier"), F.lit("c").alias("license"), F.lit(None).cast("string").alias("creator"))
+    page = p.groupBy("off").agg(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("key"), F.col("p_brand").alias("species"), F.when(F.col("p_partkey") % 4 != 1, F.array(medium)).alias("media")))).alias("results"))
+    content = F.to_json(F.struct(F.col("off").alias("offset"), (F.col("off") % 250 == 200).alias("endOfRecords"), "results"))
+    return page.select(F.format_string("%012d.json", F.col("off")).alias("path"), content.alias("content"), "off")
+
+
+_PAGES = "select p_partkey as key, p_brand as species, case when p_partkey%4<>1 then 'http://x/'||p_partkey end as address from part"
+
+
+@query(f"""with m as (select p_partkey//50*50 as off, * from part), last as (select min(off) as o from m where off%250=200)
+select * from ({_PAGES}) where key in (select p_partkey from m, last where last.o is null or off<=last.o)""")
+def paged_source(t):
+    """Pages through the data source, a range of them per task, up to the first that says it is the last."""
+    pages = _page_files(t)
+    path = scratch_path(pages.sparkSession, "pages")
+    sinks.files(pages.select("path", "content"), path)
+    found = paged.up_to_last(paged.read(pages.sparkSession, path, limit="50", pages="4"))
+    return found.select("key", "species", F.col("media")[0]["identifier"].alias("address"))
+
+
+@query(_PAGES)
+def paged_stream(t):
+    """Pages as they land, in two runs with a restart between: the second run asks for none of the first's."""
+    pages = _page_files(t)
+    spark = pages.sparkSession
+    path, out, state = (scratch_path(spark, f"pages_{x}") for x in ("in", "out", "state"))
+    half = pages.agg(F.floor(F.max("off") / 2).alias("h")).first()["h"]
+    found = None
+    for part in (pages.filter(F.col("off") <= half), pages.filter(F.col("off") > half)):
+        sinks.files(part.select("path", "content"), path)
+        found = jobs.run_to_end(paged.stream(spark, path, limit="50", pages="4"), out, state)
+    return found.select("key", "species", F.col("media")[0]["identifier"].alias("address"))
+
+
 @query("""with o as (select o_custkey as id, list({'k': o_orderkey, 'free': o_orderkey%4=0} order by o_orderkey) as p from orders group by 1),
 f as (select id, list_filter(p[1:3], lambda x: x.free) as f from o)
 select id, case when len(f)>0 then f[1].k end as photo from f""")

@@ -3,8 +3,8 @@ schema; nothing is inferred from data."""
 
 from __future__ import annotations
 
-import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.text import has_suffix, page_number
 from kelpline.schemas import TABLES, with_columns_of
+from kelpline.sources.scratch import stored
 
 # Which files count as images, by step.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp")
@@ -72,32 +73,121 @@ def images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = IMAGES, r
     return found.filter(has_suffix(F.col("path"), suffixes)).select("path", F.element_at(F.split("path", "/"), -2).alias("cls"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), "length")
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, entry, content) of the files in landed archives; an archive is unpacked by one task,
-    entry by entry. Folders are left out, and what isn't a sound archive has no rows."""
+#: Bytes of packed entries that one task reads.
+ZIP_TASK = 64 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def zip_entries(spark: SparkSession, path: str, task_bytes: int = ZIP_TASK) -> DataFrame:
+    """(archive, entry, content) of the files in landed archives. Only an archive's directory is read to plan: entries
+    are dealt to tasks by their packed bytes, and a task reads the ranges of its own, so one large
+    archive is unpacked by many tasks and none holds a whole one. Folders are left out, and what
+    isn't a sound archive has no rows."""
+
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name in batch.column(0).to_pylist():
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                    with _opened(name) as f, zipfile.ZipFile(f) as archive:
+                        entries = [e for e in archive.infolist() if not e.is_dir()]
+                except (zipfile.BadZipFile, pa.ArrowInvalid):  # too short to have a directory
                     continue
-                for entry in archive.infolist():
-                    if not entry.is_dir():
-                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([entry.filename]), pa.array([archive.read(entry)], pa.binary())], names=["archive", "entry", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(entries), pa.string()), pa.array([e.filename for e in entries], pa.string()), pa.array([e.header_offset for e in entries], pa.int64()), pa.array([e.compress_size for e in entries], pa.int64())], names=["path", "entry", "at", "packed"])
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content").mapInArrow(run, "archive string, entry string, content binary")
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list[int]] = {}
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.setdefault(name, []).append(at)
+            for name, places in rows.items():
+                with _opened(name) as f, zipfile.ZipFile(f) as archive:
+                    by_place = {e.header_offset: e for e in archive.infolist()}
+                    for at in sorted(places):
+                        entry = by_place[at]
+                        yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]]), pa.array([entry.filename]), pa.array([archive.read(entry)], pa.binary())], names=["archive", "entry", "content"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    entries = stored(found.mapInArrow(directory, "path string, entry string, at long, packed long"), "entries")
+    total = entries.agg(F.coalesce(F.sum("packed"), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
+    tasks = max(1, min(total["c"], max(-(-total["n"] // task_bytes), spark.sparkContext.defaultParallelism)))
+    return entries.select("path", "at").repartition(tasks, "path", "at").mapInArrow(unpack, "archive string, entry string, content binary")
+
+
+def _opened(path: str):
+    """A file of a store that ``pyarrow.fs`` opens, for reads of ranges."""
+    from pyarrow import fs
+
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def image_size(head: bytes) -> tuple[int, int] | None:
+    """Width and height from the first bytes of a JPEG, PNG, GIF, BMP or WebP file; None if they don't say."""
+    try:
+        if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
+            return struct.unpack(">II", head[16:24])
+        if head[:6] in (b"GIF87a", b"GIF89a"):
+            return struct.unpack("<HH", head[6:10])
+        if head[:2] == b"BM":
+            width, height = struct.unpack("<ii", head[18:26])
+            return width, abs(height)
+        if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+            if head[12:16] == b"VP8X":
+                return 1 + int.from_bytes(head[24:27], "little"), 1 + int.from_bytes(head[27:30], "little")
+            if head[12:16] == b"VP8L":
+                bits = int.from_bytes(head[21:25], "little")
+                return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+            if head[12:16] == b"VP8 ":
+                width, height = struct.unpack("<HH", head[26:30])
+                return width & 0x3FFF, height & 0x3FFF
+        if head[:2] == b"\xff\xd8":
+            at = 2
+            while at + 9 <= len(head):
+                if head[at] != 0xFF:
+                    return None
+                kind = head[at + 1]
+                if kind == 0xFF:  # filling
+                    at += 1
+                elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                    height, width = struct.unpack(">HH", head[at + 5 : at + 9])
+                    return width, height
+                else:
+                    at += 2 if kind == 1 or 0xD0 <= kind <= 0xD8 else 2 + int.from_bytes(head[at + 2 : at + 4], "big")
+    except struct.error:
+        pass
+    return None
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """filename, content, width and height; -1 for files that can't be decoded."""
-    decoded = spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("path"), "image.width", "image.height")
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    plain = lambda c: F.regexp_replace(F.url_decode(c), r"^file:/+", "/")
-    joined = raw.withColumn("_p", plain(F.col("path"))).join(decoded.select(plain(F.col("path")).alias("_p"), "width", "height"), "_p", "left")
-    return joined.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content", "width", "height")
+    """filename, content, width and height; -1 for files that can't be decoded. Files are read once: sizes are
+    in their first bytes, no pixel is decoded for them, and a file counts as whole if it ends as its format does. A file whose
+    header says nothing has -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = batch.column(1).to_pylist()
+            sizes = [image_size(c) if _ends(c) else None for c in content]
+            width, height = ([s[k] if s and s[0] > 0 and s[1] > 0 else -1 for s in sizes] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(width, pa.int32()), pa.array(height, pa.int32())], names=["filename", "content", "width", "height"])
+
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content").mapInArrow(run, "filename string, content binary, width int, height int")
+
+
+def _ends(content: bytes) -> bool:
+    """Whether a file has the end of its format, so that none is taken for whole that was cut off."""
+    if content[:2] == b"\xff\xd8":
+        return b"\xff\xd9" in content[-64:]
+    if content[:4] == b"\x89PNG":
+        return b"IEND" in content[-64:]
+    if content[:3] == b"GIF":
+        return b";" in content[-8:]
+    if content[:2] == b"BM":
+        return len(content) >= int.from_bytes(content[2:6], "little")
+    if content[:4] == b"RIFF":
+        return len(content) >= 8 + int.from_bytes(content[4:8], "little")
+    return False
 
 
 def label_lines(spark: SparkSession, path: str) -> DataFrame:
