@@ -21,6 +21,8 @@ from kelpline.llm import common
 
 #: Bounds of the training sample: texts of a language, and of all languages together; length of one.
 SAMPLE, EVERY, TEXT_BYTES = 500, 8000, 32 << 10
+#: Groups that the hashes of a language are drawn in at first.
+GROUPS = 64
 LONGEST, UNKNOWN = 5, "und"
 #: Words whose scores a worker keeps.
 _CACHE = 400_000
@@ -110,7 +112,10 @@ def training(docs: DataFrame, train: Column, sample: int = SAMPLE) -> list[tuple
     if not languages:
         return []
     each = max(1, min(sample, EVERY // languages))
-    drawn = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("k") <= each).select("lang", "mark")
+    drawn = once.withColumn("group", F.pmod(F.col("mark.hash"), F.lit(GROUPS)))
+    for by in (["lang", "group"], ["lang"]):  # the least of each group first, so that few rows of a language meet
+        drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("mark"))).filter(F.col("k") <= each)
+    drawn = drawn.select("lang", "mark")
     drawn = docs.sparkSession.createDataFrame(drawn.collect(), drawn.schema)  # at most EVERY rows, or one per language
     texts = rows.select("lang", "mark", F.left("text", F.lit(TEXT_BYTES)).alias("text")).join(F.broadcast(drawn), ["lang", "mark"])
     return sorted((r["text"], r["lang"]) for r in texts.groupBy("lang", "mark").agg(F.min("text").alias("text")).collect())
