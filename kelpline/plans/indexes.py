@@ -13,8 +13,15 @@ from kelpline.operators import text_index
 from kelpline.sources.scratch import scratch_path
 
 
+#: Where the index over a folder of tables is, by application: it is built once and asked by several queries.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def maintained(spark: SparkSession, sf_dir: str) -> str:
-    """The index after the three batches."""
+    """The index after the three batches; built if this application has not, or if its folder is gone."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known in _BUILT and len(text_index.segments(spark, _BUILT[known])) == 3:
+        return _BUILT[known]
     path = scratch_path(spark, "text_index")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text", "lang", "n_chars")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((-1 - 1000 * F.col("conv_id") - F.col("turn")).alias("key"), "text")
@@ -25,6 +32,7 @@ def maintained(spark: SparkSession, sf_dir: str) -> str:
     text_index.apply_changes(first.unionByName(change(turns, F.col("text"), False, 0)), path, 1)
     gone = docs.filter("n_chars < 300")
     text_index.apply_changes(change(gone, F.lit(None).cast("string"), True, 0).unionByName(change(gone.select((F.col("key") + 1_000_000_000).alias("key")), F.lit(None).cast("string"), True, 0)), path, 2)
+    _BUILT[known] = path
     return path
 
 
