@@ -36,8 +36,8 @@ from kelpline.llm import common
 #: Bytes of a window, of an anchor; bytes of texts in a chunk (a longer text is cut into several), and that are worked on at a time.
 WINDOW, ANCHOR = 50, 24
 CHUNK, BLOCK = 4 << 20, 1 << 18
-#: Bytes that a task of the filter and of the sort gets, about; chunks and suffixes of the sample that divides the ranges.
-HASHES, ENTRIES, SAMPLE = 16 << 20, 12 << 20, (16, 256)
+#: Bytes that a task of the filter and of the sort gets, about; chunks at least and suffixes of each for the sample that divides the ranges; suffixes of it for a range.
+HASHES, ENTRIES, SAMPLE, PER_RANGE = 16 << 20, 12 << 20, (16, 256), 16
 _SIDE = WINDOW - ANCHOR  # bytes on each side of an anchor that its windows can reach
 _CONTEXT = _SIDE + WINDOW
 _ENTRY = _CONTEXT + 2 + 8
@@ -207,10 +207,10 @@ class Passes:
         columns = digits(rows)
         r = Radix(n).by(columns)
         self.of = r.groups()[of]
-        self.rows, lead = rows[r.order[r.new]], columns[0][r.order[r.new]]
+        self.rows = rows[r.order[r.new]]
         self.least = _least(self.of, self.ids)
-        self.ranges = np.searchsorted(lead, edges) if edges is not None else np.zeros(0, np.int64)
-        self.ranges = np.concatenate([[0], self.ranges, [len(lead)]])
+        self.ranges = np.searchsorted(_anchors(self.rows), edges) if edges is not None else np.zeros(0, np.int64)
+        self.ranges = np.concatenate([[0], self.ranges, [len(self.rows)]])
         if "masks2" not in row:
             return
         self.bits = np.zeros(len(self.rows), np.uint32)
@@ -337,9 +337,16 @@ def _chunked(docs: DataFrame, partitions: int) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def _anchors(rows: np.ndarray) -> np.ndarray:
+    """The first bytes of each row, an anchor's, as values that compare as these bytes do."""
+    return np.ascontiguousarray(rows[:, :ANCHOR]).view(f"S{ANCHOR}").ravel()
+
+
 def _edges(chunks: DataFrame, n: int, ranges: int) -> np.ndarray:
-    """Where ranges of the first eight bytes of suffixes begin, from a sample of bounded size."""
-    some, each = SAMPLE
+    """Where ranges of suffixes begin, by all the bytes of their anchors, from a sample of some suffixes for
+    each range. Suffixes of one anchor are compared together, so a range is not cut further."""
+    least, each = SAMPLE
+    some = max(least, -(-ranges * PER_RANGE // each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,12 +354,12 @@ def _edges(chunks: DataFrame, n: int, ranges: int) -> np.ndarray:
                 row = batch.slice(i, 1).to_pylist()[0]
                 c = Passes(row, 1).chunk
                 at = np.arange(len(c.place))[:: max(1, len(c.place) // each)][:each]
-                lead = digits(c.contexts(at)[:, :8])[0] if len(at) else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64))], names=["lead"])
+                lead = _anchors(c.contexts(at)).tolist() if len(at) else []
+                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary())], names=["lead"])
 
     rate = max(1, -(-n // some))
     drawn = chunks.select("doc_ids", "lengths", "data").filter(F.pmod(F.xxhash64("chunk", F.lit("sample")), F.lit(rate)) == 0).limit(4 * some)
-    found = np.sort(np.array([r["lead"] for r in common.mapped(drawn, run, "lead long").collect()], np.int64).view(np.uint64))
+    found = np.sort(np.array([bytes(r["lead"]) for r in common.mapped(drawn, run, "lead binary").collect()], f"S{ANCHOR}"))
     return np.unique(found[np.arange(1, ranges) * len(found) // ranges]) if len(found) else found
 
 

@@ -96,6 +96,23 @@ def test_anchors_by_blocks(monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+@pytest.mark.parametrize("same", [0, 8, 20])
+def test_ranges_of_one_beginning(spark, same):
+    """Suffixes that all begin with the same bytes are dealt to many ranges all the same, by the rest of their anchors."""
+    rnd = random.Random(same)
+    texts = ["".join("<div class=name and so"[:same] + "".join(rnd.choice("abcdefghijklmnop") for _ in range(30 - same)) for _ in range(200)) for _ in range(40)]
+    chunks, name = suffixes._chunked(table(spark, list(enumerate(texts))), 4)
+    edges = suffixes._edges(chunks, chunks.count(), 16)
+    assert len(edges) >= 12
+    sizes = np.zeros(len(edges) + 1, np.int64)
+    for row in chunks.collect():
+        c = suffixes.Passes(row.asDict(), 1).chunk
+        leads = np.unique(suffixes._anchors(c.contexts(np.arange(len(c.place)))))
+        sizes += np.diff([0, *np.searchsorted(leads, edges), len(leads)])
+    assert sizes.max() <= 3 * np.median(sizes)
+    spark.sql(f"drop table {name}")
+
+
 def test_one_byte_text(spark):
     """Texts of one byte over several chunks."""
     rows = [(1, "a" * 4_300_000), (2, "b" + "a" * 100_000 + "c" * 49), (3, "c" * 49)]
