@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpline.functions.text import like_folded
+from kelpline.sources.scratch import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Folders of a stored index.
@@ -93,6 +94,18 @@ def bm25(hits: DataFrame, size: DataFrame, key: str, term: str = "token") -> Dat
     return hits.join(F.broadcast(df), term).crossJoin(F.broadcast(size)).groupBy(key).agg((-F.sum(part)).alias("rank"))
 
 
+def bm25_words(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """``bm25`` of all documents with any of the words. Each text is looked at once: its length and
+    counts are stored, and the corpus' size, frequencies and scores come from these."""
+    words = list(dict.fromkeys(words))
+    s = F.col("_s")
+    spaced = docs.select(key, _spaced(text).alias("_s"))
+    counts = F.array(*[F.struct(F.lit(w).alias("token"), F.when(s.contains(f" {w} "), _times(s, [w])).otherwise(F.lit(0).cast("long")).alias("tf")) for w in words])
+    one = stored(spaced.select(key, _length(s).alias("length"), F.filter(counts, lambda c: c["tf"] > 0).alias("_c")), "counted")
+    size = one.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    return bm25(one.select(key, "length", F.explode("_c").alias("_c")).select(key, "length", "_c.*"), size, key)
+
+
 def top(ranked: DataFrame, key: str, n: int) -> DataFrame:
     """The n most relevant."""
     return ranked.orderBy("rank", key).limit(n)
@@ -132,13 +145,12 @@ def substring_hits(docs: DataFrame, text: str, query: str) -> DataFrame:
 
 
 def cascade(stages: list[DataFrame]) -> DataFrame:
-    """The rows of the first stage that has any; all have the same columns."""
-    tagged = [s.withColumn("stage", F.lit(i + 1)) for i, s in enumerate(stages)]
-    rows = tagged[0]
-    for s in tagged[1:]:
-        rows = rows.unionByName(s)
-    first = rows.agg(F.min("stage").alias("_first"))
-    return rows.join(F.broadcast(first), rows["stage"] == first["_first"]).drop("_first")
+    """The rows of the first stage that has any, with its number; all have the same columns. A stage is
+    asked for one row, and those after the first that has one are never run."""
+    for i, rows in enumerate(stages):
+        if i == len(stages) - 1 or not rows.isEmpty():
+            return rows.withColumn("stage", F.lit(i + 1))
+    raise ValueError("a cascade has stages")
 
 
 def context(hits: DataFrame, recent: DataFrame, text: str, order: list[Column], most: int = 8, clip: int = 200, prefix: int = 100) -> DataFrame:

@@ -678,8 +678,7 @@ def text_search_like(t):
  d as (select token, count(*) as df from h group by 1), s as (select count(*) as docs, avg(len(t)) as mean from tk)
 select doc_id, round(-sum((case when ln((docs-df+0.5)/(df+0.5))>0 then ln((docs-df+0.5)/(df+0.5)) else 1e-6 end)*tf*2.2/(tf+1.2*(0.25+0.75*length/mean))),6) as rank from h join d using (token) cross join s group by 1""")
 def bm25(t):
-    hits = search.any_word(t("documents"), "doc_id", "text", ["idiot", "the", "worthless"])
-    return search.bm25(hits, search.corpus_size(t("documents"), "text"), "doc_id").select("doc_id", F.round("rank", 6).alias("rank"))
+    return search.bm25_words(t("documents"), "doc_id", "text", ["idiot", "the", "worthless"]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""with {_TOK}, h as (select a.doc_id, count(*) as tf, max(a.length) as length from ix a join ix b on a.doc_id=b.doc_id and b.position=a.position+1 where a.token='of' and b.token='the' group by 1),
