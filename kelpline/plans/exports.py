@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.functions import phash, rules, text
-from kelpline.operators import intake, store
+from kelpline.operators import clusters, intake, store
 from kelpline.plans.queries import Tables, query
 from kelpline.sources import buckets, html_export, paged, readers, sinks
-from kelpline.sources.scratch import scratch_path
+from kelpline.sources.scratch import scratch_path, stored
 from kelpline.streaming import jobs
 
 
@@ -119,6 +119,31 @@ def image_hashes(t):
     return phash.with_phash(images).select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), "phash")
 
 
+@query()
+def image_clusters(t):
+    """From image files to the rows of the cluster file: perceptual hashes, pairs within 8 bits, and of each
+    cluster the largest image kept. No SQL computes the hashes; a test has all pairs."""
+    made, path = _pictures(t)
+    images = made.sparkSession.read.format("image").option("dropInvalid", "true").load(path)
+    hashes = stored(phash.with_phash(images).select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), F.greatest("image.width", "image.height").alias("max_side"), "phash"), "hashes")
+    members = clusters.near_clusters(clusters.near_pairs(hashes, "filename", "phash", 8))
+    rows = hashes.join(members.select(F.col("node").alias("filename"), "component"), "filename").withColumn("msg_id", F.lit(None).cast("long"))
+    return clusters.clustered(rows, "component", "filename", clusters.perceptual_order(), "perceptual")
+
+
+_BLOCKED = " or ".join(f"contains(lower(text), '{w}')" for w in rules.BLOCKED_TITLES)
+
+
+@query(f"select doc_id, ({_BLOCKED}) as blocked from documents where text is not null")
+def blocked_titles(t):
+    """Titles with a word that image searches return for other things."""
+    low = F.lower("text")
+    found = F.lit(False)
+    for w in rules.BLOCKED_TITLES:
+        found = found | low.contains(w)
+    return t("documents").filter("text is not null").select("doc_id", found.alias("blocked"))
+
+
 @query("""select n_nationkey as k, n_name as name, cast(n_regionkey as varchar) as region from nation where n_nationkey%5<>4""")
 def naive_csv_scan(t):
     """Lines without quoting, a header in each file, and lines that are too short."""

@@ -114,3 +114,26 @@ def test_sizes_from_heads(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Scan") == 1
     assert os.path.isdir(tmp_path)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_clusters_from_image_files(spark):
+    """The cluster rows of the pictures against all pairs of their hashes."""
+    from kelpline.plans.registry import QUERIES
+
+    hashes = {r["filename"]: r["phash"] for r in QUERIES["image_hashes"](spark, "/root/testdata/sf0.001").collect() if r["phash"] is not None}
+    root = {f: f for f in hashes}
+    for a in sorted(hashes):
+        for b in sorted(hashes):
+            if a < b and ((hashes[a] ^ hashes[b]) & (1 << 64) - 1).bit_count() <= 8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {f: new if r == old else r for f, r in root.items()}
+    members = {}
+    for f, r in root.items():
+        members.setdefault(r, set()).add(f)
+    rows = QUERIES["image_clusters"](spark, "/root/testdata/sf0.001").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["cluster_id"], set()).add(r["filename"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if len(m) > 1)
+    assert sum(r["keep"] for r in rows) == len(got) > 0
