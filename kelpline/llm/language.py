@@ -52,10 +52,6 @@ class Table:
                 table[self.index[w], k] = n
         self.logs = np.log((table + 1) / (table.sum(0, dtype=np.float64) + len(every) + 1)).astype(np.float32)
 
-    def rows(self, keys: list) -> np.ndarray:
-        """Of the keys that it has."""
-        return self.logs[[i for i in map(self.index.get, keys) if i is not None]]
-
 
 class Model:
     """Tables of words and of n-grams by length. All of the sample's words and n-grams are in them."""
@@ -86,17 +82,26 @@ class Model:
         w = f" {w} " if n > 1 else w
         return [w[i : i + n] for i in range(len(w) - n + 1)]
 
-    def score(self, word: bytes) -> np.ndarray:
-        """By language; less its greatest, so that all words speak on one scale."""
-        s = self.known.rows([word])
-        for n in range(LONGEST, 0, -1):
-            if len(s):
-                break
-            s = self.grams[n].rows(self._cut(word, n))
-        if not len(s):
-            return np.zeros(len(self.languages))
-        s = s.mean(0, dtype=np.float64)
-        return s - s.max()
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """Of each word by language; less its greatest, so that all words speak on one scale."""
+        out, left = np.zeros((len(words), len(self.languages))), list(range(len(words)))
+        for n in range(LONGEST + 1, 0, -1):
+            table = self.known if n > LONGEST else self.grams[n]
+            ids, starts, hit, rest = [], [], [], []
+            for k in left:
+                keys = [words[k]] if n > LONGEST else self._cut(words[k], n)
+                found = [i for i in map(table.index.get, keys) if i is not None]
+                if found:
+                    hit.append(k)
+                    starts.append(len(ids))
+                    ids += found
+                else:
+                    rest.append(k)
+            if hit:
+                s = np.add.reduceat(table.logs[ids].astype(np.float64), starts, axis=0) / np.diff([*starts, len(ids)])[:, None]
+                out[hit] = s - s.max(1, keepdims=True)
+            left = rest
+        return out
 
 
 def training(docs: DataFrame, train: Column, sample: int = SAMPLE) -> list[tuple[str, str]]:
@@ -134,17 +139,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in common.slices([len(t or "") for t in texts], 4 << 20):
                 if len(index) > _CACHE:
                     index = {}
-                at, ends = [], [0]
+                at, ends, fresh, known = [], [0], [], len(index)
                 for t in texts[a:b]:
                     for w in words(t) if t else ():
                         i = index.get(w)
                         if i is None:
                             i = index[w] = len(index)
-                            if i == len(scores):
-                                scores = np.concatenate([scores, np.zeros_like(scores)])
-                            scores[i] = model.score(w)
+                            fresh.append(w)
                         at.append(i)
                     ends.append(len(at))
+                while len(index) > len(scores):
+                    scores = np.concatenate([scores, np.zeros_like(scores)])
+                scores[known : len(index)] = model.scores(fresh)
                 sums = np.concatenate([np.zeros((1, len(model.languages))), np.cumsum(scores[at], axis=0)]) if at else np.zeros((1, len(model.languages)))
                 each = np.diff(sums[ends], axis=0)
                 best = each.argmax(1) if model.languages else np.zeros(b - a, int)
