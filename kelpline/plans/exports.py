@@ -154,15 +154,19 @@ def naive_csv_scan(t):
     return readers.naive_csv(n.sparkSession, path, ["k", "name", "region"]).select(F.col("k").cast("long").alias("k"), "name", "region")
 
 
-@query("select cast(row_number() over (order by r_name)-1 as int) as i, r_name as name from region")
+@query("select c_nationkey||'.yaml' as file, cast(row_number() over (partition by c_nationkey order by c_name)-1 as int) as i, c_name as name from customer")
 def yaml_name_list(t):
-    """A small YAML file of the regions' names, read on the driver: a list of classes."""
-    r = t("region")
-    files = r.agg(F.concat(F.lit("path: x\nnames:\n  - '"), F.array_join(F.sort_array(F.collect_list("r_name")), "'\n  - '"), F.lit("'\nnc: 5\n")).alias("content"))
-    path = _folder(r, "yaml")
-    sinks.files(files.select(F.lit("data.yaml").alias("path"), "content"), path)
-    whole = readers.scalar(r.sparkSession.read.text(path, wholetext=True))
-    return r.sparkSession.createDataFrame(list(enumerate(readers.yaml_names(whole))), "i int, name string")
+    """A YAML file for each nation with its customers' names, in one of three forms."""
+    names = F.sort_array(F.collect_list("c_name"))
+    c = t("customer").groupBy("c_nationkey").agg(names.alias("n"))
+    form = F.col("c_nationkey") % 3
+    dashed = F.concat(F.lit("\n  - '"), F.array_join("n", "'\n  - '"), F.lit("'\n"))
+    numbered = F.concat(F.lit("\n"), F.array_join(F.transform("n", lambda x, i: F.concat(F.lit("  "), i.cast("string"), F.lit(": "), x)), "\n"), F.lit("\n"))
+    inline = F.concat(F.lit(" ['"), F.array_join("n", "', '"), F.lit("']\n"))
+    content = F.concat(F.lit("path: x\nnames:"), F.when(form == 0, dashed).when(form == 1, numbered).otherwise(inline), F.lit("nc: 5\n"))
+    path = _folder(c, "yaml")
+    sinks.files(c.select(F.concat("c_nationkey", F.lit(".yaml")).alias("path"), content.alias("content")), path)
+    return readers.yaml_lists(c.sparkSession, path)
 
 
 @query("select 'r'||n_regionkey||'.zip' as archive, 'labels/n'||n_nationkey||'.txt' as entry, n_name as text from nation")

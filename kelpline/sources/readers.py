@@ -215,6 +215,18 @@ def yaml_names(text: str) -> list[str]:
     return [re.sub(r"^[ \t]*(?:-|\d+:)\s*", "", x).strip().strip("'\"") for x in block[1].splitlines() if x.strip()] if block else []
 
 
+def yaml_lists(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, name) of the ``names`` lists of small YAML files, in the three forms that ``yaml_names`` reads. Each
+    file is one row of its own; a file without a list has no rows."""
+    files = spark.read.text(path, wholetext=True)
+    inline = F.regexp_extract("value", r"(?ms)^names:\s*\[(.*?)\]", 1)
+    block = F.regexp_extract("value", r"(?m)^names:\s*\n((?:[ \t]*(?:-|\d+:)[^\n]*\n?)+)", 1)
+    dashed = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(x, r"^[ \t]*(?:-|\d+:)\s*", ""))
+    items = F.when(F.col("value").rlike(r"(?m)^names:\s*\["), F.split(inline, ",")).otherwise(dashed)
+    names = F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")), lambda x: x != "")
+    return files.select(_file_name().alias("file"), F.posexplode(names).alias("i", "name"))
+
+
 def legacy(spark: SparkSession, frames: list[DataFrame], name: str, alternatives: dict[str, list[str]]) -> DataFrame:
     """Tables of older layouts in the present one. Of a column's old names the first that a table
     has is taken, even if its values are null."""
