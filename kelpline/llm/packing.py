@@ -56,21 +56,25 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, buck
     return common.mapped(docs.select("doc_id", "text"), run, _PIECES)
 
 
+def pairs_of(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Pairs of ``lengths`` (in order) whose sum is below ``capacity``, by sum, of one sum the least alike pair
+    first. Only such pairs are made, as narrow numbers: the driver holds them beside all else."""
+    lengths = lengths.astype(np.int16 if capacity < 1 << 15 else np.int32)
+    others = np.searchsorted(lengths, np.minimum(lengths, capacity - 1 - lengths), "right")
+    a, b = np.repeat(lengths, others), np.concatenate([lengths[:0], *(lengths[:n] for n in others)])
+    return np.stack([a, b], 1)[np.lexsort((-a, a + b))]
+
+
 class Sums:
     """Sums of one, two and three lengths, and the combinations that make each, under counts of what
     is still there. A combination that has run out is never looked at again: counts only fall."""
 
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, pairs: np.ndarray | None = None):
         self.have = np.zeros(capacity + 1, np.int64)
         for n, c in counts.items():
             self.have[n] = c
-        lengths = np.flatnonzero(self.have)
-        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
-        ok = (a >= b) & (a + b < capacity)
-        a, b = a[ok], b[ok]
-        order = np.lexsort((-a, a + b))  # of one sum the least alike pair first
-        self.pairs = np.stack([a[order], b[order]], 1)
-        self.at = np.searchsorted((a + b)[order], np.arange(capacity + 2))  # by sum the first pair that may be left
+        self.pairs = pairs_of(np.flatnonzero(self.have), capacity) if pairs is None else pairs
+        self.at = np.searchsorted(self.pairs.sum(1, dtype=np.int32), np.arange(capacity + 2))  # by sum the first pair that may be left
         self.end = self.at[1:].copy()
         self.third = np.minimum(np.arange(capacity + 1), capacity)  # by sum the greatest third length that may be left
 
@@ -110,15 +114,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     """Patterns of lengths with how many sequences follow each: of the plans whose complements
     have up to three, two, one and no lengths the one of the fewest sequences. Exact complements use
     up short lengths that best fit would need later, so where sums are scarce fewer of them are
-    better; the last of the plans is best fit alone, so no plan is worse than that."""
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(m for _, m in p))
+    better; the last of the plans is best fit alone, so no plan is worse than that. The plans share
+    one list of pairs."""
+    pairs = pairs_of(np.array(sorted(n for n, c in counts.items() if c), np.int64), capacity)
+    return min((_plan(counts, capacity, most, pairs) for most in (3, 2, 1, 0)), key=lambda p: sum(m for _, m in p))
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(counts: dict[int, int], capacity: int, most: int, pairs: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """For each length, longest first, the gap that it leaves is looked up among the sums of one to
     ``most`` lengths that are left, and a combination is consumed as often as the counts allow;
     what has no exact complement goes by best fit, longest first."""
-    sums = Sums(counts, capacity)
+    sums = Sums(counts, capacity, pairs)
     have = sums.have
     out: list[tuple[tuple[int, ...], int]] = []
 
@@ -188,6 +194,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
     # at most `capacity` rows
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slots(plan(counts, capacity))
+    common.give_back()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     in_bucket = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

@@ -160,6 +160,21 @@ def test_perfect_hash():
     assert shard.ids_at(7).tolist() == [14, 15]
 
 
+def test_packing_index_is_small():
+    """The pairs of all 2048 lengths take little of the driver's memory, and are those below the capacity by sum, least alike first."""
+    import tracemalloc
+
+    tracemalloc.start()
+    sums = packing.Sums({n: 1 for n in range(1, 2049)}, 2048)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and len(sums.pairs) == sum(a >= b for a in range(1, 2048) for b in range(1, 2048 - a))
+    for lengths, capacity in (([], 10), ([1], 10), ([2, 3, 5, 8, 9], 12), (list(range(1, 40)), 40), ([3, 40_000], 50_000)):
+        every = [(a, b) for a in lengths for b in lengths if a >= b and a + b < capacity]
+        got = packing.Sums(dict.fromkeys(lengths, 1), capacity).pairs
+        assert [tuple(map(int, x)) for x in got] == sorted(every, key=lambda x: (x[0] + x[1], -x[0]))
+
+
 def test_packing(spark):
     got = packing.best_fit_packing(table(spark, HARD), capacity=256).collect()
     want = []
