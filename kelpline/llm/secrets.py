@@ -4,8 +4,7 @@ Beside three base patterns, long runs of key characters are candidates. Two firs
 Markov chains over characters, one of random strings and one of ordinary identifiers,
 give a log-likelihood ratio; a candidate whose ratio per character passes the threshold
 is added. Both chains are trained from labelled samples: hashed random strings in usual
-alphabets, and identifiers put together from short words that stand alone in a bounded sample
-of documents.
+alphabets, and identifiers put together from all short words that stand alone in the documents.
 The threshold comes from samples that the chains were not trained on.
 """
 
@@ -21,10 +20,10 @@ from pyspark.sql import functions as F
 from kelpline.llm import common, spans
 
 KINDS = ["assign", "access", "hex", "random"]
-#: Bound of the sample, in documents; random strings; least length of a candidate.
-SAMPLE, STRINGS, LEAST = 400, 6000, 20
-#: Rows of words that identifiers are put together from, up to 60 from each.
-ROWS = 200
+#: Random strings; least length of a candidate.
+STRINGS, LEAST = 6000, 20
+#: Rows of words that identifiers are put together from, at least, and words of a row on average, at most. All words are used.
+ROWS, WORDS = 200, 100
 #: Shares of the held strings below the threshold: of ordinary ones this one at least, of random ones about this one at most.
 ORDINARY, RANDOM = 0.999, 0.02
 #: Where between these two the threshold is.
@@ -76,15 +75,15 @@ def samples(docs: DataFrame) -> DataFrame:
         glue = lambda i: F.element_at(F.array(*map(F.lit, ["_", "-", "/", ""])), i % 4 + 1)
         camel = lambda i: F.array_join(F.transform(several(i), lambda w: F.initcap(w)), "")
         each = lambda i: F.when(i % 5 == 4, F.concat(camel(i), (i * 7).cast("string"))).when(i % 4 == 3, camel(i)).otherwise(F.concat(F.array_join(F.slice(words, i * 2 + 1, 1), ""), glue(i), F.array_join(F.slice(several(i), 2, 3), "_")))
-        return F.transform(F.sequence(F.lit(0), F.least(F.floor(F.size(words) / 2).cast("int"), F.lit(60))), each)
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(words) / 2).cast("int")), each)
 
-    n = docs.select("doc_id").count()
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, SAMPLE / max(n, 1)))))
     # short words that stand alone: what is random, or a piece of a random string, is none
     alone = "(?<![A-Za-z0-9+/_=-])[A-Z]?[a-z]{1,14}(?![A-Za-z0-9+/_=-])"
-    often = drawn.select(F.explode(F.regexp_extract_all("text", F.lit(alone), F.lit(0))).alias("w")).distinct()
+    often = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(alone), F.lit(0)))).alias("w")).distinct()
+    often = common.stored(often, "words")
+    groups = max(ROWS, often.count() // WORDS)
     shuffled = F.array_sort(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "w")))
-    words = often.groupBy(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(ROWS)).alias("g")).agg(shuffled.alias("s")).select(F.transform("s", lambda x: x["w"]).alias("w"))
+    words = often.groupBy(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(groups)).alias("g")).agg(shuffled.alias("s")).select(F.transform("s", lambda x: x["w"]).alias("w"))
     parts = spark.range(0, 200, 1, 1).select(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.element_at(F.array(*map(F.lit, _PARTS)), F.pmod(F.xxhash64("id", i), F.lit(len(_PARTS))).cast("int") + 1)).alias("w"))
     ordinary = words.unionAll(parts).select(F.lit(0).alias("label"), F.explode(identifiers(F.col("w"))).alias("s"))
     return random.unionAll(ordinary).filter(F.length("s") >= 4).withColumn("held", F.pmod(F.xxhash64("s"), F.lit(3)) == 0)

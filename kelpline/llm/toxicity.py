@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import common
 
-#: Bounds of the training sample, in labelled documents: toxic ones, others for each of those, and bytes of a text.
-SAMPLE, OTHERS, TEXT_BYTES = 2000, 2, 32 << 10
-#: A term occurs in toxic documents after and before so many different words (and as many as a hundredth of those documents),
-#: and in so much greater a share of them than of others; longest beginning of a word. All such terms are taken.
-CONTEXTS, RATIO, LONGEST = 8, 10.0, 10
+#: A hundredth of the toxic documents hold a term, and no fewer than the first of these; it stands in them after and before so many
+#: different words (of neighbours there are only so many, so that number ends at the second), and in so much greater a share of them
+#: than of others; longest beginning of a word. All such terms are taken.
+CONTEXTS, MOST_CONTEXTS, RATIO, LONGEST = 8, 20, 10.0, 10
 #: Edits that a term of so many characters may have; words on each side that count as context.
 EDITS, AROUND = ((9, 2), (5, 1), (0, 0)), 5
 #: What a misspelled hit counts beside an exact one. Terms that so great a share of other documents come near to match exactly only.
@@ -76,6 +75,7 @@ class Lexicon:
         self.taken: list[tuple[str, int] | None] = []  # whatever follows
         self.members: list[frozenset] = []
         self.start = self._state({(0, 0)})
+        self.hits: dict[bytes, bool] = {}
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         """Pairs of a node and the edits so far, closed under skipping a term's characters."""
@@ -119,36 +119,91 @@ class Lexicon:
         end = self.found[state]
         return min((x for x in (begun, end) if x), key=lambda x: x[1], default=None)
 
-    def hit(self, text: str) -> bool:
-        return any(self.match(w.decode("utf-8", "replace")) for w in set(words(text)))
-
-
-def learn_terms(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Terms with their log odds from (text, toxic)."""
-    docs: tuple[Counter, Counter] = (Counter(), Counter())
-    parts_of = lambda w: (w, *(w[:n] + "*" for n in range(3, min(len(w), LONGEST) + 1)))
-    split = lambda text: [w.decode("utf-8", "replace") for w in words(text)]
-    for text, toxic in rows:
-        if toxic:
-            docs[1].update({p for w in set(split(text)) for p in parts_of(w)})
-    least = max(CONTEXTS, sum(t for _, t in rows) // 100)
-    often = {p for p, k in docs[1].items() if k >= least}
-    for text, toxic in rows:
-        if not toxic:
-            docs[0].update({p for w in set(split(text)) for p in parts_of(w)} & often)
-    n = [max(1, sum(t == c for _, t in rows)) for c in (0, 1)]
-    odds = lambda p: math.log((docs[1][p] + 0.5) / n[1]) - math.log((docs[0][p] + 0.5) / n[0])
-    often = {p for p in often if odds(p) >= math.log(RATIO)}
-    around: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    for text, toxic in rows:
-        ws = split(text) if toxic else ()
-        for i, w in enumerate(ws):
-            for p in parts_of(w):
-                if p in often:
-                    around[p][0].add(ws[i - 1] if i else "")
-                    around[p][1].add(ws[i + 1] if i + 1 < len(ws) else "")
+    def hit(self, text: str | None) -> bool:
+        found = False
+        for w in words(text):
+            hit = self.hits.get(w)
+            if hit is None:
+                if len(self.hits) > _CACHE:
+                    self.hits.clear()
+                hit = self.hits[w] = self.match(w.decode("utf-8", "replace")) is not None
+            found |= hit
+        return found
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A word and its beginnings."""
+    return (word, *(word[:n] + "*" for n in range(3, min(len(word), LONGEST) + 1)))
+
+
+def _documents_with(texts: DataFrame, terms_of: Callable[[], Callable[[str], Iterable[str]]]) -> DataFrame:
+    """term and n: how many of ``texts`` (text) hold a word for which ``terms_of()`` gives the term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known, n = terms_of(), {}, Counter()
+        counts = lambda: pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["term", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                terms: set[str] = set()
+                for w in set(words(text)):
+                    found = known.get(w)
+                    if found is None:
+                        if len(known) > _CACHE:
+                            known.clear()
+                        found = known[w] = tuple(find(w.decode("utf-8", "replace")))
+                    terms.update(found)
+                n.update(terms)
+                if len(n) > _CACHE:
+                    yield counts()
+                    n.clear()
+        yield counts()
+
+    return common.mapped(texts.select("text"), run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _neighbours(texts: DataFrame, terms: frozenset[str]) -> DataFrame:
+    """term and n: the lesser number of different words right before and right after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bool, str]] = set()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))], names=["term", "after", "word"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ws = [w.decode("utf-8", "replace") for w in words(text)]
+                for i, w in enumerate(ws):
+                    for p in _parts(w):
+                        if p in terms:
+                            seen.add((p, False, ws[i - 1] if i else ""))
+                            seen.add((p, True, ws[i + 1] if i + 1 < len(ws) else ""))
+                if len(seen) > _CACHE:
+                    yield rows()
+                    seen.clear()
+        yield rows()
+
+    pairs = common.mapped(texts.select("text"), run, "term string, after boolean, word string").distinct()
+    return pairs.groupBy("term", "after").agg(F.count("*").alias("n")).groupBy("term").agg(F.min("n").alias("n"))
+
+
+def _gathered(counts: DataFrame) -> dict[str, int]:
+    return {r["term"]: r["n"] for r in counts.collect()}
+
+
+def learn_terms(rows: DataFrame, n: tuple[int, int]) -> dict[str, float]:
+    """Terms with their log odds from all ``rows`` (text, toxic), of which ``n`` are not toxic and toxic.
+
+    The driver gets counts of terms that a hundredth of the toxic documents hold, at most a
+    hundred times as many as one of these has words and beginnings of words on average."""
+    toxic, others = (rows.filter(F.col("toxic") == c) for c in (1, 0))
+    least = max(CONTEXTS, n[1] // 100)
+    held = _gathered(_documents_with(toxic, lambda: _parts).filter(F.col("n") >= least))
+    often = frozenset(held)
+    beside = _gathered(_documents_with(others, lambda: lambda w: [p for p in _parts(w) if p in often]))
+    docs = ({p: beside.get(p, 0) for p in held}, held)
+    odds = lambda p: math.log((docs[1][p] + 0.5) / max(1, n[1])) - math.log((docs[0][p] + 0.5) / max(1, n[0]))
+    often = frozenset(p for p in often if odds(p) >= math.log(RATIO))
     # copies of a text repeat the words around a term; a term of abuse turns up anywhere
-    good = {p: odds(p) for p, (before, after) in around.items() if min(len(before), len(after)) >= least}
+    around = _gathered(_neighbours(toxic, often)) if often else {}
+    good = {p: odds(p) for p, k in around.items() if k >= min(least, MOST_CONTEXTS)}
     chosen: dict[str, float] = {}
     for p in sorted(good, key=lambda p: (len(p.rstrip("*")), p)):
         stem = p.rstrip("*")
@@ -202,49 +257,82 @@ class Scorer:
         self.terms, self.exact, self.weights = terms, exact, weights
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, int]]) -> "Scorer":
-        terms = learn_terms(rows)
-        lexicon, near, others = Lexicon(terms), Counter(), 0
-        for text, toxic in rows:
-            if not toxic:
-                others += 1
-                near.update({m[0] for m in (lexicon.match(w.decode("utf-8", "replace")) for w in set(words(text))) if m and m[1]})
-        exact = frozenset(t for t, k in near.items() if k > max(1, NEAR_MISSES * others))
-        lexicon = Lexicon(terms, exact)
+    def fit(cls, rows: DataFrame) -> "Scorer":
+        """From all ``rows`` (text, toxic), of which each weighs the same."""
+        counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        n = (counts.get(0, 0), counts.get(1, 0))
         # where the data say nothing, a quoted hit counts a fifth
         start = np.array([-4.0, 3.0, 0.6, 0.5])
-        x = np.array([[1.0, *(evidence(t, lexicon) if t and lexicon.hit(t) else np.zeros(3))] for t, _ in rows]).reshape(-1, 4)
-        y, w = np.array([t for _, t in rows], float), start.copy()
-        hold = np.array([0.5, 0.5, 2.0, 2.0])
-        for _ in range(100 if len(rows) and 0 < y.mean() < 1 else 0):  # Newton's method, held to the start
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (y - p) - hold * (w - start))
+        terms = learn_terms(rows, n) if n[1] else {}
+        if not all(n):
+            return cls(terms, frozenset(), start)
+
+        def missed() -> Callable[[str], list[str]]:
+            lexicon = Lexicon(terms)
+            return lambda w: [m[0] for m in [lexicon.match(w)] if m and m[1]]
+
+        near = _gathered(_documents_with(rows.filter("toxic = 0"), missed)) if terms else {}
+        exact = frozenset(t for t, k in near.items() if k > max(1, NEAR_MISSES * n[0]))
+        x = common.stored(_evidence(rows, terms, exact), "evidence")
+        w, hold = start.copy(), np.array([0.5, 0.5, 2.0, 2.0])
+        for _ in range(100):  # Newton's method, held to the start
+            gradient, curve = _slopes(x, w)
+            step = np.linalg.solve(curve + np.diag(hold), gradient - hold * (w - start))
             w = w + step / max(1.0, np.abs(step).max())
-            if np.abs(step).max() < 1e-9:
+            if np.abs(step).max() < 1e-6:  # so the error is about its square
                 break
-        return cls(terms, exact, w)
+        return cls(terms, exact, w.round(9))  # sums of tasks come in any order
 
     def score(self, found: np.ndarray) -> float:
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] + self.weights[1:] @ found)))))
 
 
-def training(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """Up to ``sample`` toxic texts and OTHERS times as many others, by a hash of doc_id; a
-    document with several labels is toxic if one says so, and of one with several texts the
-    least counts. Texts longer than TEXT_BYTES are left out. First the ids, then their texts."""
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
+def _evidence(rows: DataFrame, terms: dict[str, float], exact: frozenset[str]) -> DataFrame:
+    """toxic, x (the evidence) and n: how many of ``rows`` (text, toxic) have these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, none = Lexicon(terms, exact), (0.0, 0.0, 0.0)
+        for batch in batches:
+            n: Counter = Counter()
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                n[toxic, tuple(evidence(text, lexicon).tolist()) if lexicon.hit(text) else none] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.list_(pa.float64())), pa.array(n.values(), pa.int64())], names=["toxic", "x", "n"])
+
+    return common.mapped(rows.select("text", "toxic"), run, "toxic int, x array<double>, n long").groupBy("toxic", "x").agg(F.sum("n").alias("n"))
+
+
+def _slopes(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of ``rows`` (toxic, x, n) under the weights: its gradient and its negative
+    second derivatives."""
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + size * size)
+        for batch in batches:
+            y, n = (batch.column(c).to_numpy() for c in ("toxic", "n"))
+            x = np.insert(batch.column("x").flatten().to_numpy().reshape(-1, size - 1), 0, 1.0, axis=1)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            total += np.concatenate([x.T @ (n * (y - p)), ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
+
+    sums = np.zeros(size + size * size)
+    for r in common.mapped(rows, run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        sums[r["i"]] = r["v"]
+    return sums[:size], sums[size:].reshape(size, size)
+
+
+def training(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
+    """text and toxic of all labelled documents; one with several labels is toxic if one says so,
+    and of one with several texts the least counts."""
     marks = labels.filter(train & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    drawn = [r for c, n in ((0, OTHERS * sample), (1, sample)) for r in marks.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(n).collect()]
-    table = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "doc_id long, toxic int")
-    # at most (1 + OTHERS) * sample ids, and as many texts
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TEXT_BYTES)
-    once = texts.join(F.broadcast(table), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    return sorted((r["text"], r["toxic"]) for r in once.collect())
+    texts = docs.filter(train).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(marks, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """From every labelled document that isn't held out. Their texts are stored, as they are read five times."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    return Scorer.fit(training(docs, labels, train, sample))
+    return Scorer.fit(common.stored(training(docs, labels, train), "labelled"))
 
 
 def scored(docs: DataFrame, scorer: Scorer, column: str = "toxicity") -> DataFrame:
@@ -254,35 +342,24 @@ def scored(docs: DataFrame, scorer: Scorer, column: str = "toxicity") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, none = Lexicon(scorer.terms, scorer.exact), scorer.score(np.zeros(3))
-        hits: dict[bytes, bool] = {}
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                found = False
-                for w in words(text):
-                    hit = hits.get(w)
-                    if hit is None:
-                        if len(hits) > _CACHE:
-                            hits.clear()
-                        hit = hits[w] = lexicon.match(w.decode("utf-8", "replace")) is not None
-                    found |= hit
-                out.append(scorer.score(evidence(text, lexicon)) if found else none)
+            out = [scorer.score(evidence(text, lexicon)) if lexicon.hit(text) else none for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=schema.names)
 
     return common.mapped(docs.select(*kept), run, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text).
 
-    Learned from ``labels`` (doc_id, toxic) of documents whose crc32 of doc_id as text, modulo
+    Learned from all ``labels`` (doc_id, toxic) of documents whose crc32 of doc_id as text, modulo
     5, isn't 0; other label values than 0 and 1 are left out. Null, empty and wordless texts
     have the score of a text without hits. With no labels, or those of one class only, the
     lexicon is empty. A null doc_id is not held out. Repeated rows are scored each; an empty
     table gives no rows; other columns are not looked at. A text is worked on whole, in some
     times its own size."""
     common.tune(docs.sparkSession)
-    out = scored(docs.select("doc_id", "text"), learn(docs, labels, sample), "score")
+    out = scored(docs.select("doc_id", "text"), learn(docs, labels), "score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 

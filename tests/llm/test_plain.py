@@ -591,3 +591,38 @@ def test_toxicity(spark):
     assert toxicity.toxicity(table(spark, rows), lab.limit(0)).filter("predicted = 1").count() == 0
     assert toxicity.toxicity(table(spark, []), lab).count() == 0
     assert common.slices([], 3) is not None
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """Long texts are learned from too, and the counts, terms and weights are those of a plain pass over all rows."""
+    rnd = random.Random(7)
+    plain = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for k in range(200):
+        ws, toxic = rnd.choices(plain, k=9000), k % 5 == 0
+        for _ in range(10 if toxic else 0):
+            ws.insert(rnd.randrange(len(ws)), "zorgle")
+        rows.append((k, " ".join(ws)))
+        labels.append((k, int(toxic)))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scorer = toxicity.learn(table(spark, rows), lab)
+    train = {i: (set(t.split()), toxic) for (i, t), (_, toxic) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5}
+    n = [sum(toxic == c for _, toxic in train.values()) for c in (0, 1)]
+    assert list(scorer.terms) == ["zorgle"] and abs(scorer.terms["zorgle"] - np.log((n[1] + 0.5) / n[1] / (0.5 / n[0]))) < 1e-9
+    lexicon = toxicity.Lexicon(scorer.terms, scorer.exact)
+    x = np.array([[1, *(toxicity.evidence(rows[i][1], lexicon) if toxic else np.zeros(3))] for i, (_, toxic) in train.items()])
+    y = np.array([toxic for _, toxic in train.values()], float)
+    p = 1 / (1 + np.exp(-x @ scorer.weights))
+    slope = x.T @ (y - p) - np.array([0.5, 0.5, 2.0, 2.0]) * (scorer.weights - np.array([-4.0, 3.0, 0.6, 0.5]))
+    assert np.abs(slope).max() < 1e-4  # no other weights are likelier
+    got = toxicity.toxicity(table(spark, rows), lab).collect()
+    assert len(rows[0][1]) > 32 << 10 and all(r["predicted"] == (r["doc_id"] % 5 == 0) for r in got)
+
+
+def test_secret_chains_use_every_word(spark):
+    """Identifiers are put together from words of all documents, each word at least once."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(8, 15))) for _ in range(25_000)]
+    docs = table(spark, [(i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(2500)])
+    made = " ".join(r["s"].lower() for r in secrets.samples(docs).filter("label = 0").collect())
+    assert all(w in made for w in words)
