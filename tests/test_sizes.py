@@ -24,3 +24,11 @@ def test_human_units_beyond_terabytes(spark, tmp_path):
     keys = spark.range(0, 7_200_000, 60_007).select(F.col("id").alias("p_partkey"))
     keys.write.parquet(str(tmp_path / "part.parquet"))
     assert same_as_sql(spark, tmp_path, "human_units", "part") == 120
+
+
+def test_hashes_near_by_chance(spark, tmp_path):
+    """58 bits of the hashes of unlike texts that differ in 7 or 8: no pair in the SQL. Equal texts are one."""
+    texts = [f"text {i}" for i in (7616, 13505, 13750, 20912, 22792, 23740, 22915, 31652)]
+    rows = [(64 * k + 5, x) for k, x in enumerate(texts)] + [(64 * k + 1000 + k, texts[k % 3]) for k in range(9)] + [(5000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_as_sql(spark, tmp_path, "near_dup_pairs_8", "documents") > 9
