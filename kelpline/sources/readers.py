@@ -220,7 +220,8 @@ def yaml_lists(spark: SparkSession, path: str) -> DataFrame:
     file is one row of its own; a file without a list has no rows."""
     files = spark.read.text(path, wholetext=True)
     inline = F.regexp_extract("value", r"(?ms)^names:\s*\[(.*?)\]", 1)
-    block = F.regexp_extract("value", r"(?m)^names:\s*\n((?:[ \t]*(?:-|\d+:)[^\n]*\n?)+)", 1)
+    # the repeated group gives nothing back: Java's matcher otherwise goes one call deeper for each line
+    block = F.regexp_extract("value", r"(?m)^names:\s*\n((?:[ \t]*(?:-|\d+:)[^\n]*\n?)++)", 1)
     dashed = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(x, r"^[ \t]*(?:-|\d+:)\s*", ""))
     items = F.when(F.col("value").rlike(r"(?m)^names:\s*\["), F.split(inline, ",")).otherwise(dashed)
     names = F.filter(F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")), lambda x: x != "")

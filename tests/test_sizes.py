@@ -32,3 +32,9 @@ def test_hashes_near_by_chance(spark, tmp_path):
     rows = [(64 * k + 5, x) for k, x in enumerate(texts)] + [(64 * k + 1000 + k, texts[k % 3]) for k in range(9)] + [(5000, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert same_as_sql(spark, tmp_path, "near_dup_pairs_8", "documents") > 9
+
+
+def test_long_yaml_lists(spark, tmp_path):
+    """20,000 names in each of the three forms, more than a stack holds of a matcher's calls."""
+    spark.range(60_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 3).cast("int").alias("c_nationkey"), F.format_string("Name %06d", "id").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    assert same_as_sql(spark, tmp_path, "yaml_name_list", "customer") == 60_000
