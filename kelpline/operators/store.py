@@ -249,3 +249,14 @@ def due_for(events: DataFrame, schedules: DataFrame, minute: Column, at: Column,
     s = schedules.withColumn("_at", at).filter("_at is not null")
     s = s.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_at") - within) / width), F.floor((F.col("_at") + within) / width))))
     return e.join(s, "_bin").filter(F.abs(F.col("_minute") - F.col("_at")) <= within).drop("_bin", "_minute", "_at")
+
+
+def due_counts(events: DataFrame, schedules: DataFrame, key: str, event: str, minute: Column, at: Column, within: int = 5) -> DataFrame:
+    """(key, due, first): for each schedule's key the number of its pairs in ``due_for``, and their least event, without making
+    the pairs. Events are counted by their minute and minutes meet minutes, so what is broadcast
+    to the schedules has a row for each time of day."""
+    minutes = events.select(minute.alias("_m"), F.col(event).alias("_e")).filter("_m is not null").groupBy("_m").agg(F.count("*").alias("_n"), F.min("_e").alias("_first"))
+    timed = schedules.select(key, at.alias("_time")).filter("_time is not null")
+    met = due_for(minutes, timed.select("_time").distinct(), F.col("_m"), F.col("_time"), within)
+    sums = met.groupBy("_time").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    return timed.join(F.broadcast(sums), "_time").groupBy(key).agg(F.sum("_n").alias("due"), F.min("_first").alias("first"))

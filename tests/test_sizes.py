@@ -38,3 +38,29 @@ def test_long_yaml_lists(spark, tmp_path):
     """20,000 names in each of the three forms, more than a stack holds of a matcher's calls."""
     spark.range(60_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 3).cast("int").alias("c_nationkey"), F.format_string("Name %06d", "id").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
     assert same_as_sql(spark, tmp_path, "yaml_name_list", "customer") == 60_000
+
+
+def test_schedules_counted(spark, tmp_path):
+    """Counts as the pairs would give, of which none are made: 3000 schedules meet 20,000 events."""
+    spark.range(3000).select((F.col("id") - F.when(F.col("id") % 100 == 0, 1).otherwise(0)).alias("c_custkey")).filter("c_custkey >= 0").write.parquet(str(tmp_path / "customer.parquet"))
+    ts = F.timestamp_seconds(F.col("id") * 7919 % 86_400 + 1_700_000_000)
+    spark.range(20_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 50 > 0, ts).alias("ts")).filter("hour(ts) <> 4 or ts is null").write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = QUERIES["customer_schedules"](spark, str(tmp_path))
+        df.collect()
+        plan = [df._jdf.queryExecution().executedPlan()]
+        joined = []
+        while plan:
+            p = plan.pop()
+            plan += [p.children().apply(i) for i in range(p.children().size())]
+            if "Join" in p.nodeName():
+                joined.append(p.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert joined and max(joined) <= 20_000
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'; create view events as select event_id, ts::timestamp as ts from '{tmp_path}/events.parquet/*.parquet'")
+    con.execute("set timezone = 'UTC'")
+    want = sorted(con.execute(ORACLE["customer_schedules"]).fetchall())
+    assert sorted((r["c_custkey"], r["due"], r["first_event"]) for r in df.collect()) == want and len(want) > 2000
