@@ -1,9 +1,10 @@
 """What only larger tables show: queries against their SQL beyond sf0.1, and how rows meet."""
 
 import duckdb
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
+from kelpline.operators import clusters
 from kelpline.plans.registry import ORACLE, QUERIES
 
 
@@ -64,3 +65,21 @@ def test_schedules_counted(spark, tmp_path):
     con.execute("set timezone = 'UTC'")
     want = sorted(con.execute(ORACLE["customer_schedules"]).fetchall())
     assert sorted((r["c_custkey"], r["due"], r["first_event"]) for r in df.collect()) == want and len(want) > 2000
+
+
+def test_blocks_of_codes(spark):
+    """All pairs of 4000 codes, a dense family among them, in blocks of any size; rows of two blocks never meet in a join."""
+    rnd = np.random.default_rng(6)
+    codes = rnd.integers(-(2**63), 2**63 - 1, 4000)
+    codes[500:1100] = codes[500] ^ (1 << rnd.integers(0, 62, 600)) ^ (1 << rnd.integers(0, 62, 600))
+    codes = np.unique(codes)
+    df = spark.createDataFrame([(f"k{i:05d}", int(c)) for i, c in enumerate(codes)], "name string, h long")
+    apart = np.bitwise_count((codes[:, None] ^ codes[None, :]).view(np.uint64))
+    want = sorted((f"k{i:05d}", f"k{j:05d}", int(apart[i, j])) for i, j in zip(*np.nonzero(apart <= 18), strict=True) if i < j)
+    assert len(want) > 1 << 16  # more than a batch
+    for block in (700, clusters.BLOCK):
+        pairs = clusters.near_pairs_in_blocks(df, "name", "h", 18, block)
+        assert sorted(map(tuple, pairs.collect())) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of equal codes
+    assert plan.count("FlatMapGroupsInArrow") == 1
