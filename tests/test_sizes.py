@@ -83,3 +83,10 @@ def test_blocks_of_codes(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # of equal codes
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_short_bands_are_no_gain():
+    """At 16 of 64 bits a band has 7 bits and each code meets a hundredth of all: blocks are less work, as far as 6 GB go."""
+    for codes in (10_000, 102_564, 615_000):
+        assert clusters.plan_bands(codes, 64, 16) is None
+    assert clusters.plan_bands(10_000_000, 64, 8) is not None
