@@ -3,9 +3,11 @@
 Every batch of changes becomes one segment that is never written again:
 
 * ``postings``: (token, block) rows with the documents of a block that hold the token, their lengths
-  and positions, and the greatest count and least length among them. Blocks are runs of documents
-  by ascending length, so that least lengths are close to all lengths.
-* ``documents``: (key, length, tokens) of the batch's texts, in folders by a hash of the key.
+  and positions, and the greatest count and least length among them. Blocks are runs by ascending
+  length of the documents that one task has, so that least lengths are close to all lengths. A
+  block's postings are made from its texts by that task: single places of tokens are never shuffled.
+* ``documents``: (key, length, tokens) of the batch's texts, in folders by a hash of the key; the
+  different tokens stand in one string.
 * ``gone``: (key, segment) of what the batch replaced or deleted. A posting counts while its key and
   segment aren't there.
 * ``frequencies``: by token how many more documents hold it after the batch, negative if fewer.
@@ -18,23 +20,31 @@ reads postings, not texts. ``compact`` writes what is left as one new segment.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.operators.order import numbered
 from kelpline.operators.search import B, K1, LEAST_IDF, tokens_of
 from kelpline.sources.scratch import stored
 
 #: Documents of a block; bytes of text for a folder of tokens or keys; blocks of a token that a task writes.
 BLOCK, FOLDER_BYTES, RUN = 128, 128 << 20, 4096
 _LOG = "segment long, batch long, replaces long, docs long, tokens long, blocks long, folders int"
-_POSTINGS = "token string, block long, most_tf int, least_length int, entries array<struct<key:long,length:int,positions:array<int>>>, folder int"
-_DOCUMENTS = "key long, length int, tokens array<string>, folder int"
+#: Of the documents of a block: keys, lengths, and where their positions start in those of the block and how many they are.
+_BLOCKS = "token string, block long, most_tf int, least_length int, docs int, keys array<long>, lengths array<int>, starts array<int>, counts array<int>, positions array<int>"
+_POSTINGS = f"{_BLOCKS}, folder int"
+_DOCUMENTS = "key long, length int, tokens string, folder int"
+#: A block's number is that of its task, shifted, and its place there.
+_TASK_BITS = 32
 
 
 @dataclass
@@ -59,6 +69,17 @@ def segments(spark: SparkSession, path: str) -> list[Segment]:
     return [Segment(**{k: v for k, v in r.asDict().items() if k != "replaces"}) for r in rows if r["segment"] > begins]
 
 
+def _words(c: str) -> Column:
+    """Of tokens in one string."""
+    return F.filter(F.split(c, " "), lambda t: t != "")
+
+
+def _entries() -> Column:
+    """A posting row's documents as structs of key, length and positions."""
+    each = F.arrays_zip("keys", "lengths", "starts", "counts")
+    return F.transform(each, lambda e: F.struct(e["keys"].alias("key"), e["lengths"].alias("length"), F.slice("positions", e["starts"] + 1, e["counts"]).alias("positions")))
+
+
 def _folder(c: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(folders)).cast("int")
 
@@ -70,7 +91,7 @@ def _part(spark: SparkSession, path: str, kind: str, schema: str, of: list[Segme
 
 
 def _write(df: DataFrame, path: str, kind: str, number: int, *by: str) -> None:
-    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{kind}/segment={number}")
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{kind}/segment={number}")
 
 
 def _folders_of(keys: DataFrame, folders: int) -> list[int]:
@@ -86,7 +107,8 @@ def live_documents(spark: SparkSession, path: str, keys: DataFrame | None = None
     else:
         parts = [_part(spark, path, "documents", _DOCUMENTS, [s]).filter(F.col("folder").isin(*_folders_of(keys, s.folders))) for s in of]
         docs = (reduce(DataFrame.unionByName, parts) if parts else _part(spark, path, "documents", _DOCUMENTS, [])).join(keys.select("key").distinct(), "key", "left_semi")
-    return docs.drop("folder").join(_part(spark, path, "gone", "key long, gone_segment long", of).select("key", F.col("gone_segment").alias("segment")), ["key", "segment"], "left_anti")
+    docs = docs.select("key", "segment", "length", _words("tokens").alias("tokens"))
+    return docs.join(_part(spark, path, "gone", "key long, gone_segment long", of).select("key", F.col("gone_segment").alias("segment")), ["key", "segment"], "left_anti")
 
 
 def apply_changes(changes: DataFrame, path: str, batch: int, block: int = BLOCK, folder_bytes: int = FOLDER_BYTES) -> bool:
@@ -99,8 +121,9 @@ def apply_changes(changes: DataFrame, path: str, batch: int, block: int = BLOCK,
     if any(s.batch >= batch for s in of):
         return False
     last = changes.filter("key is not null").groupBy("key").agg(F.max_by(F.struct("text", F.coalesce("deleted", F.lit(False)).alias("deleted")), "seq").alias("_c"))
-    last = stored(last.select("key", F.when(~F.col("_c.deleted"), tokens_of(F.coalesce("_c.text", F.lit("")))).alias("words")), "changes")
-    old = stored(live_documents(spark, path, last), "replaced")
+    words = F.when(~F.col("_c.deleted"), F.array_join(tokens_of(F.coalesce("_c.text", F.lit(""))), " "))
+    last = stored(last.select("key", words.alias("words")), "changes", "zstd")
+    old = stored(live_documents(spark, path, last), "replaced", "zstd")
     _segment(last.filter("words is not null"), old, path, of[-1].segment + 1 if of else 0, batch, -1, block, folder_bytes)
     return True
 
@@ -115,27 +138,28 @@ def compact(spark: SparkSession, path: str, block: int = BLOCK, folder_bytes: in
     docs = live_documents(spark, path)
     each = live_postings(spark, path).select("key", "segment", "token", F.explode("positions").alias("at"))
     words = each.groupBy("key", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("words"))
-    words = docs.select("key", "segment").join(words, ["key", "segment"], "left").select("key", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-    _segment(stored(words, "compacted"), None, path, number, max(s.batch for s in of), of[-1].segment, block, folder_bytes)
+    words = docs.select("key", "segment").join(words, ["key", "segment"], "left").select("key", F.coalesce(F.array_join("words", " "), F.lit("")).alias("words"))
+    _segment(stored(words, "compacted", "zstd"), None, path, number, max(s.batch for s in of), of[-1].segment, block, folder_bytes)
     return number
 
 
 def _segment(fresh: DataFrame, old: DataFrame | None, path: str, number: int, batch: int, replaces: int, block: int, folder_bytes: int) -> None:
-    """Write a segment of ``fresh`` (key, words) that takes the place of ``old`` documents, and log it."""
+    """Write a segment of ``fresh`` (key, words in one string) that takes the place of ``old`` documents, and log it."""
     spark = fresh.sparkSession
-    placed = numbered(fresh.select("key", "words", F.struct(F.size("words"), "key").alias("_place")), "_place", "at", 0)
-    placed = stored(placed.select("key", "words", F.size("words").alias("length"), F.floor(F.col("at") / block).alias("block")), "placed")
-    total = placed.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.coalesce(F.max("block") + 1, F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0)).alias("bytes")).first()
+    length = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1)
+    placed = fresh.select("key", "words", length.cast("int").alias("length"))
+    total = placed.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("bytes")).first()
     folders = max(1, -(-total["bytes"] // folder_bytes))
-    # postings: a token's blocks are dealt to several tasks where there are many
-    each = placed.select("key", "length", "block", F.posexplode("words").alias("at", "token"))
-    held = each.groupBy("token", "block", "key", "length").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    rows = held.groupBy("token", "block").agg(F.max(F.size("positions")).alias("most_tf"), F.min("length").alias("least_length"), F.array_sort(F.collect_list(F.struct("key", "length", "positions"))).alias("entries"))
-    rows = rows.withColumn("folder", _folder(F.col("token"), folders)).repartition("folder", F.floor(F.col("block") / RUN)).sortWithinPartitions("folder", "token", "block")
+    # a token's blocks are dealt to several tasks where there are many
+    runs = max(1, -(-total["docs"] // (block * RUN)))
+    rows = placed.sortWithinPartitions("length", "key").mapInArrow(_inverted(block), _BLOCKS).withColumn("folder", _folder(F.col("token"), folders))
+    rows = rows.repartition("folder", F.pmod(F.shiftright("block", _TASK_BITS), F.lit(runs))).sortWithinPartitions("folder", "token", "block")
     _write(rows, path, "postings", number, "folder")
-    docs = placed.select("key", "length", F.array_distinct("words").alias("tokens")).withColumn("folder", _folder(F.col("key"), folders))
+    docs = placed.select("key", "length", F.array_join(F.array_distinct(_words("words")), " ").alias("tokens")).withColumn("folder", _folder(F.col("key"), folders))
     _write(docs.repartition("folder").sortWithinPartitions("folder", "key"), path, "documents", number, "folder")
-    more = placed.select(F.explode(F.array_distinct("words")).alias("token"), F.lit(1).alias("n"))
+    made = spark.read.schema(_POSTINGS).parquet(f"{path}/postings/segment={number}")
+    blocks = made.select("block").distinct().count()
+    more = made.select("token", F.col("docs").alias("n"))
     lost = {"docs": 0, "tokens": 0}
     gone = spark.createDataFrame([], "key long, gone_segment long")
     if old is not None:
@@ -145,10 +169,56 @@ def _segment(fresh: DataFrame, old: DataFrame | None, path: str, number: int, ba
     _write(gone, path, "gone", number)
     changed = more.groupBy("token").agg(F.sum("n").alias("df")).filter("df <> 0").withColumn("folder", _folder(F.col("token"), folders))
     _write(changed.repartition("folder").sortWithinPartitions("folder", "token"), path, "frequencies", number, "folder")
-    line = [(number, batch, replaces, total["docs"] - lost["docs"], total["tokens"] - lost["tokens"], total["blocks"], folders)]
+    line = [(number, batch, replaces, total["docs"] - lost["docs"], total["tokens"] - lost["tokens"], blocks, folders)]
     spark.createDataFrame(line, _LOG).coalesce(1).write.mode("overwrite").json(f"{path}/log/{number:012d}")
 
 
+def _inverted(block: int):
+    """From (key, words, length), ordered by length, the posting rows of blocks of that many documents."""
+
+    def lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+    def posted(docs: pa.Table, number: int) -> pa.RecordBatch | None:
+        docs = docs.filter(pc.greater(docs["length"], 0))
+        if not docs.num_rows:
+            return None
+        key, length = docs["key"].to_numpy(), docs["length"].to_numpy()
+        flat = pa.concat_arrays([c.flatten() for c in pc.split_pattern(docs["words"], " ").chunks]).dictionary_encode()
+        doc = np.repeat(np.arange(len(length)), length)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
+        ids = flat.indices.to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, doc, at = ids[order], doc[order], at[order]
+        pair = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (doc[1:] != doc[:-1])])  # a token in a document
+        tf, of, token = np.diff(np.r_[pair, len(ids)]), doc[pair], ids[pair]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        many = np.diff(np.r_[first, len(pair)])
+        offsets = np.r_[first, len(pair)]
+        columns = [
+            flat.dictionary.take(pa.array(token[first])), pa.array(np.full(len(first), number, np.int64)), pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(length[of], first), pa.int32()), pa.array(many, pa.int32()),
+            lists(offsets, key[of], pa.int64()), lists(offsets, length[of], pa.int32()), lists(offsets, pair - np.repeat(pair[first], many), pa.int32()), lists(offsets, tf, pa.int32()), lists(np.r_[pair[first], len(ids)], at, pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, left = TaskContext.get().partitionId() << _TASK_BITS, None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t])
+            whole = t.num_rows - t.num_rows % block
+            for i in range(0, whole, block):
+                rows = posted(t.slice(i, block), number)
+                number += 1
+                if rows:
+                    yield rows
+            left = t.slice(whole)
+        if left is not None and left.num_rows and (rows := posted(left, number)):
+            yield rows
+
+    return run
+
+
 def size(spark: SparkSession, path: str) -> tuple[int, float]:
     """How many documents the index has, and the mean of their lengths."""
     of = segments(spark, path)
@@ -177,7 +247,7 @@ def _living(spark: SparkSession, path: str, hits: DataFrame) -> DataFrame:
 def live_postings(spark: SparkSession, path: str, words: list[str] | None = None) -> DataFrame:
     """(key, segment, block, token, length, positions) of the words, or of all tokens."""
     rows = _part(spark, path, "postings", _POSTINGS, segments(spark, path)) if words is None else _of_words(spark, path, "postings", _POSTINGS, words)
-    return _living(spark, path, rows.select("token", "segment", "block", F.explode("entries").alias("_e")).select("token", "segment", "block", "_e.*"))
+    return _living(spark, path, rows.select("token", "segment", "block", F.explode(_entries()).alias("_e")).select("token", "segment", "block", "_e.*"))
 
 
 def any_word(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
@@ -194,7 +264,7 @@ def phrase(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, path: str, rows: DataFrame, words: list[str]) -> DataFrame:
-    each = rows.select("token", "segment", F.explode("entries").alias("_e")).select("token", "segment", "_e.*")
+    each = rows.select("token", "segment", F.explode(_entries()).alias("_e")).select("token", "segment", "_e.*")
     own = [F.max(F.when(F.col("token") == w, F.col("positions"))).alias(f"_p{i}") for i, w in enumerate(dict.fromkeys(words))]
     met = each.groupBy("key", "segment", "length").agg(*own)
     column = {w: f"_p{i}" for i, w in enumerate(dict.fromkeys(words))}
@@ -270,7 +340,7 @@ def top_words(spark: SparkSession, path: str, words: list[str], n: int) -> Top:
     bounds = rows.select("segment", "block", part.alias("_b")).groupBy("segment", "block").agg(F.sum("_b").alias("bound"))
 
     def score(blocks: DataFrame) -> DataFrame:
-        some = rows.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi").select("token", "segment", F.explode("entries").alias("_e")).select("token", "segment", "_e.*")
+        some = rows.join(blocks.select("segment", "block"), ["segment", "block"], "left_semi").select("token", "segment", F.explode(_entries()).alias("_e")).select("token", "segment", "_e.*")
         hits = _living(spark, path, some)
         return hits.groupBy("key").agg((-F.sum(_score(_weight(weights), F.size("positions"), F.col("length"), mean))).alias("rank"))
 

@@ -1,11 +1,14 @@
 """What only larger tables show: queries against their SQL beyond sf0.1, and how rows meet."""
 
+import os
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from kelpline.operators import clusters
+from kelpline.operators import clusters, text_index
 from kelpline.plans.registry import ORACLE, QUERIES
+from kelpline.sources.scratch import scratch_root
 
 
 def same_as_sql(spark, folder, name, *tables):
@@ -90,3 +93,15 @@ def test_short_bands_are_no_gain():
     for codes in (10_000, 102_564, 615_000):
         assert clusters.plan_bands(codes, 64, 16) is None
     assert clusters.plan_bands(10_000_000, 64, 8) is not None
+
+
+def test_index_keeps_one_copy_of_a_batch(spark, tmp_path):
+    """Beside the index a batch leaves its words once, not anew for each step; a block's postings are lists side by side."""
+    root = scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    rows = [(k, " ".join(f"w{(k * i) % 97}" for i in range(k % 40)), False, 0) for k in range(600)]
+    path = f"file://{tmp_path}/i"
+    assert text_index.apply_changes(spark.createDataFrame(rows, "key long, text string, deleted boolean, seq int"), path, 0, block=16)
+    assert {x.rpartition("-")[0] for x in set(os.listdir(root)) - before} == {"changes", "replaced"}
+    want = {(k, w): [i for i, x in enumerate(t.split()) if x == w] for k, t, _, _ in rows for w in set(t.split())}
+    assert {(r["key"], r["token"]): r["positions"] for r in text_index.live_postings(spark, path).collect()} == want
